@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from waymark.llm import langid
+from waymark.llm import langid, pieces
 
 
 def queries() -> dict:
     return {
+        "op5_sentencepiece": pieces.op5_sentencepiece,
         "op9_language_id": langid.op9_language_id,
     }
 
