@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from waymark.llm import langid, pieces
+from waymark.llm import langid, minhash, pieces
 
 
 def queries() -> dict:
     return {
+        "op2_minhash": minhash.op2_minhash,
         "op5_sentencepiece": pieces.op5_sentencepiece,
         "op9_language_id": langid.op9_language_id,
     }
