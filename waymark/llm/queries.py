@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from waymark.llm import langid, minhash, pieces
+from waymark.llm import langid, minhash, pieces, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_minhash": minhash.op2_minhash,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_sentencepiece": pieces.op5_sentencepiece,
         "op9_language_id": langid.op9_language_id,
     }
