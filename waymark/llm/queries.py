@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.llm import langid, minhash, pieces, tokencount, toxicity
+from waymark.llm import decontaminate, langid, minhash, pieces, tokencount, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_sentencepiece": pieces.op5_sentencepiece,
         "op8_token_counts": tokencount.op8_token_counts,
         "op9_language_id": langid.op9_language_id,
+        "op10_decontamination": decontaminate.op10_decontamination,
     }
 
 
