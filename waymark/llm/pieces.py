@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -121,29 +122,85 @@ def build_tokenizer(model: PieceModel):  # noqa: ANN201
     return tokenizer
 
 
-_loaded: dict[str, tuple] = {}
+#: A run of markers and what follows up to the next one.
+WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Words whose ids a worker remembers.
+KNOWN_WORDS = 1 << 19
+#: New words that are encoded as one text.
+TOGETHER = 512
 
 
-def _backend(path: str) -> tuple:
-    if path not in _loaded:
+class Backend:
+    """A model's tokenizer, the library to hold it against, and, for models no
+    piece of which crosses the start of a word, the words met so far."""
+
+    def __init__(self, path: str) -> None:
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         import sentencepiece
+        from tokenizers import Tokenizer
 
         with open(path, "rb") as file:
             data = file.read()
-        _loaded[path] = (build_tokenizer(parse_model(data)), sentencepiece.SentencePieceProcessor(model_proto=data))
-    return _loaded[path]
-
-
-def encode_decode(texts: list[str | None], path: str) -> list[tuple[list[int], str, bool]]:
+        self.model = parse_model(data)
+        self.tokenizer = build_tokenizer(self.model)
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.by_word = self.tokenizer.pre_tokenizer is not None and self.model.dummy_prefix and not self.model.charsmap and not self.model.squeeze_spaces
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.ids: dict[str, str] = {}
+        self.text: dict[str, str] = {}
+        self.odd: set[str] = set()
+
+    def whole(self, texts: list[str]) -> list[tuple[str, str, bool]]:
+        """(ids, decoded text, parity) of each text, each encoded as a whole; ids
+        are in decimal, separated by spaces."""
+        ids = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        truth = self.library.encode(texts, num_threads=1)
+        decoded = self.tokenizer.decode_batch(truth, skip_special_tokens=False)
+        return [(" ".join(map(str, b)), text, a == b) for a, b, text in zip(ids, truth, decoded)]
+
+    def encode(self, texts: list[str]) -> list[tuple[str, str, bool]]:
+        """As whole(); where words can be encoded apart, each distinct word is
+        encoded, decoded and held against the library once."""
+        if not self.by_word:
+            return self.whole(texts)
+        words = [WORD.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
+        if len(self.ids) > KNOWN_WORDS:
+            self.ids, self.text, self.odd = {}, {}, set()
+        fresh = list(set().union(*words) - self.ids.keys())
+        for at in range(0, len(fresh), TOGETHER):
+            self.learn(fresh[at : at + TOGETHER])
+        ids, text, odd = self.ids, self.text, self.odd
+        return [(" ".join([ids[w] for w in own]), "".join([text[w] for w in own])[1:], not odd or odd.isdisjoint(own)) for own in words]
+
+
+    def learn(self, fresh: list[str]) -> None:
+        """Encode words that lie side by side, decode them, and hold both against
+        the library and the text; one by one where anything differs."""
+        encoding = self.bare.encode(fresh, is_pretokenized=True, add_special_tokens=False)
+        text = "".join(fresh)[1:].replace(MARK, " ")
+        if encoding.ids == self.library.encode(text) and self.tokenizer.decode(encoding.ids, skip_special_tokens=False) == text:
+            decimal, of = list(map(str, encoding.ids)), encoding.word_ids
+            edges = [0, *(i for i, (x, y) in enumerate(zip(of, of[1:]), 1) if x != y), len(of)]
+            self.ids.update(zip(fresh, [" ".join(decimal[i:j]) for i, j in zip(edges, edges[1:])]))
+            self.text.update(zip(fresh, [w.replace(MARK, " ") for w in fresh]))
+            return
+        for w, (ids_text, text, same) in zip(fresh, self.whole([w[1:].replace(MARK, " ") for w in fresh])):
+            if w == MARK:  # the library sees one marker only behind another
+                ids_text, text, same = str(next(i for i, x in enumerate(self.model.pieces) if x[0] == MARK)), "", True
+            self.ids[w], self.text[w] = ids_text, " " + text
+            if not same:
+                self.odd.add(w)
+
+
+_loaded: dict[str, Backend] = {}
+
+
+def encode_decode(texts: list[str | None], path: str) -> list[tuple[str, str, bool]]:
     """(ids, decoded text, parity) of each text; a null text counts as empty."""
-    tokenizer, library = _backend(path)
-    texts = [x or "" for x in texts]
-    ids = [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    truth = library.encode(texts, num_threads=1)
-    decoded = tokenizer.decode_batch(truth, skip_special_tokens=False)
-    return [(b, text, a == b) for a, b, text in zip(ids, truth, decoded)]
+    if path not in _loaded:
+        _loaded[path] = Backend(path)
+    return _loaded[path].encode([x or "" for x in texts])
 
 
 def encode_pieces(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -168,9 +225,9 @@ def encode_pieces(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text
                     [
                         batch.column(0),
                         pa.array([len((x or "").encode()) for x in texts], pa.int64()),
-                        pa.array([len(x[0]) for x in found], pa.int64()),
-                        pa.array([x[0] if keep_ids else None for x in found], pa.list_(pa.int32())),
-                        pa.array([hashlib.sha1(" ".join(map(str, x[0])).encode()).hexdigest() for x in found]),
+                        pa.array([x[0].count(" ") + 1 if x[0] else 0 for x in found], pa.int64()),
+                        pa.array([list(map(int, x[0].split())) if keep_ids else None for x in found], pa.list_(pa.int32())),
+                        pa.array([hashlib.sha1(x[0].encode()).hexdigest() for x in found]),
                         pa.array([x[1] == (text or "") for x, text in zip(found, texts)]),
                         pa.array([x[2] for x in found]),
                     ],
