@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.llm import decontaminate, langid, minhash, pieces, tokencount, toxicity
+from waymark.llm import decontaminate, langid, minhash, pieces, pseudonyms, tokencount, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_minhash": minhash.op2_minhash,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_sentencepiece": pieces.op5_sentencepiece,
+        "op6_pii": pseudonyms.op6_pii,
         "op8_token_counts": tokencount.op8_token_counts,
         "op9_language_id": langid.op9_language_id,
         "op10_decontamination": decontaminate.op10_decontamination,
