@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from waymark.llm import decontaminate, langid, minhash, pieces, pseudonyms, tokencount, toxicity
+from waymark.llm import decontaminate, langid, minhash, pieces, pseudonyms, tokencount, toxicity, vectors
 
 
 def queries() -> dict:
     return {
         "op2_minhash": minhash.op2_minhash,
+        "op3_embeddings": vectors.op3_embeddings,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_sentencepiece": pieces.op5_sentencepiece,
         "op6_pii": pseudonyms.op6_pii,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_embeddings": vectors.ORACLE}
