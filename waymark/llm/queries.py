@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.llm import decontaminate, langid, minhash, pieces, pseudonyms, tokencount, toxicity, vectors
+from waymark.llm import decontaminate, langid, minhash, pieces, pseudonyms, tokencount, toxicity, vectors, warczip
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_sentencepiece": pieces.op5_sentencepiece,
         "op6_pii": pseudonyms.op6_pii,
+        "op7_warc": warczip.op7_warc,
         "op8_token_counts": tokencount.op8_token_counts,
         "op9_language_id": langid.op9_language_id,
         "op10_decontamination": decontaminate.op10_decontamination,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embeddings": vectors.ORACLE}
+    return {"op3_embeddings": vectors.ORACLE, "op7_warc": warczip.ORACLE}
