@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from waymark.llm import decontaminate, langid, minhash, pieces, pseudonyms, tokencount, toxicity, vectors, warczip
+from waymark.llm import decontaminate, langid, minhash, pieces, pseudonyms, quotes, tokencount, toxicity, vectors, warczip
 
 
 def queries() -> dict:
     return {
+        "op1_quotes": quotes.op1_quotes,
         "op2_minhash": minhash.op2_minhash,
         "op3_embeddings": vectors.op3_embeddings,
         "op4_toxicity": toxicity.op4_toxicity,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embeddings": vectors.ORACLE, "op7_warc": warczip.ORACLE}
+    return {"op1_quotes": quotes.ORACLE, "op3_embeddings": vectors.ORACLE, "op7_warc": warczip.ORACLE}
