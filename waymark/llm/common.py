@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,31 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+#: Bits of id_filter(): 2 MB, whatever the number of ids.
+FILTER_BITS = 1 << 24
+
+
+def id_filter(ids: DataFrame, column: str) -> Column:
+    """A predicate on a column of that name which holds for every id of ids and
+    for few others (a Bloom filter of fixed size), to thin out wide rows before
+    a join on the id. With more ids than the filter is made for it lets more
+    rows pass; the join decides."""
+    places = [F.pmod(F.xxhash64(F.col(column).cast("long"), F.lit(i)), F.lit(FILTER_BITS)) for i in range(2)]
+    bits = ids.select(F.explode(F.array(*places)).alias("place"))
+    word, bit = F.shiftright("place", 5), F.expr("shiftleft(1L, cast(place & 31 as int))")
+    table = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
+    for row in bits.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).collect():
+        table[row.word] = row.bits
+    shared = ids.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def may_be_in(a: pd.Series, b: pd.Series) -> pd.Series:
+        hit = [(shared.value[x.to_numpy(np.int64) >> 5] >> (x.to_numpy(np.int64) & 31).astype(np.uint32)) & 1 for x in (a, b)]
+        return pd.Series((hit[0] & hit[1]).astype(bool))
+
+    return may_be_in(*places)
+
+
 def components(edges: DataFrame, name: str = "edges", max_rounds: int = 40) -> DataFrame:
     """Connected components of the undirected edges (a, b): one row (id,
     component_id) per id in an edge, component_id the smallest id reachable.

@@ -3,10 +3,11 @@
 Documents with the same words are one class from the start, and only the one
 of the smallest id is signed further. Signatures are cut into bands; within a
 bucket of equal bands the documents are compared with the bucket's first one
-(a star, not all pairs), then components are formed, and only what is still
-apart in a bucket is compared further: with other first ones for some rounds,
-then every pair of different components. No pair that banding brings together is
-left out unless a chain of verified links joins it already.
+(a star, not all pairs), and components are formed. What is still apart in a
+bucket is compared in blocks: a task gets two blocks of bounded size, multiplies
+their shingle matrices and returns one link for each two components it joins,
+no pairs. No pair that banding brings together is left out unless a chain of
+verified links joins it already.
 """
 
 from __future__ import annotations
@@ -20,15 +21,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import shingles
-from waymark.llm.common import components, table, written
+from waymark.llm.common import components, id_filter, table, written
 
 #: 40 bands of 5 registers: a pair of similarity 0.8 is missed with probability 1.3e-7.
 BANDS, BAND_ROWS = 40, 5
 #: Pairs whose signatures agree in less than the threshold minus this are not
 #: verified: over five standard deviations of the estimate at 0.8.
 ESTIMATE_MARGIN = 0.16
-#: Rounds in which what is still apart in a bucket is held against one document.
-STAR_ROUNDS = 3
+#: Documents, and characters, of a block.
+BLOCK_ROWS, BLOCK_CHARS = 128, 1 << 21
+#: Shingles that a block's matrices span at a time.
+BLOCK_COLUMNS = 4096
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,7 +50,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for column in own.reshape(BANDS, BAND_ROWS).T:
                     h = shingles.mix(h + column)
                 same.append(hashlib.blake2b(" ".join(tokens).encode(), digest_size=16).digest())
-                signature.append(own.astype(np.uint32).tobytes())
+                signature.append(own.astype(np.uint16).tobytes())
                 bands.append(h.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(same, pa.binary()), pa.array(signature, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
@@ -57,7 +60,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        share = [float((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).mean()) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        share = [float((np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)).mean()) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share, pa.float64())], ["a", "b", "estimate"])
 
 
@@ -87,13 +90,77 @@ def verified_pairs(pairs: DataFrame, signed: DataFrame, texts: DataFrame, thresh
     y = signed.select(F.col("doc_id").alias("b"), F.col("signature").alias("y"))
     likely = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_estimates, "a long, b long, estimate double")
     likely = written(likely.where(F.col("estimate") >= threshold - ESTIMATE_MARGIN).select("a", "b").distinct(), "likely")
-    needed = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-    own = written(texts.join(needed, "doc_id", "left_semi"), "texts")
-    full = likely.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    full = full.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    full = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    full = full.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     return full.mapInArrow(_verifier(threshold), "a long, b long, similarity double")
 
 
+def _block_links(threshold: float):  # noqa: ANN202
+    def shares(left: list[tuple], right: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each pair, how many shingles are common, and their share in either's weight."""
+        ids = np.concatenate([x[0] for x in (*left, *right)])
+        known, times = np.unique(ids, return_counts=True)
+        known = known[times > 1]
+        out = [np.zeros((len(left), len(right))) for _ in range(3)]
+        for at in range(0, len(known), BLOCK_COLUMNS):
+            columns = known[at : at + BLOCK_COLUMNS]
+            sides = []
+            for rows in (left, right):
+                has, share = np.zeros((2, len(rows), len(columns)), dtype=np.float32)
+                for i, (own, weight) in enumerate(rows):
+                    where = np.searchsorted(columns, own)
+                    where[where == len(columns)] = 0
+                    hit = columns[where] == own
+                    has[i, where[hit]] = 1
+                    share[i, where[hit]] = weight[hit] / weight.sum()
+                sides.append((has, share))
+            (has_x, share_x), (has_y, share_y) = sides
+            for total, part in zip(out, (has_x @ has_y.T, share_x @ has_y.T, has_x @ share_y.T)):
+                total += part
+        return tuple(out)
+
+    def links(group: pa.Table) -> pa.Table:
+        """One verified link for each two components that the blocks join. The
+        common shingles' share in either weight bounds the similarity from above."""
+        a = [i for i, x in enumerate(group.column("side").to_pylist()) if x == 0]
+        b = [i for i, x in enumerate(group.column("side").to_pylist()) if x == 1] or a
+        ids, parts = group.column("doc_id").to_numpy(), group.column("part").to_numpy()
+        bags = {i: shingles.weighted_shingles(shingles.words(group.column("text")[i].as_py())) for i in {*a, *b}}
+        found: dict[tuple[int, int], tuple[int, int, float]] = {}
+        if a:
+            _, x, y = shares([bags[i] for i in a], [bags[i] for i in b])
+            likely = (np.minimum(x, y) >= threshold - 1e-4) & (parts[a][:, None] != parts[b][None, :])
+            for i, j in zip(*np.nonzero(likely)):
+                i, j = a[i], b[j]
+                key = (int(min(parts[i], parts[j])), int(max(parts[i], parts[j])))
+                if key not in found and (s := shingles.probability_jaccard(bags[i], bags[j])) >= threshold:
+                    found[key] = (int(ids[i]), int(ids[j]), s)
+        rows = list(found.values())
+        return pa.table({"a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64()), "similarity": pa.array([r[2] for r in rows], pa.float64())})
+
+    return links
+
+
+def links_of_parts(grouped: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b, similarity) between documents of different parts of a group,
+    one at least for each two parts that any link joins. grouped has (group_id,
+    doc_id, part); the documents of the part that has the group's id are not
+    compared with one another."""
+    inner = F.col("part") == F.col("group_id")
+    rows = grouped.join(texts, "doc_id").select("group_id", "doc_id", "part", "text", inner.alias("inner"))
+    rows = written(rows, "grouped")
+    blocks = lambda own: F.ceil(F.greatest(F.sum(own.cast("int")) / BLOCK_ROWS, F.sum(F.when(own, F.length("text")).otherwise(0)) / BLOCK_CHARS, F.lit(1)))
+    sizes = rows.groupBy("group_id").agg(blocks(F.col("inner")).cast("int").alias("n_in"), blocks(~F.col("inner")).cast("int").alias("n_out"))
+    rows = rows.join(sizes, "group_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.when(F.col("inner"), F.col("n_in")).otherwise(F.col("n_out"))).cast("int"))
+    # outer blocks meet each other once, and every inner one
+    with_outer = F.transform(F.sequence(F.lit(0), F.col("n_out") - 1), lambda k: F.struct(F.least(F.col("block"), k).alias("p"), F.greatest(F.col("block"), k).alias("q"), (F.col("block") > k).cast("int").alias("side")))
+    with_inner = F.transform(F.sequence(F.lit(0), F.col("n_in") - 1), lambda k: F.struct(F.col("block").alias("p"), (-k - 1).alias("q"), F.lit(0).alias("side")))
+    as_inner = F.transform(F.sequence(F.lit(0), F.col("n_out") - 1), lambda k: F.struct(k.alias("p"), (-F.col("block") - 1).alias("q"), F.lit(1).alias("side")))
+    dealt = rows.select("group_id", "doc_id", "part", "text", F.explode(F.when(F.col("inner"), as_inner).otherwise(F.concat(with_outer, with_inner))).alias("at"))
+    dealt = dealt.select("group_id", "doc_id", "part", "text", "at.*")
+    return dealt.groupBy("group_id", "p", "q").applyInArrow(_block_links(threshold), "a long, b long, similarity double")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = shingles.SIMILAR) -> DataFrame:
     """(doc_id, class_id, kept) for every distinct doc_id: class_id is the smallest id of
     the documents that links of probability Jaccard >= threshold on weighted
@@ -110,39 +177,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = signed.where("doc_id is not null and same is not null")
     first = written(named.groupBy("same").agg(F.min("doc_id").alias("rep")), "first")
     copies = named.select("same", "doc_id").join(first, "same").select("doc_id", "rep").where("doc_id <> rep").distinct()
-    reps = named.join(first.select("same", F.col("rep").alias("doc_id")), ["same", "doc_id"], "left_semi").select("doc_id", "signature", "bands")
-    texts = rows.where("doc_id is not null").join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-
-    banded = reps.select("doc_id", F.explode("bands").alias("bucket"))
+    banded = named.select("same", "doc_id", F.explode("bands").alias("bucket"))
     heads = banded.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("other")).where("head <> other")
-    members = written(banded.join(heads.select("bucket", "head"), "bucket").distinct(), "members")
+    members = banded.join(heads.select("bucket", "head"), "bucket")
+    # of copies, which share all buckets, only the first
+    members = members.join(first.select("same", F.col("rep").alias("doc_id")), ["same", "doc_id"], "left_semi")
+    members = written(members.select("bucket", "doc_id", "head").distinct(), "members")
     pairs = members.where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
-    signatures = reps.select("doc_id", "signature").join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
+    likely_needed = id_filter(needed, "doc_id")
+    signatures = named.select("doc_id", "signature").where(likely_needed).join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     signatures = written(signatures, "signatures")
+    texts = written(rows.where("doc_id is not null").where(likely_needed).join(needed, "doc_id", "left_semi"), "texts")
     links = written(verified_pairs(pairs, signatures, texts, threshold), "links").select("a", "b")
     done = components(links)
-    for turn in range(STAR_ROUNDS + 1):
-        known = done.select(F.col("id").alias("doc_id"), "component_id")
-        apart = members.join(known, "doc_id", "left").select("bucket", "doc_id", "head", F.coalesce("component_id", "doc_id").alias("part"))
-        apart = written(apart, "apart")
-        split = apart.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-        apart = apart.join(split.select("bucket"), "bucket", "left_semi")
-        if turn < STAR_ROUNDS:  # against the first document outside the head's component
-            head_part = apart.where("doc_id = head").select("bucket", F.col("part").alias("head_part"))
-            outer = apart.join(head_part, "bucket").where("part <> head_part")
-            next_head = outer.groupBy("bucket").agg(F.min(F.struct("doc_id", "part")).alias("next"))
-            pairs = apart.join(next_head, "bucket").where("part <> next.part and doc_id <> head").select(F.col("doc_id").alias("a"), F.col("next.doc_id").alias("b"))
-        else:
-            left = apart.select("bucket", F.col("doc_id").alias("a"), F.col("part").alias("part_a"))
-            right = apart.where("doc_id <> head").select("bucket", F.col("doc_id").alias("b"), F.col("part").alias("part_b"))
-            pairs = left.join(right, "bucket").where("a < b and part_a <> part_b").select("a", "b")
-        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        more = written(verified_pairs(pairs, signatures, texts, threshold), "links").select("a", "b")
-        if not more.isEmpty():
-            done = components(done.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more).unionByName(links))
-    classes = components(done.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "classes")
+    known = done.select(F.col("id").alias("doc_id"), "component_id")
+    apart = members.join(known, "doc_id", "left").select("bucket", "doc_id", "head", F.coalesce("component_id", "doc_id").alias("part"))
+    apart = written(apart, "apart")
+    split = apart.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.when(F.col("doc_id") == F.col("head"), F.col("part"))).alias("group_id")).where("low <> high")
+    # buckets whose heads are of one component make one group: a document is compared there once
+    grouped = apart.join(split.select("bucket", "group_id"), "bucket").select("group_id", "doc_id", "part").distinct()
+    more = written(links_of_parts(grouped, texts, threshold), "links").select("a", "b")
+    done = done.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more)
+    classes = components(done.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "classes")
     ids = rows.where("doc_id is not null").select("doc_id").distinct().unionByName(rows.where("doc_id is null").select("doc_id"))
     out = ids.join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     class_id = F.coalesce("component_id", "doc_id")
