@@ -15,8 +15,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import shingles
@@ -240,5 +241,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return out
 
 
+def holds_item(spark: SparkSession, index: Index, text: Column) -> Column:
+    """A predicate that holds for the texts that contain an item of the index."""
+    shared = spark.sparkContext.broadcast(index)
+
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(shared.value.overlaps(shingles.words(x))) for x in texts], dtype=bool)
+
+    return holds(text)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs (text, ...) that contain no test item, with all their columns."""
+    for index in indexes(benchmark):
+        docs = docs.where(~holds_item(docs.sparkSession, index, F.col("text")))
+    return docs
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from waymark.llm import shingles
 from waymark.llm.common import components, id_filter, table, written
@@ -206,5 +207,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", class_id.alias("class_id"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) with one document of each class, that of the
+    smallest id, and one row of each id: the first by text. Rows without an id
+    stay. All columns stay."""
+    found = written(near_duplicates(docs), "kept")
+    dropped = found.where("not kept").select("doc_id")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    concerned = F.col("doc_id").isNotNull() & id_filter(written(dropped.unionByName(repeated), "concerned"), "doc_id")
+    rest = docs.where(concerned).join(dropped, "doc_id", "left_anti")
+    rest = rest.withColumn("__place", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("__place = 1").drop("__place")
+    return docs.where(~concerned).unionByName(rest.select(docs.columns))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -16,8 +16,9 @@ from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import shingles
@@ -252,6 +253,26 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id"
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(score, f"doc_id {kind}, score double, predicted int")
 
 
+def is_toxic(spark: SparkSession, model: ToxicityModel, text: Column) -> Column:
+    """A predicate that holds for the texts that score_toxicity() predicts 1 for."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def toxic(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cache: dict[str, tuple] = {}
+        for own in texts:
+            yield pd.Series([toxicity_score(x, shared.value, cache) >= THRESHOLD for x in own], dtype=bool)
+
+    return toxic(text)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) that a model fitted on them and labels
+    (doc_id, toxic) does not reject, with all their columns."""
+    model = fit_toxicity(docs, labels)
+    return docs.where(~is_toxic(docs.sparkSession, model, F.col("text")))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
