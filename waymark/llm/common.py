@@ -14,7 +14,21 @@ from pyspark.sql import functions as F
 _scratch: list[tuple[SparkSession, str]] = []
 
 
+#: Rows and bytes of a batch that goes to Python, at most: texts may be long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of batches to BATCH, where they are above."""
+    for key, most in BATCH.items():
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder, read in batches of bounded size."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

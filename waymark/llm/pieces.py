@@ -148,8 +148,8 @@ class Backend:
         self.by_word = self.tokenizer.pre_tokenizer is not None and self.model.dummy_prefix and not self.model.charsmap and not self.model.squeeze_spaces
         self.bare = Tokenizer(self.tokenizer.model)
         self.ids: dict[str, str] = {}
-        self.text: dict[str, str] = {}
-        self.odd: set[str] = set()
+        #: decoded text and parity of the words that don't come back as they are
+        self.odd: dict[str, tuple[str, bool]] = {}
 
     def whole(self, texts: list[str]) -> list[tuple[str, str, bool]]:
         """(ids, decoded text, parity) of each text, each encoded as a whole; ids
@@ -166,13 +166,18 @@ class Backend:
             return self.whole(texts)
         words = [WORD.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
         if len(self.ids) > KNOWN_WORDS:
-            self.ids, self.text, self.odd = {}, {}, set()
+            self.ids, self.odd = {}, {}
         fresh = list(set().union(*words) - self.ids.keys())
         for at in range(0, len(fresh), TOGETHER):
             self.learn(fresh[at : at + TOGETHER])
-        ids, text, odd = self.ids, self.text, self.odd
-        return [(" ".join([ids[w] for w in own]), "".join([text[w] for w in own])[1:], not odd or odd.isdisjoint(own)) for own in words]
-
+        ids, odd, out = self.ids, self.odd, []
+        for x, own in zip(texts, words):
+            text, same = x.replace(MARK, " "), True
+            if odd and not odd.keys().isdisjoint(own):
+                text = "".join([odd[w][0] if w in odd else w.replace(MARK, " ") for w in own])[1:]
+                same = all(odd[w][1] for w in own if w in odd)
+            out.append((" ".join([ids[w] for w in own]), text, same))
+        return out
 
     def learn(self, fresh: list[str]) -> None:
         """Encode words that lie side by side, decode them, and hold both against
@@ -183,14 +188,13 @@ class Backend:
             decimal, of = list(map(str, encoding.ids)), encoding.word_ids
             edges = [0, *(i for i, (x, y) in enumerate(zip(of, of[1:]), 1) if x != y), len(of)]
             self.ids.update(zip(fresh, [" ".join(decimal[i:j]) for i, j in zip(edges, edges[1:])]))
-            self.text.update(zip(fresh, [w.replace(MARK, " ") for w in fresh]))
             return
         for w, (ids_text, text, same) in zip(fresh, self.whole([w[1:].replace(MARK, " ") for w in fresh])):
             if w == MARK:  # the library sees one marker only behind another
                 ids_text, text, same = str(next(i for i, x in enumerate(self.model.pieces) if x[0] == MARK)), "", True
-            self.ids[w], self.text[w] = ids_text, " " + text
-            if not same:
-                self.odd.add(w)
+            self.ids[w] = ids_text
+            if not same or " " + text != w.replace(MARK, " "):
+                self.odd[w] = (" " + text, same)
 
 
 _loaded: dict[str, Backend] = {}
