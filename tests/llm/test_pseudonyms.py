@@ -28,7 +28,7 @@ def luhn(s):
     return (sum(d[0::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10
 
 
-def brute(match):
+def brute(match, key=KEY):
     """The pseudonym of a card, phone or date by plain Python; None otherwise."""
     if re.fullmatch(P.DATE, match):
         try:
@@ -36,19 +36,19 @@ def brute(match):
         except ValueError:
             return match
         within = (day - datetime.date(2000, 1, 1)).days % 146097
-        x, y = feistel(within // 27, within % 27, 5411, 27, KEY + "date")
+        x, y = feistel(within // 27, within % 27, 5411, 27, key + "date")
         new = day + datetime.timedelta(days=x * 27 + y - within)
         return new.isoformat() if "-" in match else new.strftime("%m/%d/%Y")
     digits = re.sub(r"\D", "", match)
     if re.fullmatch(P.CARD, match) and luhn(digits) == 0:
         a = (len(digits) - 2) // 2
         b = len(digits) - 2 - a
-        x, y = feistel(int(digits[1 : 1 + a]), int(digits[1 + a : 1 + a + b]), 10**a, 10**b, f"{KEY}card{len(digits)}")
+        x, y = feistel(int(digits[1 : 1 + a]), int(digits[1 + a : 1 + a + b]), 10**a, 10**b, f"{key}card{len(digits)}")
         body = digits[0] + str(x).zfill(a) + str(y).zfill(b)
         new = body + str((10 - luhn(body + "0")) % 10)
     elif re.fullmatch(P.PHONE, match) and digits[-10] > "1" and digits[-7] > "1":
         n = ((int(digits[-10:-7]) - 200) * 800 + int(digits[-7:-4]) - 200) * 10000 + int(digits[-4:])
-        x, y = feistel(n // 80000, n % 80000, 80000, 80000, KEY + "phone")
+        x, y = feistel(n // 80000, n % 80000, 80000, 80000, key + "phone")
         n = x * 80000 + y
         new = digits[:-10] + str(n // 8000000 + 200) + str(n // 10000 % 800 + 200) + str(n % 10000).zfill(4)
     else:

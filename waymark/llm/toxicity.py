@@ -106,27 +106,27 @@ def fit_label_model(matrix: np.ndarray, prior: float, rounds: int = 30) -> tuple
     maximisation: theta[y, voter, vote + 1] is the probability of the vote given
     the label. Correlations of voters that the label does not explain are
     estimated from the fitted posterior; a voter that others repeat counts for
-    its share only (strength), and the model is fitted again."""
+    its share only (strength) in the posterior that is returned."""
     onehot = np.stack([matrix == v for v in (-1, 0, 1)], axis=2).astype(float)
     strength = np.ones(matrix.shape[1])
-    posterior = np.where((matrix > 0).any(axis=1), 0.9, 0.02)
+    posterior = np.array([0.02, 0.4, 0.95])[np.minimum((matrix > 0).sum(axis=1), 2)]
     theta = np.empty((2, matrix.shape[1], 3))
-    for turn in range(2):
-        for _ in range(rounds):
-            for y, weight in ((0, 1 - posterior), (1, posterior)):
-                counted = np.einsum("n,nkv->kv", weight, onehot) + 0.5
-                theta[y] = counted / counted.sum(axis=1, keepdims=True)
-            posterior = label_posterior(matrix, theta, strength, prior)
-        if turn == 0:
-            shared = np.zeros((matrix.shape[1],) * 2)
-            for weight in (1 - posterior, posterior):
-                total = max(weight.sum(), 1e-9)
-                centred = (matrix - (weight @ matrix) / total) * np.sqrt(weight)[:, None]
-                spread = np.sqrt((centred**2).sum(axis=0))
-                shared += total / len(matrix) * np.abs(centred.T @ centred / np.maximum(np.outer(spread, spread), 1e-9))
-            np.fill_diagonal(shared, 0.0)
-            strength = 1.0 / (1.0 + np.where(shared > 0.1, shared, 0.0).sum(axis=1))
-    return theta, strength, posterior
+    for _ in range(rounds):
+        for y, weight in ((0, 1 - posterior), (1, posterior)):
+            counted = np.einsum("n,nkv->kv", weight, onehot) + 0.5
+            theta[y] = counted / counted.sum(axis=1, keepdims=True)
+        posterior = label_posterior(matrix, theta, strength, prior)
+    shared = np.zeros((matrix.shape[1],) * 2)
+    for weight in (1 - posterior, posterior):
+        total = max(weight.sum(), 1e-9)
+        centred = (matrix - (weight @ matrix) / total) * np.sqrt(weight)[:, None]
+        spread = np.sqrt((centred**2).sum(axis=0))
+        shared += total / len(matrix) * np.abs(centred.T @ centred / np.maximum(np.outer(spread, spread), 1e-9))
+    active = (matrix != 0).astype(float)
+    shared *= active.T @ active > 0  # those that never vote together repeat nothing
+    np.fill_diagonal(shared, 0.0)
+    strength = 1.0 / (1.0 + np.where(shared > 0.1, shared, 0.0).sum(axis=1))
+    return theta, strength, label_posterior(matrix, theta, strength, prior)
 
 
 def label_posterior(matrix: np.ndarray, theta: np.ndarray, strength: np.ndarray, prior: float) -> np.ndarray:
@@ -225,7 +225,7 @@ def toxicity_score(text: str | None, model: ToxicityModel, cache: dict[str, tupl
     if model.bias is None:
         return model.base
     cache = {} if cache is None else cache
-    if len(cache) > 1 << 19:
+    if len(cache) > 1 << 17:
         cache.clear()
     present: set[str] = set()
     for word in distinct_words(text):
