@@ -146,3 +146,11 @@ def spread_degrees(rows: DataFrame, top: int = 12) -> DataFrame:
     first = rows.where("place = 0").select("qid", F.col("lat").alias("lat0"), F.col("lon").alias("lon0"))
     near = rows.where(F.col("place") < top).join(first, "qid")
     return near.groupBy("qid").agg(F.max(F.greatest(F.abs(F.col("lat") - F.col("lat0")), F.abs(F.col("lon") - F.col("lon0")) * F.cos(F.radians("lat0")))).alias("span"))
+
+
+def complete(one: DataFrame, queries: DataFrame) -> DataFrame:
+    """answers for every query: one whose gate holds no place has no row, no
+    candidates, and a confidence of 0."""
+    out = queries.select("qid").join(one, "qid", "left")
+    none = F.col("row").isNull()
+    return out.withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0))).withColumn("confidence", F.when(none, 0.0).otherwise(F.col("confidence")))
