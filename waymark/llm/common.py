@@ -120,10 +120,11 @@ def components(edges: DataFrame, name: str = "edges", max_rounds: int = 40) -> D
         if seen[0] == 0:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # the minima are written, so that the join deals both sides anew and can split a hub's rows
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large.where("u <> v").distinct(), name)
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
         now = written(small.select("e.u", "e.v").where("u <> v").distinct(), name)
         before, seen = seen, _digest(now)

@@ -180,7 +180,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     copies = named.select("same", "doc_id").join(first, "same").select("doc_id", "rep").where("doc_id <> rep").distinct()
     banded = named.select("same", "doc_id", F.explode("bands").alias("bucket"))
     heads = banded.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("other")).where("head <> other")
-    members = banded.join(heads.select("bucket", "head"), "bucket")
+    # written, so that the join deals both sides anew and can split a bucket's rows
+    members = banded.join(written(heads.select("bucket", "head"), "heads"), "bucket")
     # of copies, which share all buckets, only the first
     members = members.join(first.select("same", F.col("rep").alias("doc_id")), ["same", "doc_id"], "left_semi")
     members = written(members.select("bucket", "doc_id", "head").distinct(), "members")

@@ -82,7 +82,8 @@ def replies(rows: DataFrame) -> DataFrame:
     quotes = written(passages(quoting).select("conv_id", "turn", "level", F.md5("paragraph").alias("paragraph"), F.md5("unit").alias("unit"), F.length("unit").alias("n")).distinct(), "quotes")
     talks = quotes.select("conv_id").distinct()
     said = rows.join(talks, "conv_id", "left_semi").select("conv_id", "turn", F.explode(units(F.regexp_replace("own", "\r", ""))).alias("u"))
-    first = said.groupBy("conv_id", F.md5("u.unit").alias("unit")).agg(F.min("turn").alias("source"))
+    # written, so that the join deals both sides anew and can split a passage that is quoted often
+    first = written(said.groupBy("conv_id", F.md5("u.unit").alias("unit")).agg(F.min("turn").alias("source")), "first")
     linked = quotes.join(first, ["conv_id", "unit"], "left").withColumn("source", F.when(F.col("source") < F.col("turn"), F.col("source")))
     by_paragraph = linked.groupBy("conv_id", "turn", "level", "paragraph", "source").agg(F.sum("n").alias("n"))
     by_source = by_paragraph.where("source is not null").groupBy("conv_id", "turn", "level", "source").agg(F.sum("n").alias("n"))

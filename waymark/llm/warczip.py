@@ -171,6 +171,8 @@ def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     large = F.octet_length("payload") >= least
     first = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("key"), "first")
+    # written, so that the join deals both sides anew and can split a payload that recurs
+    first = written(first, "first")
     # short payloads get keys of their own, so that they do not meet in one task
     rows = rows.withColumn("key", F.when(large, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "digest").cast("string"))))
     refers_to = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
