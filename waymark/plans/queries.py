@@ -229,8 +229,6 @@ def whitened_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    lat, lon, km, p = F.col("lat"), F.col("lon"), F.col("km"), F.col("p")
-    point = F.col("point_id")
     return {
         "locate_flagship": locate,
         "quantise_rows": quantise_rows,
@@ -242,7 +240,7 @@ def queries() -> dict:
         "cell_assign": lambda s, d: index.assign_cells(X.place_vectors(s, d), X.centroids(s, d)),
         "cell_histogram_offsets": lambda s, d: index.cell_offsets(index.assign_cells(X.place_vectors(s, d), X.centroids(s, d)), X.N_CELLS),
         "csls_topk_mean": csls_topk_mean,
-        "prior_term": lambda s, d: rounded(X.gated(s, d).select("qid", "cell", gate.log_prior(p, RECIPE.prior_lam).alias("prior"))),
+        "prior_term": lambda s, d: rounded(X.gated(s, d).select("qid", "cell", gate.log_prior(F.col("p"), RECIPE.prior_lam).alias("prior"))),
         "blend_score": blend_score,
         "topk_candidates": topk_candidates,
         "topk_20": lambda s, d: topk_candidates(s, d, 20),
@@ -263,8 +261,8 @@ def queries() -> dict:
         "point_in_polygon": lambda s, d: worldmap.containing(X.points(s, d), X.features_of_nations(s, d)),
         "nearest_coast_snap": lambda s, d: rounded(worldmap.nearest_coast(X.points(s, d).join(worldmap.containing(X.points(s, d), X.features_of_nations(s, d)), "point_id", "left_anti"), X.features_of_nations(s, d))),
         "country_at": lambda s, d: rounded(worldmap.country_at(X.points(s, d), X.features_of_nations(s, d))),
-        "mercator_roundtrip": on_points(lambda: geo.mercator_y(lat * 1.3).alias("y"), lambda: geo.mercator_lat(geo.mercator_y(lat * 1.3)).alias("lat")),
-        "format_latlon": on_points(lambda: geo.format_lat_lon(lat, lon).alias("text")),
+        "mercator_roundtrip": on_points(lambda: geo.mercator_y(F.col("lat") * 1.3).alias("y"), lambda: geo.mercator_lat(geo.mercator_y(F.col("lat") * 1.3)).alias("lat")),
+        "format_latlon": on_points(lambda: geo.format_lat_lon(F.col("lat"), F.col("lon")).alias("text")),
         "format_km": format_km,
         "rank_prefix": lambda s, d: settlements(s, d).where("rank <= 6").select("name", "rank", F.coalesce("pop_max", F.lit(0)).alias("pop_max")).orderBy(*worldmap.place_order()),
         "rank_index": lambda s, d: worldmap.rank_index(settlements(s, d)),
@@ -273,16 +271,16 @@ def queries() -> dict:
         "feature_boxes": lambda s, d: rounded(worldmap.boxes(X.features_of_nations(s, d).select("feature_id", "rings")).drop("rings")),
         "map_difference": map_difference,
         "homonym_lookup": homonyms,
-        "coordinate_quantise": on_points(lambda: geo.quantise_degrees(lat).alias("lat_q"), lambda: geo.quantise_degrees(lon * 1.1).alias("lon_q")),
-        "wrap_longitude": on_points(lambda: geo.wrap_lon(lon * 7.3).alias("lon")),
-        "spread_zoom": on_points(lambda: geo.spread_zoom(F.abs(lon) / 10, lat, F.lit(1080.0), F.lit(1920.0)).alias("zoom")),
+        "coordinate_quantise": on_points(lambda: geo.quantise_degrees(F.col("lat")).alias("lat_q"), lambda: geo.quantise_degrees(F.col("lon") * 1.1).alias("lon_q")),
+        "wrap_longitude": on_points(lambda: geo.wrap_lon(F.col("lon") * 7.3).alias("lon")),
+        "spread_zoom": on_points(lambda: geo.spread_zoom(F.abs(F.col("lon")) / 10, F.col("lat"), F.lit(1080.0), F.lit(1920.0)).alias("zoom")),
         "project_to_screen": project_to_screen,
         "scale_bar": scale_bar,
-        "zoom_ranks": on_points(lambda: geo.country_rank_at(point * 7 % 6000 / F.lit(10.0)).alias("country_rank"), lambda: geo.place_rank_at(point * 7 % 6000 / F.lit(10.0)).alias("place_rank")),
+        "zoom_ranks": on_points(lambda: geo.country_rank_at(F.col("point_id") * 7 % 6000 / F.lit(10.0)).alias("country_rank"), lambda: geo.place_rank_at(F.col("point_id") * 7 % 6000 / F.lit(10.0)).alias("place_rank")),
         "brier_auc": lambda s, d: rounded(evaluate.brier_auc(X.scored_answers(s, d))),
         "calibration_bins": lambda s, d: rounded(evaluate.calibration(X.scored_answers(s, d))),
         "confidence_bands": lambda s, d: rounded(evaluate.bands(X.scored_answers(s, d))),
-        "confidence_texts": lambda s, d: X.scored_answers(s, d).select("qid", geo.confidence_text(p).alias("text"), geo.confidence_tier(p).alias("tier")),
+        "confidence_texts": lambda s, d: X.scored_answers(s, d).select("qid", geo.confidence_text(F.col("p")).alias("text"), geo.confidence_tier(F.col("p")).alias("tier")),
         "signal_tiers": lambda s, d: rounded(evaluate.tiers(X.scored_answers(s, d), "p")),
         "parity_report": parity_report,
         "bench_median": bench_median,
