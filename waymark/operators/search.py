@@ -53,7 +53,8 @@ def scored(queries: DataFrame, gated: DataFrame, places: DataFrame, recipe: Reci
 def top_k(rows: DataFrame, k: int) -> DataFrame:
     """The k best rows of each query by s, the lower row first among equals; rank from 0."""
     order = W.partitionBy("qid").orderBy(F.desc("s"), "row")
-    return rows.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+    # filtered by the number itself, so that Spark keeps k rows of each task before the shuffle
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def retrieve(queries: DataFrame, gated: DataFrame, places: DataFrame, recipe: Recipe) -> DataFrame:
