@@ -26,7 +26,7 @@ def corpus(seed=3, n_items=60, n_docs=60):
 
 def brute_scores(index, items, terms):
     """BM25 straight from its definition, for every item."""
-    counts = [Counter(shingles.words(t)) for _, t in items if shingles.words(t)]
+    counts = [Counter(shingles.words(t)) for _, t in items if len(shingles.words(t)) >= 5]
     mean = sum(sum(c.values()) for c in counts) / len(counts)
     df = Counter(t for c in counts for t in c)
     out = []
@@ -75,6 +75,8 @@ def test_rows(spark):
         tokens = shingles.words(text)
         for i, t in items:
             own = shingles.words(t)
+            if len(own) < 5:
+                continue
             n = D.question_and_answer(own, t)
             shares = []
             for part in (own, own[:n], own[n:]):

@@ -57,14 +57,15 @@ class Item:
 
 
 class Index:
-    """items: (item_id, text); those without a word are left out."""
+    """items: (item_id, text); those of fewer words than a shingle are left out:
+    so few words are found in texts that know nothing of the item."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.items: list[Item] = []
         counts = []
         for item_id, text in items:
             tokens = shingles.words(text)
-            if tokens:
+            if len(tokens) >= shingles.SHINGLE:
                 n = question_and_answer(tokens, text)
                 parts = (tokens, tokens[:n], tokens[n:])
                 sizes = tuple(min(len(x), shingles.SHINGLE) for x in parts)
@@ -220,7 +221,7 @@ def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", chars: int = INDEX_CHARS) -> DataFrame:
     """(doc_id, item_id, score, overlap, question_overlap, answer_overlap): a row
     for each row of docs and each test item that it contains. Null and empty
-    texts contain none, items without a word are in none; a null doc_id is
+    texts contain none, items of fewer than five words are in none; a null doc_id is
     reported as such. Equal items of one id count once. Other columns are not
     looked at."""
     kind = docs.schema[doc_id].dataType.simpleString()
