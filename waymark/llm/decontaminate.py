@@ -261,4 +261,44 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", *(F.round(c, 6).alias(c) for c in ("score", "overlap", "question_overlap", "answer_overlap")))
+
+
+#: The same from the definitions: every window against every item that shares a word.
+ORACLE = r"""
+WITH tok AS (
+  SELECT item_id, row_number() OVER (ORDER BY item_id, text) AS i, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t,
+    regexp_extract_all(lower(CASE WHEN strpos(text, '?') > 0 THEN text[:strpos(text, '?') - 1] ELSE '' END), '[\p{L}\p{N}_]+') AS q
+  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)
+), item AS (
+  SELECT *, len(t) AS l, CASE WHEN len(q) > 0 AND len(q) < len(t) THEN len(q) ELSE (len(t) + 1) // 2 END AS nq FROM tok WHERE len(t) >= 5
+), tf AS (SELECT i, term, count(*) AS n FROM (SELECT i, unnest(t) AS term FROM item) GROUP BY ALL),
+df AS (SELECT term, count(*) AS f FROM tf GROUP BY term),
+stats AS (SELECT count(*) AS items, avg(l) AS mean, (max(l) + 1) // 2 AS step FROM item),
+part AS (
+  SELECT i, term, ln(1 + (items - f + 0.5::DOUBLE) / (f + 0.5::DOUBLE)) * n * 2.2::DOUBLE / (n + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / mean)) AS x
+  FROM tf JOIN df USING (term) JOIN item USING (i), stats
+), c AS (SELECT i, term, x / sum(x) OVER (PARTITION BY i) AS x FROM part),
+doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents WHERE text IS NOT NULL),
+pos AS (
+  SELECT DISTINCT r, term, (p - 1) // step AS s FROM (SELECT r, unnest(t) AS term, generate_subscripts(t, 1) AS p FROM doc), stats
+  WHERE term IN (SELECT term FROM df)
+), win AS (SELECT DISTINCT r, term, s - k AS w FROM pos, (SELECT unnest([0, 1, 2]) AS k) WHERE s >= k),
+found AS (
+  SELECT r, i, max(x) AS score FROM (SELECT r, w, i, sum(x) AS x FROM win JOIN c USING (term) GROUP BY ALL) GROUP BY ALL HAVING max(x) >= 0.5 - 1e-9
+), parts AS (
+  SELECT i, 0 AS k, t AS p FROM item UNION ALL SELECT i, 1, t[:nq] FROM item UNION ALL SELECT i, 2, t[nq + 1:] FROM item
+), need AS (
+  SELECT DISTINCT i, k, least(5, len(p)) AS n, unnest(list_transform(range(1, len(p) - least(5, len(p)) + 2), lambda j: array_to_string(p[j:j + least(5, len(p)) - 1], ' '))) AS sh FROM parts
+), have AS (
+  SELECT DISTINCT r, n, unnest(list_transform(range(1, greatest(len(t) - n + 2, 1)), lambda j: array_to_string(t[j:j + n - 1], ' '))) AS sh
+  FROM doc JOIN (SELECT DISTINCT r FROM found) USING (r), (SELECT DISTINCT n FROM need)
+), shares AS (
+  SELECT r, i, score, k, count(h.sh) / count(*) AS share FROM found JOIN need USING (i) LEFT JOIN have h USING (r, n, sh) GROUP BY ALL
+), wide AS (
+  SELECT r, i, score, max(share) FILTER (k = 0) AS a, max(share) FILTER (k = 1) AS b, max(share) FILTER (k = 2) AS c FROM shares GROUP BY ALL
+)
+SELECT doc_id, item_id, round(score, 6) AS score, round(a, 6) AS overlap, round(b, 6) AS question_overlap, round(c, 6) AS answer_overlap
+FROM wide JOIN doc USING (r) JOIN item USING (i) WHERE a >= 0.8 AND b >= 0.5 AND c >= 0.5
+"""
