@@ -151,7 +151,7 @@ def links_of_parts(grouped: DataFrame, texts: DataFrame, threshold: float) -> Da
     rows = grouped.join(texts, "doc_id").select("group_id", "doc_id", "part", "text", inner.alias("inner"))
     rows = written(rows, "grouped")
     blocks = lambda own: F.ceil(F.greatest(F.sum(own.cast("int")) / BLOCK_ROWS, F.sum(F.when(own, F.length("text")).otherwise(0)) / BLOCK_CHARS, F.lit(1)))
-    sizes = rows.groupBy("group_id").agg(blocks(F.col("inner")).cast("int").alias("n_in"), blocks(~F.col("inner")).cast("int").alias("n_out"))
+    sizes = written(rows.groupBy("group_id").agg(blocks(F.col("inner")).cast("int").alias("n_in"), blocks(~F.col("inner")).cast("int").alias("n_out")), "sizes")
     rows = rows.join(sizes, "group_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.when(F.col("inner"), F.col("n_in")).otherwise(F.col("n_out"))).cast("int"))
     # outer blocks meet each other once, and every inner one
     with_outer = F.transform(F.sequence(F.lit(0), F.col("n_out") - 1), lambda k: F.struct(F.least(F.col("block"), k).alias("p"), F.greatest(F.col("block"), k).alias("q"), (F.col("block") > k).cast("int").alias("side")))
@@ -217,9 +217,51 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     concerned = F.col("doc_id").isNotNull() & id_filter(written(dropped.unionByName(repeated), "concerned"), "doc_id")
     rest = docs.where(concerned).join(dropped, "doc_id", "left_anti")
-    rest = rest.withColumn("__place", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("__place = 1").drop("__place")
+    place = "place"
+    while place in docs.columns:
+        place += "_"
+    rest = rest.withColumn(place, F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where(F.col(place) == 1)
     return docs.where(~concerned).unionByName(rest.select(docs.columns))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: Every two texts that share a shingle, compared by the similarity's definition.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), named AS (
+  SELECT doc_id, t, min(doc_id) OVER (PARTITION BY array_to_string(t, ' ')) AS rep FROM d WHERE len(t) > 0
+), bag AS (
+  SELECT doc_id, sh, count(*)::DOUBLE AS w FROM (
+    SELECT doc_id, unnest(list_transform(range(1, greatest(len(t) - 4, 1) + 1), lambda i: array_to_string(t[i:i + 4], ' '))) AS sh
+    FROM (SELECT DISTINCT doc_id, t FROM named WHERE doc_id = rep)) GROUP BY ALL
+), share AS (
+  SELECT *, w / sum(w) OVER (PARTITION BY doc_id) AS s FROM bag
+), pair AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM share x JOIN share y ON x.sh = y.sh AND x.doc_id < y.doc_id
+  GROUP BY ALL HAVING sum(least(x.s, y.s)) >= 0.799
+), element AS (
+  SELECT a, b, sh, sum(x) AS x, sum(y) AS y FROM (
+    SELECT a, b, sh, w AS x, 0 AS y FROM pair JOIN bag ON doc_id = a UNION ALL SELECT a, b, sh, 0, w FROM pair JOIN bag ON doc_id = b)
+  GROUP BY ALL
+), placed AS (
+  SELECT *, sum(x) OVER (PARTITION BY a, b ORDER BY CASE WHEN y = 0 THEN 1e300 ELSE x / y END DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS above,
+    sum(y) OVER (PARTITION BY a, b) - sum(y) OVER (PARTITION BY a, b ORDER BY CASE WHEN y = 0 THEN 1e300 ELSE x / y END DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS below
+  FROM element
+), link AS (
+  SELECT a, b FROM placed WHERE x > 0 AND y > 0 GROUP BY ALL HAVING sum(1 / (above / x + below / y)) >= 0.8
+  UNION SELECT rep, doc_id FROM named WHERE rep <> doc_id
+), edge AS (
+  SELECT a, b FROM link UNION SELECT b, a FROM link
+), reach AS (
+  SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a
+), root AS (
+  SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a
+)
+SELECT doc_id, least(doc_id, coalesce(low, doc_id)) AS class_id, doc_id = least(doc_id, coalesce(low, doc_id)) AS kept
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) LEFT JOIN root USING (doc_id)
+UNION ALL SELECT NULL, NULL, true FROM documents WHERE doc_id IS NULL
+"""

@@ -160,7 +160,7 @@ def _linked(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
     placed = written(rows.select("label", "class_id", "copies", "embedding", F.posexplode("cells").alias("visit", "cell")), "placed")
     blocks = lambda own: F.greatest(F.ceil(F.sum(own.cast("int")) / BLOCK), F.lit(1)).cast("int")
     sizes = placed.groupBy("label", "cell").agg(blocks(F.col("visit") == 0).alias("homes"), blocks(F.col("visit") > 0).alias("visits"))
-    placed = placed.join(sizes, ["label", "cell"])
+    placed = placed.join(written(sizes, "sizes"), ["label", "cell"])
     visiting = F.col("visit") > 0
     block = F.pmod(F.xxhash64("class_id"), F.when(visiting, F.col("visits")).otherwise(F.col("homes"))).cast("int")
     placed = placed.withColumn("block", block)
