@@ -99,3 +99,37 @@ def retrieve(queries: DataFrame, gated: DataFrame, places: DataFrame, recipe: Re
 
     return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInArrow(best, f"qid {qid}, row {row}, s double, n long")
 
+
+
+#: Points that nearest() takes at a time: they go to every task.
+MAX_POINTS = 100_000
+
+
+def nearest(points: DataFrame, places: DataFrame, k: int) -> DataFrame:
+    """(qid, row, km): the k places nearest to each of a bounded set of points
+    (qid, lat, lon), of equals the lower row. Each batch of places keeps its own k
+    for every point; the best of those remain."""
+    from waymark.functions.geo import EARTH_KM
+
+    asked = points.select("qid", F.radians("lat").alias("phi"), F.radians("lon").alias("lam")).limit(MAX_POINTS + 1).toArrow()
+    if asked.num_rows > MAX_POINTS:
+        raise ValueError(f"more than {MAX_POINTS} points: ask in parts")
+    phi, lam = asked.column("phi").to_numpy(), asked.column("lam").to_numpy()
+    qids = asked.column("qid").combine_chunks()
+
+    def best(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                rows, a, b = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                for first in range(0, len(phi), 256):
+                    p, q = phi[first : first + 256, None], lam[first : first + 256, None]
+                    half = np.sin((a - p) / 2) ** 2 + np.cos(p) * np.cos(a) * np.sin((b - q) / 2) ** 2
+                    km = 2 * EARTH_KM * np.arcsin(np.sqrt(np.clip(half, 0, 1)))
+                    order = np.lexsort((np.broadcast_to(rows, km.shape), km), axis=1)[:, :k]
+                    ids = qids.take(pa.array(np.repeat(np.arange(len(km)) + first, order.shape[1])))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(rows[order.ravel()]), pa.array(np.take_along_axis(km, order, axis=1).ravel())], ["qid", "row", "km"])
+
+    kinds = points.schema["qid"].dataType.simpleString(), places.schema["row"].dataType.simpleString()
+    found = places.select("row", F.radians("lat"), F.radians("lon")).mapInArrow(best, f"qid {kinds[0]}, row {kinds[1]}, km double")
+    return top_k(found.withColumn("s", -F.col("km")), k).select("qid", "row", "km")

@@ -60,10 +60,7 @@ def topk_candidates(s: SparkSession, d: str, k: int = RECIPE.top_k) -> DataFrame
 
 
 def nearest_places(s: SparkSession, d: str) -> DataFrame:
-    p = X.float_places(s, d).select("row", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    km = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
-    pairs = X.truth(s, d).join(p).select("qid", "row", km.alias("km"), (-km).alias("s"))
-    return rounded(search.top_k(pairs, 5).select("qid", "row", "km"))
+    return rounded(search.nearest(X.truth(s, d), X.float_places(s, d), 5))
 
 
 def pairs(s: SparkSession, d: str) -> DataFrame:
