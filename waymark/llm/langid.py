@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import held_out, table
+from waymark.llm.common import held_out, table, written
 
 #: N-grams of 1 to 3 characters go to so many buckets.
 BUCKETS, ORDERS = 1 << 14, 3
@@ -87,7 +87,7 @@ def fit_language_model(docs: DataFrame, text: str = "text", lang: str = "lang",
     """Fit on every row with a text and a language. No such row: a model without
     languages, which calls every text undetermined."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    cells = rows.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    cells = written(rows.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "cells")
     langs = sorted(r[0] for r in cells.where("bucket = -1").select("lang").limit(MAX_LANGUAGES + 1).collect())
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
