@@ -208,7 +208,7 @@ def training_rows(s: SparkSession, d: str) -> DataFrame:
     km = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
     near = top.join(t, "qid").select("qid", "row", km.alias("km"))
     rows = rerank.features(top, RECIPE).join(near, ["qid", "row"])
-    return rows.withColumn("fold", (F.col("qid") % 5).cast("int")).withColumn("y", (F.col("km") <= RECIPE.hit_km).cast("int"))
+    return rows.withColumn("fold", (F.floor(F.col("qid") / 10) % 5).cast("int")).withColumn("y", (F.col("km") <= RECIPE.hit_km).cast("int"))
 
 
 def lambda_grid(s: SparkSession, d: str) -> DataFrame:
