@@ -166,7 +166,7 @@ class Backend:
             return self.whole(texts)
         words = [WORD.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
         if len(self.ids) > KNOWN_WORDS:
-            self.ids, self.odd = {}, {}
+            self.forget()
         fresh = list(set().union(*words) - self.ids.keys())
         for at in range(0, len(fresh), TOGETHER):
             self.learn(fresh[at : at + TOGETHER])
@@ -179,6 +179,9 @@ class Backend:
             out.append((" ".join([ids[w] for w in own]), text, same))
         return out
 
+    def forget(self) -> None:
+        self.ids, self.odd = {}, {}
+
     def learn(self, fresh: list[str]) -> None:
         """Encode words that lie side by side, decode them, and hold both against
         the library and the text; one by one where anything differs."""
@@ -220,6 +223,13 @@ def encode_pieces(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text
     schema = f"doc_id {kind}, n_bytes long, n_tokens long, token_ids array<int>, ids_sha1 string, decoded_same boolean, parity boolean"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from encoded(batches)
+        finally:  # a worker that waits for its next task holds no words
+            if model_path in _loaded:
+                _loaded[model_path].forget()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(at, BATCH_ROWS)
