@@ -174,7 +174,7 @@ def download_text(s: SparkSession, d: str) -> DataFrame:
 
 
 def shard_order(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "orders").where("o_orderkey <= 3000").select(F.concat(F.lit("c2_cls_r"), (F.col("o_custkey") % 12).cast("string")).alias("file"), F.col("o_orderkey").alias("i"))
+    rows = table(s, d, "orders").select(F.concat(F.lit("c2_cls_r"), (F.col("o_custkey") % 12).cast("string")).alias("file"), F.col("o_orderkey").alias("i"))
     return assets.numbered(rows, "file", "i").select("shard", "i", "row")
 
 
