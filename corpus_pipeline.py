@@ -32,7 +32,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def anonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars is that of the new text."""
-    out = pseudonyms.pseudonymise(docs, KEY)
+    out = pseudonyms.pseudonymise(docs, KEY, plan_only=False)
     n_chars = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.withColumn("n_chars", n_chars).select(COLUMNS)
 
