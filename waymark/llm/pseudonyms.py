@@ -26,6 +26,13 @@ IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 #: A match is no part of a longer word, number or address.
 BEFORE, AFTER = r"(?<![\p{L}\p{N}_.+@-])", r"(?![\p{L}\p{N}_@]|[.-][\p{L}\p{N}_])"
 PATTERN = f"{BEFORE}(?:{EMAIL}|{PHONE}|{SSN}|{IPV4}|{DATE}|{IBAN}|{CARD}){AFTER}"
+#: A card ends before a dash and digits, too: what follows may be another number.
+CARD_AFTER = r"(?![\p{L}\p{N}_@]|\.[\p{L}\p{N}_]|-[\p{L}_])"
+#: The longest text from a number on that may be a card, at each number and where a
+#: run of numbers begins; and the usual groupings.
+CARD_AT = rf"{BEFORE}(?=({CARD}){CARD_AFTER})\d+"
+FREE_AT = rf"(?<!\d[ -]){CARD_AT}"
+GROUPED = r"^(?:\d{4}([ -])\d{4}\1\d{4}\1(?:\d{4}(?:\1\d{3})?|\d{1,3})|\d{4}([ -])\d{6}\2\d{4,5})$"
 KINDS = ("email", "phone", "ssn", "ip", "date", "iban", "card")
 #: Dates are permuted within their 400 years (1600 to 1999, 2000 to 2399 and so
 #: on), a whole cycle of the calendar, which has 27 * 5411 days.
@@ -129,6 +136,61 @@ def card(value: Column, key: Column) -> Column:
     return F.when(luhn_sum(digits) % 10 == 0, filled(value, whole[0]))
 
 
+def spaced_cards(value: Column) -> Column:
+    """(grouped, free): the cards of a text that are written with spaces or dashes,
+    longest first. Grouped: at any number, the longest text of a usual grouping with
+    a right check digit. Free: where a run of numbers begins, the longest text of any
+    grouping that ends before no dash, and whatever matches as a whole, unless a plain
+    or grouped card begins in it. (Such texts at every number of a table would take
+    most of the table for cards.)"""
+
+    def right(s: Column) -> Column:
+        return luhn_sum(digits_of(s)) % 10 == 0
+
+    def cards(at: Column, grouped: bool) -> Column:
+        ends = F.filter(F.sequence(F.lit(13), F.length(at)), lambda i: F.substr(at, i + 1, F.lit(1)).isin("", " ", *["-"] * grouped) & F.substr(at, i, F.lit(1)).between("0", "9"))
+        parts = F.transform(ends, lambda i: F.substr(at, F.lit(1), i))
+        usual = lambda s: s.rlike(GROUPED) if grouped else ~s.rlike(GROUPED)
+        return F.filter(parts, lambda s: usual(s) & (F.length(digits_of(s)) >= 13) & s.rlike("[ -]") & right(s))
+
+    def plain(at: Column) -> Column:
+        return F.exists(F.regexp_extract_all(at, F.lit(r"(?<!\d)\d{13,19}(?!\d)"), F.lit(0)), right)
+
+    def sorted_last(found: Column) -> Column:
+        last = F.array_distinct(F.array_compact(F.transform(found, lambda x: F.try_element_at(x, F.lit(-1)))))
+        return F.transform(F.array_sort(F.transform(last, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda x: x["s"])
+
+    places = F.filter(F.array_distinct(F.regexp_extract_all(value, F.lit(CARD_AT), F.lit(1))), lambda at: at.rlike("[ -]"))
+    grouped = sorted_last(F.transform(F.filter(places, lambda at: ~plain(F.regexp_extract(at, r"^\d+", 0))), lambda at: cards(at, True)))
+
+    def others(usual: Column) -> Column:
+        begins = F.transform(usual, lambda s: F.regexp_extract(s, r"^\d+", 0))
+
+        def free(found: Column) -> Column:
+            return F.filter(F.array_distinct(found), lambda at: at.rlike("[ -]") & ~plain(at) & ~F.exists(begins, lambda s: F.array_contains(F.split(at, "[ -]"), s)))
+
+        first = free(F.regexp_extract_all(value, F.lit(FREE_AT), F.lit(1)))
+        as_is = free(F.filter(F.regexp_extract_all(value, F.lit(PATTERN), F.lit(0)), lambda m: m.rlike(f"^{CARD}$")))
+        found = F.concat(F.transform(first, lambda at: cards(at, False)), F.transform(as_is, lambda at: F.filter(F.array(at), right)))
+        return F.struct(usual.alias("grouped"), sorted_last(found).alias("free"))
+
+    return F.transform(F.array(grouped), others)[0]
+
+
+def pattern_of(value: Column) -> Column:
+    """The pattern of a text's matches: all kinds, plain cards, and the text's
+    spaced_cards as they stand, so that no neighbour is taken for a part of a card."""
+
+    def whole(free: Column | None = None, grouped: Column | None = None) -> Column:
+        others = F.lit("|".join((EMAIL, PHONE, SSN, IPV4, DATE, IBAN)))
+        first = others if free is None else F.array_join(F.concat(F.array(others), free), "|")
+        last = F.lit(r"\d{13,19}") if grouped is None else F.array_join(F.concat(grouped, F.array(F.lit(r"\d{13,19}"))), "|")
+        return F.concat(F.lit(f"{BEFORE}(?:(?:"), first, F.lit(f"){AFTER}|(?:"), last, F.lit(f"){CARD_AFTER})"))
+
+    spaced = F.transform(F.array(spaced_cards(value)), lambda c: F.when(F.size(c["grouped"]) + F.size(c["free"]) > 0, whole(c["free"], c["grouped"])))[0]
+    return F.coalesce(F.when(value.rlike(CARD_AT), spaced), whole())
+
+
 def phone(value: Column, key: Column, plan_only: bool = False) -> Column:
     """Area and exchange stay within 200 to 999, or below 200 where they are: such
     numbers are none of the numbering plan, and stay as they are if plan_only."""
@@ -238,7 +300,12 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", into: str = "tex
     """
     key_column = F.lit(key)
     value = F.col(text)
-    matches = F.when(value.rlike("[0-9@]"), F.regexp_extract_all(value, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    held, pattern = "__found", "__pattern"
+    while held in docs.columns:
+        held += "_"
+    while pattern in docs.columns:
+        pattern += "_"
+    matches = F.when(value.rlike("[0-9@]"), F.regexp_extract_all(value, F.col(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
     def one(match: Column) -> Column:
         return F.struct(match.alias("match"), kind_of(match).alias("kind"))
@@ -248,13 +315,10 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", into: str = "tex
 
     found = F.transform(F.transform(matches, one), replaced)
     names = [c for c in docs.columns if c not in (into, counts)]
-    held = "__found"
-    while held in docs.columns:
-        held += "_"
-    # the matches are made once, behind a projection that is not merged into the next
-    rows = docs.withColumn(held, found)
+    # the patterns and the matches are made once, behind projections that are not merged into the next
+    rows = docs.withColumn(pattern, pattern_of(value)).withColumn(held, found)
     new = F.col(held)
-    between = F.split(value, PATTERN, -1)
+    between = F.split(value, F.col(pattern), -1)
     joined = F.array_join(F.zip_with(between, new, lambda part, s: F.concat(part, F.coalesce(s["new"], s["match"], F.lit("")))), "")
     hits = F.filter(new, lambda s: s["new"].isNotNull())
 
