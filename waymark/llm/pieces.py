@@ -2,20 +2,20 @@
 
 The model file is read as a protobuf here, and its parts are rebuilt as a
 tokenizers pipeline: normaliser, metaspace marker, piece scores (unigram) or
-the merges that the scores imply (BPE), byte fallback. Batches are encoded
-multithreaded. Each text's ids are then held against the sentencepiece library
-itself; where a text differs, the library's ids are kept and `parity` is false.
+the merges that the scores imply (BPE), byte fallback. Batches of whole texts are
+encoded and decoded multithreaded. Each text's ids are held against those of the
+sentencepiece library itself; where a text differs, the library's ids are
+kept and `parity` is false.
 """
 
 from __future__ import annotations
 
-import hashlib
 import os
-import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +25,9 @@ from waymark.llm.common import table
 MARK = "▁"
 #: Piece types of the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Rows that are encoded at a time, and threads of one encoding batch.
-BATCH_ROWS, THREADS = 256, 2
+#: Rows, and characters, that are encoded at a time, and threads of one encoding
+#: batch. A longer text is a batch of its own.
+BATCH_ROWS, BATCH_CHARS, THREADS = 256, 1 << 20, 2
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -68,7 +69,11 @@ class PieceModel:
 
 
 def parse_model(data: bytes) -> PieceModel:
-    """The parts of a sentencepiece model file that encoding needs."""
+    """The parts of a sentencepiece model file that encoding needs. Models that
+    build_tokenizer() cannot rebuild exactly are refused: kinds other than unigram
+    and BPE, markers behind words, white space that is not marked, and BPE models
+    with pieces defined by the user (they are cut out before merges begin) or
+    of characters that are no pieces."""
     pieces, trainer, normaliser = [], {}, {}
     for field, value in _fields(data):
         if field == 1:
@@ -78,9 +83,14 @@ def parse_model(data: bytes) -> PieceModel:
             trainer = dict(_fields(value))
         elif field == 3:
             normaliser = dict(_fields(value))
+    kind = {1: "unigram", 2: "bpe"}.get(trainer.get(3, 1))
+    known = {p for p, _, _ in pieces}
+    odd = kind == "bpe" and any(x == USER_DEFINED or x == NORMAL and not known.issuperset(p) for p, _, x in pieces)
+    if kind is None or odd or trainer.get(24, 0) or not normaliser.get(5, 1):
+        raise ValueError("a model of a kind that is not rebuilt here")
     return PieceModel(
         pieces,
-        {1: "unigram", 2: "bpe"}[trainer.get(3, 1)],
+        kind,
         next((i for i, x in enumerate(pieces) if x[2] == UNKNOWN), 0),
         bool(trainer.get(35, 0)),
         normaliser.get(2, b""),
@@ -122,134 +132,87 @@ def build_tokenizer(model: PieceModel):  # noqa: ANN201
     return tokenizer
 
 
-#: A run of markers and what follows up to the next one.
-WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Words whose ids a worker remembers.
-KNOWN_WORDS = 1 << 19
-#: New words that are encoded as one text.
-TOGETHER = 512
-
-
 class Backend:
-    """A model's tokenizer, the library to hold it against, and, for models no
-    piece of which crosses the start of a word, the words met so far."""
+    """A model's tokenizer, and the library to hold it against."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         import sentencepiece
-        from tokenizers import Tokenizer
 
         with open(path, "rb") as file:
             data = file.read()
-        self.model = parse_model(data)
-        self.tokenizer = build_tokenizer(self.model)
+        self.tokenizer = build_tokenizer(parse_model(data))
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.by_word = self.tokenizer.pre_tokenizer is not None and self.model.dummy_prefix and not self.model.charsmap and not self.model.squeeze_spaces
-        self.bare = Tokenizer(self.tokenizer.model)
-        self.ids: dict[str, str] = {}
-        #: decoded text and parity of the words that don't come back as they are
-        self.odd: dict[str, tuple[str, bool]] = {}
-
-    def whole(self, texts: list[str]) -> list[tuple[str, str, bool]]:
-        """(ids, decoded text, parity) of each text, each encoded as a whole; ids
-        are in decimal, separated by spaces."""
-        ids = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[tuple[list[int], str, bool]]:
+        """(ids, their decoded text, parity) of each text."""
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         truth = self.library.encode(texts, num_threads=1)
-        decoded = self.tokenizer.decode_batch(truth, skip_special_tokens=False)
-        return [(" ".join(map(str, b)), text, a == b) for a, b, text in zip(ids, truth, decoded)]
-
-    def encode(self, texts: list[str]) -> list[tuple[str, str, bool]]:
-        """As whole(); where words can be encoded apart, each distinct word is
-        encoded, decoded and held against the library once."""
-        if not self.by_word:
-            return self.whole(texts)
-        words = [WORD.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
-        if len(self.ids) > KNOWN_WORDS:
-            self.forget()
-        fresh = list(set().union(*words) - self.ids.keys())
-        for at in range(0, len(fresh), TOGETHER):
-            self.learn(fresh[at : at + TOGETHER])
-        ids, odd, out = self.ids, self.odd, []
-        for x, own in zip(texts, words):
-            text, same = x.replace(MARK, " "), True
-            if odd and not odd.keys().isdisjoint(own):
-                text = "".join([odd[w][0] if w in odd else w.replace(MARK, " ") for w in own])[1:]
-                same = all(odd[w][1] for w in own if w in odd)
-            out.append((" ".join([ids[w] for w in own]), text, same))
-        return out
-
-    def forget(self) -> None:
-        self.ids, self.odd = {}, {}
-
-    def learn(self, fresh: list[str]) -> None:
-        """Encode words that lie side by side, decode them, and hold both against
-        the library and the text; one by one where anything differs."""
-        encoding = self.bare.encode(fresh, is_pretokenized=True, add_special_tokens=False)
-        text = "".join(fresh)[1:].replace(MARK, " ")
-        if encoding.ids == self.library.encode(text) and self.tokenizer.decode(encoding.ids, skip_special_tokens=False) == text:
-            decimal, of = list(map(str, encoding.ids)), encoding.word_ids
-            edges = [0, *(i for i, (x, y) in enumerate(zip(of, of[1:]), 1) if x != y), len(of)]
-            self.ids.update(zip(fresh, [" ".join(decimal[i:j]) for i, j in zip(edges, edges[1:])]))
-            return
-        for w, (ids_text, text, same) in zip(fresh, self.whole([w[1:].replace(MARK, " ") for w in fresh])):
-            if w == MARK:  # the library sees one marker only behind another
-                ids_text, text, same = str(next(i for i, x in enumerate(self.model.pieces) if x[0] == MARK)), "", True
-            self.ids[w] = ids_text
-            if not same or " " + text != w.replace(MARK, " "):
-                self.odd[w] = (" " + text, same)
+        same = [a == b for a, b in zip(ids, truth)]
+        return list(zip(truth, self.tokenizer.decode_batch(truth, skip_special_tokens=False), same))
 
 
 _loaded: dict[str, Backend] = {}
 
 
-def encode_decode(texts: list[str | None], path: str) -> list[tuple[str, str, bool]]:
-    """(ids, decoded text, parity) of each text; a null text counts as empty."""
+def backend(path: str) -> Backend:
     if path not in _loaded:
         _loaded[path] = Backend(path)
-    return _loaded[path].encode([x or "" for x in texts])
+    return _loaded[path]
 
 
-def encode_pieces(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes (UTF-8), n_tokens, token_ids
-    (if keep_ids), ids_sha1 (of the ids in decimal, separated by spaces), decoded_same (decoding gives
-    the text back), parity. Null and empty texts have no tokens. Null ids,
-    repeated rows and an empty table are as they are; other columns are not
-    looked at. Texts are never cut.
+def encode_decode(texts: list[str | None], path: str) -> list[tuple[str, str, bool]]:
+    """(ids, decoded text, parity) of each text, the ids in decimal, separated by
+    spaces; a null text counts as empty."""
+    return [(" ".join(map(str, ids)), text, same) for ids, text, same in backend(path).encode([x or "" for x in texts])]
+
+
+def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of at most BATCH_ROWS texts, and BATCH_CHARS characters if they are several."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if i > first and (i - first == BATCH_ROWS or size > BATCH_CHARS):
+            yield first, i
+            first, size = i, len(text or "")
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def encode_pieces(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes (UTF-8), n_tokens, token_ids,
+    decoded_same (decoding the ids gives the text back), parity (the ids of the
+    rebuilt tokenizer are those of the library). Null and empty texts have no tokens.
+    Null ids, repeated rows and an empty table are as they are; other columns
+    are not looked at. Texts are never cut.
 
     model_path must be readable on every executor.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, n_tokens long, token_ids array<int>, ids_sha1 string, decoded_same boolean, parity boolean"
+    schema = f"doc_id {kind}, n_bytes long, n_tokens long, token_ids array<int>, decoded_same boolean, parity boolean"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from encoded(batches)
-        finally:  # a worker that waits for its next task holds no words
-            if model_path in _loaded:
-                _loaded[model_path].forget()
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_ROWS):
-                batch = whole.slice(at, BATCH_ROWS)
-                texts = batch.column(1).to_pylist()
-                found = encode_decode(texts, model_path)
+            all_texts = whole.column(1).to_pylist()
+            for first, end in _parts(all_texts):
+                texts = all_texts[first:end]
+                found = backend(model_path).encode([x or "" for x in texts])
+                n = np.array([len(x[0]) for x in found], dtype=np.int64)
+                ids = np.fromiter((i for x in found for i in x[0]), dtype=np.int32, count=int(n.sum()))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0),
+                        whole.column(0).slice(first, end - first),
                         pa.array([len((x or "").encode()) for x in texts], pa.int64()),
-                        pa.array([x[0].count(" ") + 1 if x[0] else 0 for x in found], pa.int64()),
-                        pa.array([list(map(int, x[0].split())) if keep_ids else None for x in found], pa.list_(pa.int32())),
-                        pa.array([hashlib.sha1(x[0].encode()).hexdigest() for x in found]),
+                        pa.array(n),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids)),
                         pa.array([x[1] == (text or "") for x, text in zip(found, texts)]),
                         pa.array([x[2] for x in found]),
                     ],
-                    ["doc_id", "n_bytes", "n_tokens", "token_ids", "ids_sha1", "decoded_same", "parity"],
+                    ["doc_id", "n_bytes", "n_tokens", "token_ids", "decoded_same", "parity"],
                 )
 
-    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, schema)
-    return out if keep_ids else out.drop("token_ids")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, schema)
 
 
 def default_model() -> str:
@@ -259,4 +222,4 @@ def default_model() -> str:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_pieces(table(spark, sf_dir, "documents"), default_model(), keep_ids=False)
+    return encode_pieces(table(spark, sf_dir, "documents"), default_model())
