@@ -1,4 +1,5 @@
 import random
+import time
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -33,3 +34,38 @@ def test_rows(spark):
     out = tokencount.count_tokens(rows, PATH, limit=1).collect()
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in out) == [(0, 0, 0, False), (1, 7, 2, True), (1, 7, 2, True), (2, 0, 0, False)]
     assert tokencount.count_tokens(rows.limit(0), PATH).count() == 0
+
+
+def test_every_code_point():
+    library = Tokenizer.from_file(PATH)
+    counter = tokencount.TokenCounter(PATH)
+    texts = [f"a{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(texts), 100_000):
+        part = texts[at : at + 100_000]
+        assert counter.count(part) == [len(x.ids) for x in library.encode_batch_fast(part, add_special_tokens=False)]
+
+
+def test_long_words_are_composed_of_chunks(monkeypatch):
+    rng = random.Random(3)
+    library = Tokenizer.from_file(PATH)
+    texts = ["x" * 10_000, "abc" * 5000, "thecatsat" * 3000, "執é" * 4000, "".join(rng.choice("abcdefghij") for _ in range(20_000)), "the " + "z" * 64, "z" * 65, "z" * 128]
+    want = [len(library.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert tokencount.TokenCounter(PATH).count(texts) == want
+    for name, value in (("SIDE_BY_SIDE", 1024), ("LOOK_BACK", 0), ("MAX_STATES", 500), ("WORD_CHUNK", 7)):
+        monkeypatch.setattr(tokencount, name, value)
+        assert tokencount.TokenCounter(PATH).count(texts) == want
+
+
+def test_a_word_of_a_megabyte_takes_seconds():
+    counter = tokencount.TokenCounter(PATH)
+    for word in ("x" * 1_000_000, "abc" * 333_333):
+        began = time.perf_counter()
+        assert counter.count([word]) == [len(Tokenizer.from_file(PATH).encode(word, add_special_tokens=False).ids)]
+        assert time.perf_counter() - began < 20
+
+
+def test_query_is_the_library(spark):
+    library = Tokenizer.from_file(PATH)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    want = sorted((i, len(x.encode()), n := len(library.encode(x, add_special_tokens=False).ids), n > 2048) for i, x in texts.items())
+    assert sorted(map(tuple, tokencount.op8_token_counts(spark, "/root/testdata/sf0.01").collect())) == want

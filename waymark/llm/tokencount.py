@@ -6,8 +6,15 @@ maps over chunks of the text (for every state before a chunk, the state behind
 it) are made side by side and composed by a parallel prefix scan; then every chunk
 runs from its true state. The second counts a word's tokens: it reads one byte
 at a time, and each transition carries by how much the number of tokens grows or
-shrinks. It is compiled as far as the words met need it, and all new words of a
-batch run through it side by side.
+shrinks. It is compiled as far as the words met need it. Words are cut into
+chunks, and all chunks of a batch run through it side by side: one that does not
+begin its word from the state that some bytes before it lead to. A chunk's map so
+has one entry state that is known; the maps and their counts are composed by a
+prefix scan, and where a chunk was entered in another state, its map gets that one
+too, until all maps of a word meet.
+
+What the classes of characters are, what is lower case, and how characters compose,
+is asked of the library itself, for every character.
 
 The second transducer rests on two properties of BPE: the tokens of a prefix of
 a word end in one token t, and what precedes t is tokenized as if it stood alone;
@@ -22,6 +29,8 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +43,17 @@ from waymark.llm.common import table
 LIMIT = 2048
 #: The tokenizer whose pattern the first transducer follows; fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Characters that the pattern's \s takes, fixed values.
-SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
+#: The normaliser that is followed; fixed values.
+NORMALISER = ["NFC", "Replace", "Lowercase"]
 #: Characters of a chunk; of the texts taken at a time.
 CHUNK, PIECE = 64, 1 << 20
-#: Words remembered, and states compiled, before a worker starts anew.
-KNOWN_WORDS, MAX_STATES = 1 << 19, 1 << 18
-#: Rows and columns by which the transition table grows.
-MORE_STATES, MORE_SYMBOLS = 1 << 14, 32
+#: Bytes of a chunk of a word, bytes before it that its state is guessed from, and
+#: bytes of the chunks that run side by side.
+WORD_CHUNK, LOOK_BACK, SIDE_BY_SIDE = 64, 32, 1 << 16
+#: Words and bytes of them remembered, and states compiled, before a worker starts anew.
+KNOWN_WORDS, KNOWN_BYTES, MAX_STATES = 1 << 18, 1 << 24, 1 << 16
+#: Columns by which the transition table grows; it has twice the rows when it grows.
+FIRST_STATES, MORE_SYMBOLS = 1 << 14, 32
 
 # classes of characters
 SPACE, LETTER, NUMBER, OTHER, QUOTE, STMD, R, V, ELL, E = range(10)
@@ -78,21 +90,45 @@ def _splitter() -> tuple[np.ndarray, np.ndarray]:
 
 
 _TO, _SAYS = _splitter()
-_classes: np.ndarray | None = None
 
 
-def _class_table() -> np.ndarray:
+@dataclass
+class Alphabet:
+    """The class of every code point, and whether Python's tables and the library's
+    may treat it differently (texts with such are normalised by the library)."""
+
+    kinds: np.ndarray
+    strange: np.ndarray
+
+
+@cache
+def library_alphabet() -> Alphabet:
+    """As the tokenizers library has it, asked once for each code point."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    codes = [*range(0xD800), *range(0xE000, 0x110000)]
+    chars = "".join(map(chr, codes))
+    place = np.array(codes)
     kinds = np.full(0x110000, OTHER, dtype=np.uint8)
-    for code in range(0x110000):
-        kind = unicodedata.category(chr(code))[0]
-        if kind in "LN":
-            kinds[code] = LETTER if kind == "L" else NUMBER
-    for c in SPACES:
-        kinds[ord(c)] = SPACE
-    for chars, kind in (("'", QUOTE), ("stmd", STMD), ("r", R), ("v", V), ("l", ELL), ("e", E)):
-        for c in chars:
+    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
+        for _, (first, end) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(chars):
+            kinds[place[first:end]] = kind
+    for own, kind in (("'", QUOTE), ("stmd", STMD), ("r", R), ("v", V), ("l", ELL), ("e", E)):
+        for c in own:
             kinds[ord(c)] = kind
-    return kinds
+    strange = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+    probes = [
+        (normalizers.Lowercase(), str.lower, "{}"),
+        (normalizers.NFD(), lambda x: unicodedata.normalize("NFD", x), "{}"),
+        (normalizers.NFD(), lambda x: unicodedata.normalize("NFD", x), "a{}\u0334"),
+    ]
+    for library, python, frame in probes:
+        asked = [frame.format(c) for c in chars if c != "\n"]
+        for c, x, found in zip(filter("\n".__ne__, chars), asked, library.normalize_str("\n".join(asked)).split("\n")):
+            if python(x) != found:
+                strange[[ord(c), *map(ord, python(c)), *map(ord, found)]] = True
+    strange[: 0x80] = False
+    return Alphabet(kinds, strange)
 
 
 def entry_states(maps: np.ndarray) -> np.ndarray:
@@ -107,13 +143,26 @@ def entry_states(maps: np.ndarray) -> np.ndarray:
     return np.concatenate(([OUT], maps[:-1, OUT])).astype(np.uint8)
 
 
-def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of a normalised text start and end."""
-    global _classes
-    if _classes is None:
-        _classes = _class_table()
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    kinds = np.append(_classes[codes], SPACE)  # the space settles what is open
+def composed(meets: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Whether each chunk's map composes with those of all chunks before it back to
+    the last fresh one (whose entry state is sure), given whether each meets the one
+    before: an inclusive scan that joins ranges twice as long in each step."""
+    ok, closed = meets.copy(), fresh.copy()
+    step = 1
+    while step < len(ok):
+        ok[step:] &= closed[step:] | ok[:-step]
+        closed[step:] |= closed[:-step]
+        step *= 2
+    return ok
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def word_spans(text: str, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a normalised text start and end, by the class of each code point."""
+    kinds = np.append(kinds[code_points(text)], SPACE)  # the space settles what is open
     n = len(kinds)
     padded = np.zeros(-(-n // CHUNK) * CHUNK, dtype=np.uint8)
     padded[:n] = kinds
@@ -171,14 +220,15 @@ class WordTransducer:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        """Forget all states but the first, and what was found on the way."""
         self.states: list[tuple] = [((0, "", 0),)]
         self.number: dict[tuple, int] = {self.states[0]: 0}
         self.column = np.full(512, -1, dtype=np.int64)
         self.symbols = 0
         self.to = np.full((0, 0), -1, dtype=np.int32)
         self.grows = np.zeros((0, 0), dtype=np.int8)
-        self.widen(MORE_STATES, MORE_SYMBOLS)
+        self.widen(FIRST_STATES, MORE_SYMBOLS)
+        self.pairs.clear()
 
     def widen(self, states: int, symbols: int) -> None:
         by = ((0, states), (0, symbols))
@@ -227,39 +277,113 @@ class WordTransducer:
             if target == len(self.states):
                 self.states.append(after)
                 if target == len(self.to):
-                    self.widen(MORE_STATES, 0)
+                    self.widen(len(self.to), 0)
         self.to[state, self.column[symbol]], self.grows[state, self.column[symbol]] = target, grows
 
-    def count(self, words: list[bytes]) -> np.ndarray:
-        """The number of tokens of each non-empty word."""
-        length = np.array([len(w) for w in words], dtype=np.int64)
+    def run(self, spans: list[bytes], entry: list[int], ends: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """How many tokens each span adds, and the state behind it, from its entry
+        state; ends says whether a span's last byte is its word's."""
+        length = np.array([len(x) for x in spans], dtype=np.int64)
         order = np.argsort(-length, kind="stable")
-        data = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int64)
+        data = np.frombuffer(b"".join(spans), dtype=np.uint8).astype(np.int64)
+        if len(data):
+            last = (np.cumsum(length) - 1)[np.array(ends) & (length > 0)]
+            data[last] += 256
         start = (np.cumsum(length) - length)[order]
         length = length[order]
-        for s in np.unique(np.concatenate([data, data[start + length - 1] + 256])):
+        for s in np.unique(data):
             if self.column[s] < 0:
                 self.column[s] = self.symbols
                 self.symbols += 1
                 if self.symbols == self.to.shape[1]:
                     self.widen(0, MORE_SYMBOLS)
-        total = np.zeros(len(words), dtype=np.int64)
-        state = np.zeros(len(words), dtype=np.int64)
-        active = len(words)
-        for k in range(int(length[0])):
-            active = int(np.searchsorted(-length[:active], -k, side="left"))
-            symbol = data[start[:active] + k] + 256 * (length[:active] == k + 1)
+        total = np.zeros(len(spans), dtype=np.int64)
+        state = np.array(entry, dtype=np.int64)[order]
+        for k in range(int(length[0]) if len(length) else 0):
+            active = int(np.searchsorted(-length, -k, side="left"))
+            symbol = data[start[:active] + k]
             column, now = self.column[symbol], state[:active]
             target = self.to[now, column]
             if (target < 0).any():
-                for own, s in np.unique(np.stack([now[target < 0], symbol[target < 0]]), axis=1).T.tolist():
+                for own, s in {*zip(now[target < 0].tolist(), symbol[target < 0].tolist())}:
                     self.compile(own, s)
                 target = self.to[now, column]
             total[:active] += self.grows[now, column]
             state[:active] = target
-        out = np.empty_like(total)
-        out[order] = total
-        return out
+        added, behind = np.empty_like(total), np.empty_like(state)
+        added[order], behind[order] = total, state
+        return added, behind
+
+    def count(self, words: list[bytes]) -> np.ndarray:
+        """The number of tokens of each non-empty word."""
+        chunks: list[tuple[int, int]] = []
+        size, first, out = 0, 0, []
+        for i, word in enumerate(words):
+            chunks += [(i, at) for at in range(0, len(word), WORD_CHUNK)]
+            size += len(word)
+            if size > SIDE_BY_SIDE or i == len(words) - 1:
+                out.append(self._composed(words, chunks, first, i + 1))
+                chunks, size, first = [], 0, i + 1
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+
+    def _composed(self, words: list[bytes], chunks: list[tuple[int, int]], first: int, end: int) -> np.ndarray:
+        """The counts of words[first:end], of which chunks are the (word, place)s:
+        a group of them at a time, which goes on from the state behind the group before."""
+        total = np.zeros(end - first, dtype=np.int64)
+        step = SIDE_BY_SIDE // WORD_CHUNK
+        before: tuple = self.states[0]  # of a word that goes on from the group before
+        for at in range(0, len(chunks), step):
+            if len(self.states) > MAX_STATES:
+                self.clear()
+            own = chunks[at : at + step]
+            word = np.array([i for i, _ in own])
+            spans = [words[i][k : k + WORD_CHUNK] for i, k in own]
+            ends = [k + WORD_CHUNK >= len(words[i]) for i, k in own]
+            begins = np.array([k == 0 for _, k in own])
+            true = np.where(begins, 0, -1)
+            if not begins[0]:
+                true[0] = self._number(before)
+            guessed = np.flatnonzero(true < 0)
+            entry = np.maximum(true, 0)
+            if len(guessed):
+                looks = [words[own[k][0]][max(0, own[k][1] - LOOK_BACK) : own[k][1]] for k in guessed.tolist()]
+                entry[guessed] = self.run(looks, [0] * len(looks), [False] * len(looks))[1]
+            added, behind = self._met(spans, entry, ends, true) if (true < 0).any() else self.run(spans, entry.tolist(), ends)
+            np.add.at(total, word - first, added)
+            before = self.states[int(behind[-1])]
+        return total
+
+    def _number(self, state: tuple) -> int:
+        if state not in self.number:
+            self.number[state] = len(self.states)
+            self.states.append(state)
+            if len(self.states) > len(self.to):
+                self.widen(len(self.to), 0)
+        return self.number[state]
+
+    def _met(self, spans: list[bytes], entry: np.ndarray, ends: list[bool], true: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Run chunks from guessed entry states, and again where the chunk before
+        ends in another one; true has the entry states that are sure, else -1."""
+        maps: dict[tuple[bytes, bool, int], tuple[int, int]] = {}
+        while True:
+            keys = list(zip(spans, ends, entry.tolist()))
+            if new := list({k for k in keys if k not in maps}):
+                maps.update(zip(new, zip(*(x.tolist() for x in self.run([k[0] for k in new], [k[2] for k in new], [k[1] for k in new])))))
+            added, behind = np.array([maps[k] for k in keys], dtype=np.int64).T
+            wanted = np.where(true >= 0, true, np.concatenate(([0], behind[:-1])))
+            met = composed(wanted == entry, true >= 0)
+            if met.all():
+                return added, behind
+            # the chain is right up to the first break; on from there by the maps that are known
+            entry = np.where(wanted == entry, entry, wanted)
+            k = int(np.flatnonzero(~met)[0])
+            behind_now = int(wanted[k])
+            while k < len(spans):
+                entry[k] = true[k] if true[k] >= 0 else behind_now
+                found = maps.get((spans[k], ends[k], int(entry[k])))
+                if found is None:
+                    break
+                behind_now, k = found[1], k + 1
 
 
 def _byte_characters() -> dict[int, str]:
@@ -271,14 +395,21 @@ def _byte_characters() -> dict[int, str]:
 
 
 class TokenCounter:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, alphabet: Alphabet | None = None) -> None:
+        from tokenizers import normalizers
+
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model, split = spec["model"], spec["pre_tokenizer"]["pretokenizers"][0]
-        if model["type"] != "BPE" or split["pattern"]["Regex"] != PATTERN:
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        if model["type"] != "BPE" or split["pattern"]["Regex"] != PATTERN or steps != NORMALISER:
             raise ValueError(f"{path} is not of the kind that is compiled here")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.words = WordTransducer(model["vocab"], merges, model["end_of_word_suffix"])
+        self.alphabet = alphabet or library_alphabet()
+        self.normaliser = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.known: dict[str, int] = {}
+        self.known_bytes = 0
         self.special = re.compile("|".join(re.escape(t["content"]) for t in sorted(spec["added_tokens"], key=lambda t: -len(t["content"]))))
 
     def count(self, texts: list[str | None]) -> list[int]:
@@ -292,7 +423,7 @@ class TokenCounter:
                 plain = self.special.split(part)
                 totals[i] += len(plain) - 1
                 for own in plain:
-                    own = unicodedata.normalize("NFC", own).replace("Σ", "σ").lower()
+                    own = self.normalised(own)
                     taken.append((i, own))
                     size += len(own)
                 if size > PIECE:
@@ -301,19 +432,25 @@ class TokenCounter:
         self._add(taken, totals)
         return totals
 
+    def normalised(self, text: str) -> str:
+        if not text.isascii() and self.alphabet.strange[code_points(text)].any():
+            return self.normaliser.normalize_str(text)
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
     def _add(self, taken: list[tuple[int, str]], totals: list[int]) -> None:
         if not taken:
             return
         joined = "\n".join(x for _, x in taken)  # white space ends every token
-        starts, ends = word_spans(joined)
+        starts, ends = word_spans(joined, self.alphabet.kinds)
         words = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-        known = self.words.known
-        if len(known) > KNOWN_WORDS or len(self.words.states) > MAX_STATES:
-            self.words.clear()
-            known = self.words.known
+        if len(self.known) > KNOWN_WORDS or self.known_bytes > KNOWN_BYTES:
+            self.known, self.known_bytes = {}, 0
+        known = self.known
         fresh = list(set(words) - known.keys())
         if fresh:
-            known.update(zip(fresh, self.words.count([w.encode("utf-8", "surrogatepass") for w in fresh]).tolist()))
+            own = [w.encode("utf-8", "surrogatepass") for w in fresh]
+            self.known_bytes += sum(map(len, own))
+            known.update(zip(fresh, self.words.count(own).tolist()))
         counts = np.array([known[w] for w in words], dtype=np.int64)
         ends_at = np.cumsum([len(x) + 1 for _, x in taken])
         sums = np.concatenate(([0], np.cumsum(counts)))[np.searchsorted(starts, ends_at)]
@@ -342,10 +479,11 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     and null ids included. Null and empty texts have no tokens. Other columns
     are not looked at, texts are never cut. path must be readable on every executor."""
     kind = docs.schema[doc_id].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(library_alphabet())  # 2.2 MB
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _loaded:
-            _loaded[path] = TokenCounter(path)
+            _loaded[path] = TokenCounter(path, shared.value)
         for batch in batches:
             n = _loaded[path].count(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
