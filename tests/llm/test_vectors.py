@@ -52,3 +52,35 @@ def test_matches_brute_force(spark, monkeypatch):
     assert named == want and sum(n for n, _, _ in want.values()) > 100
     assert V.near_duplicate_vectors(frame.limit(0)).count() == 0
     assert V.near_duplicate_vectors(frame.where("vec_id = 601")).collect()[0].kept
+
+
+def test_more_than_a_thousand_lengths(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in range(1, 1101):
+        base = rng.normal(size=n)
+        rows += [(3 * n, 0, base.tolist()), (3 * n + 1, 0, (base * 2 + 1e-3).tolist()), (3 * n + 2, 0, rng.normal(size=n).tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in V.near_duplicate_vectors(frame).collect()}
+    want = {}
+    for at in range(0, len(rows), 3):
+        want |= brute(rows[at : at + 3])
+    assert got == want and sum(n > 0 for n, _, _ in want.values()) > 2000
+
+
+def test_cells_grow_and_lose_no_link(spark, monkeypatch):
+    for name, value in (("BLOCK", 16), ("CELL_ROWS", 10), ("TILE", 5), ("MAX_CELLS", 64)):
+        monkeypatch.setattr(V, name, value)
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(400):
+        base = rows[rng.integers(len(rows))][2] if rows and rng.random() < 0.5 else rng.normal(size=6)
+        rows.append((i, int(rng.random() < 0.1), (np.array(base) + rng.normal(size=6) * 0.1).tolist()))
+    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    assert len(V.centroids_of(frame.withColumnRenamed("vec_id", "class_id"))[6]) > 30
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in V.near_duplicate_vectors(frame).collect()}
+    assert got == brute(rows)
+
+
+def test_query_is_its_sql(spark, sql_rows):
+    sql_rows(V.op3_embeddings, V.ORACLE)
