@@ -1,4 +1,5 @@
 import math
+import pickle
 import random
 from collections import Counter
 
@@ -90,3 +91,45 @@ def test_rows(spark):
     split = D.contaminated(frame, bench, chars=900)
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.item_id) for r in split.collect()) == sorted(want)
     assert D.contaminated(frame, bench.limit(0)).count() == 0 and D.contaminated(frame.limit(0), bench).count() == 0
+
+
+def test_scores_do_not_depend_on_the_number_of_indexes(spark):
+    items, docs = corpus(6)
+    items += [(100, "alpha beta?"), (101, "gamma"), (102, "alpha beta gamma delta"), (103, "Gamma!"), (104, "?!")]
+    docs += [(200, "x alpha beta y"), (201, "x, GAMMA. y"), (202, "alpha, beta gamma delta"), (203, "alpha x beta"), (204, "alpha")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = lambda **given: sorted(tuple(round(x, 9) for x in r) for r in D.contaminated(frame, bench, **given).collect())
+    whole = rows()
+    assert len(list(D.indexes(bench, chars=900))) > 4
+    assert rows(chars=900) == whole and rows(chars=100) == whole and len(whole) > 20
+    short = [(i, j, 1.0, 1.0, 1.0, 1.0) for i, own in {200: [100], 201: [101, 103], 202: [100, 101, 102, 103]}.items() for j in own]
+    words = {"th", "er", "on", "an", "re", "the", "of", "and"}
+    one = [(i, t.split()) for i, t in items if len(t.split()) < 5 and set(t.split()) - words or i < 60]
+    for i, text in docs:
+        for j, run in one:
+            if j < 60 and len(run) < 5 and any(text.split()[k : k + len(run)] == run for k in range(len(text.split()))):
+                short.append((i, j, 1.0, 1.0, 1.0, 1.0))
+    assert rows(short=True) == rows(short=True, chars=900) == sorted(whole + short)
+
+
+def test_long_texts_in_parts_have_the_same_scores(monkeypatch):
+    items, docs = corpus(4)
+    index = D.Index(items)
+    tokens = [w for _, t in docs for w in shingles.words(t)] * 5
+    whole = index.retrieve(tokens)
+    monkeypatch.setattr(D, "CELLS", 6 * index.n_blocks)
+    parts = index.retrieve(tokens)
+    assert whole.keys() == parts.keys() and all(abs(whole[i] - parts[i]) < 1e-9 for i in whole)
+
+
+def test_an_index_is_small():
+    rng = random.Random(1)
+    items = [(i, " ".join(f"w{int(rng.paretovariate(0.5)) % 200_000}" for _ in range(40))) for i in range(4000)]
+    chars = sum(len(t) for _, t in items)
+    assert D.Index(items).nbytes() < 15 * chars
+    assert len(pickle.dumps(D.Index(items))) < 15 * chars
+
+
+def test_query_is_its_sql(spark, sql_rows):
+    sql_rows(D.op10_decontamination, D.ORACLE)
