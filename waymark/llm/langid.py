@@ -3,7 +3,10 @@
 Training counts cover every training row: each task counts n-grams into one
 array per language with numpy and emits its non-zero cells, Spark adds them up.
 What reaches the driver is one number per language and bucket, whatever the
-corpus; the log-probability matrix goes back as a broadcast.
+corpus; the log-probability matrix goes back as a broadcast. A batch of documents is
+one sparse matrix, of how often each has each bucket, whose product with the
+log-probabilities scores all of them. Very many languages go in blocks, one after
+the other, each with a broadcast of its own.
 """
 
 from __future__ import annotations
@@ -20,10 +23,11 @@ from waymark.llm.common import held_out, table, written
 
 #: N-grams of 1 to 3 characters go to so many buckets.
 BUCKETS, ORDERS = 1 << 14, 3
-#: More languages than this are refused: the matrix must stay small.
-MAX_LANGUAGES = 512
-#: Characters taken at a time, so that a very long text needs no large arrays.
-PIECE = 1 << 18
+#: Languages of one broadcast matrix (67 MB); more go to several.
+BLOCK_LANGUAGES = 512
+#: Characters taken at a time, so that a very long text needs no large arrays; texts of
+#: a sparse matrix, and numbers (cells times languages) of a product taken at a time.
+PIECE, ROWS, PRODUCT = 1 << 18, 256, 1 << 21
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
@@ -88,9 +92,7 @@ def fit_language_model(docs: DataFrame, text: str = "text", lang: str = "lang",
     languages, which calls every text undetermined."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
     cells = written(rows.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "cells")
-    langs = sorted(r[0] for r in cells.where("bucket = -1").select("lang").limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    langs = sorted(r[0] for r in cells.where("bucket = -1").select("lang").collect())
     return _assemble(langs, cells.toArrow() if langs else None, smoothing)
 
 
@@ -106,38 +108,87 @@ def _assemble(langs: list[str], cells: pa.Table | None, smoothing: float) -> Lan
     return LanguageModel(langs, np.log(np.maximum(docs, 1) / max(docs.sum(), 1)), np.log(counts / counts.sum(axis=0)))
 
 
+def _cells(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, n): the non-zero cells of a batch's matrix, in order of rows. A
+    text without letters has none."""
+    row, bucket, n = ([np.empty(0, dtype=np.int64)] for _ in range(3))
+    for i, text in enumerate(texts):
+        if text is None or not _has_letter(text):
+            continue
+        if len(text) > BUCKETS // ORDERS:
+            counts = np.zeros(BUCKETS, dtype=np.int64)
+            for x in ngram_buckets(text):
+                counts += np.bincount(x, minlength=BUCKETS)
+            own = np.flatnonzero(counts)
+            counts = counts[own]
+        else:
+            own, counts = np.unique(np.concatenate(list(ngram_buckets(text))), return_counts=True)
+        row.append(np.full(len(own), i)), bucket.append(own), n.append(counts)
+    return np.concatenate(row), np.concatenate(bucket), np.concatenate(n)
+
+
+def scores(texts: list[str | None], model: LanguageModel) -> np.ndarray:
+    """texts x languages: log prior plus the sparse product of the texts' counts and the
+    log-probabilities; minus infinity for texts that are undetermined."""
+    out = np.full((len(texts), len(model.langs)), -np.inf)
+    most = max(1, PRODUCT // max(1, len(model.langs)))
+    for start in range(0, len(texts), ROWS):
+        row, bucket, n = _cells(texts[start : start + ROWS])
+        out[start + row] = model.log_prior
+        for at in range(0, len(row), most):
+            own = row[at : at + most]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            out[start + own[first]] += np.add.reduceat(n[at : at + most, None] * model.log_prob[bucket[at : at + most]], first, axis=0)
+    return out
+
+
+def best(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of scores, the place and value of the largest, the first of
+    equals, and the log of the sum of all."""
+    place = found.argmax(axis=1)
+    top = found[np.arange(len(found)), place]
+    with np.errstate(invalid="ignore"):
+        mass = top + np.log(np.exp(found - top[:, None]).sum(axis=1))
+    return place, top, np.where(np.isneginf(top), -np.inf, mass)
+
+
 def predict(text: str | None, model: LanguageModel) -> tuple[str, float]:
     """The likeliest language and its posterior probability; `und` and 0 for a
     null text, a text without letters or a model without languages. Ties go to
     the first language in alphabetical order."""
-    if text is None or not model.langs or not _has_letter(text):
+    if not model.langs:
         return "und", 0.0
-    total = model.log_prior.copy()
-    for buckets in ngram_buckets(text):
-        # sparse scoring: the document's non-zero buckets and their counts only
-        if len(buckets) > 4096:
-            n = np.bincount(buckets, minlength=BUCKETS)
-            at = np.flatnonzero(n)
-            total += n[at] @ model.log_prob[at]
-        else:
-            total += model.log_prob[buckets].sum(axis=0)
-    best = int(total.argmax())
-    return model.langs[best], float(1.0 / np.exp(total - total[best]).sum())
+    place, top, mass = best(scores([text], model))
+    return ("und", 0.0) if np.isneginf(top[0]) else (model.langs[place[0]], float(np.exp(top[0] - mass[0])))
 
 
-def predict_language(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) for every row of docs, repeated rows and null
-    ids included; other columns are not looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def language_blocks(model: LanguageModel) -> list[LanguageModel]:
+    k = BLOCK_LANGUAGES
+    return [LanguageModel(model.langs[i : i + k], model.log_prior[i : i + k], np.ascontiguousarray(model.log_prob[:, i : i + k])) for i in range(0, len(model.langs), k)]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            found = [predict(x, own) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
+def predict_language(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score) for every row of docs, repeated rows and null
+    ids included, as predict() does; other columns are not looked at. Blocks of
+    languages follow one another in the same task: each hands on the best so far
+    and the sum of all."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(score, f"doc_id {kind}, lang_pred string, score double")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.lit("und").alias("lang_pred"), F.lit(float("-inf")).alias("top"), F.lit(float("-inf")).alias("mass"))
+    blocks = language_blocks(model)
+    for i, block in enumerate(blocks):
+        own = ["doc_id", "text"][: 2 - (i == len(blocks) - 1)]  # the last needs no text behind it
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared, own=own) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            for batch in batches:
+                place, top, mass = best(scores(batch.column(1).to_pylist(), shared.value))
+                before, so_far = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+                higher = top > before
+                lang = np.where(higher, np.array(shared.value.langs, dtype=object)[place], np.array(batch.column(2).to_pylist(), dtype=object))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(lang, pa.string()), pa.array(np.maximum(top, before)), pa.array(np.logaddexp(mass, so_far))], [*own, "lang_pred", "top", "mass"])
+
+        rows = rows.mapInArrow(score, f"doc_id {kind}, {'text string, ' * (len(own) == 2)}lang_pred string, top double, mass double")
+    return rows.select("doc_id", "lang_pred", F.when(F.col("top") > float("-inf"), F.exp(F.col("top") - F.col("mass"))).otherwise(0.0).alias("score"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
