@@ -1,16 +1,17 @@
 """Toxicity by weak supervision.
 
-Lexicon voters are mined from labelled training rows, pattern voters are
-written by hand. A generative label model estimates, without looking at labels,
-how accurate each voter is and how voters correlate, and gives every
+Lexicon voters are mined from labelled training rows, in folds: each fold votes
+by the lexicons of the others, so no voter has seen the rows it votes on. Pattern voters are written by hand. A generative label model estimates, without looking at
+labels, how accurate each voter is and how voters correlate (those that do vote as
+one group, whose joint votes have a probability of their own), and gives every
 sampled row a posterior; a linear classifier over words and word beginnings learns the
-posteriors and scores every text.
+posteriors and scores every text. What terms it has, and their weights, come from
+posteriors alone.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -28,8 +29,16 @@ from waymark.llm.common import held_out, table, written
 SAMPLE_ROWS = 20_000
 #: A term of a lexicon occurs in so many toxic rows of the sample, and of the rows in which it occurs so many are toxic.
 MIN_SUPPORT, MIN_PRECISION = 5, 0.9
-#: Terms of the linear classifier are toxic in so many of their rows at least.
-MIN_EVIDENCE = 0.8
+#: Voters of a stronger correlation than this, given the label, are of one group, of so
+#: many voters at most; a joint vote is backed by so many rows of what independent voters would do.
+CORRELATED, GROUP, BACKING = 0.2, 4, 10.0
+#: Folds of the sample: voters of one are mined in the others.
+FOLDS = 5
+#: Terms of the linear classifier have so many posterior rows of the label they speak for,
+#: and are e times as frequent with it as with the other.
+MIN_EVIDENCE, MIN_LIFT = 5.0, 1.0
+#: For so many rows of the sample the classifier is fitted on one more, without terms.
+EMPTY_SHARE = 20
 #: Words count whole and by their first letters.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Terms of the linear classifier; lexicon voters for each kind of term (words, and beginnings of each length).
@@ -60,13 +69,13 @@ def distinct_words(text: str | None) -> set[str]:
 
 @dataclass
 class ToxicityModel:
-    """weights by term and bias of the classifier; lexicon of each mined term;
-    theta[y, voter, vote + 1] and strength of each voter, of the label model."""
+    """weights by term and bias of the classifier; lexicons of the terms mined for
+    each fold; theta[y, voter, vote + 1] and strength of each voter, of the label model."""
 
     base: float = 0.0
     bias: float | None = None
     weights: dict[str, float] = field(default_factory=dict)
-    lexicons: dict[str, int] = field(default_factory=dict)
+    lexicons: tuple[dict[str, int], ...] = ()
     theta: np.ndarray | None = None
     strength: np.ndarray | None = None
     prior: float = 0.0
@@ -101,21 +110,9 @@ def votes(text: str | None, lexicons: dict[str, int]) -> np.ndarray:
     return out
 
 
-def fit_label_model(matrix: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(theta, strength, posterior) of votes (rows x voters) by expectation
-    maximisation: theta[y, voter, vote + 1] is the probability of the vote given
-    the label. Correlations of voters that the label does not explain are
-    estimated from the fitted posterior; a voter that others repeat counts for
-    its share only (strength) in the posterior that is returned."""
-    onehot = np.stack([matrix == v for v in (-1, 0, 1)], axis=2).astype(float)
-    strength = np.ones(matrix.shape[1])
-    posterior = np.array([0.02, 0.4, 0.95])[np.minimum((matrix > 0).sum(axis=1), 2)]
-    theta = np.empty((2, matrix.shape[1], 3))
-    for _ in range(rounds):
-        for y, weight in ((0, 1 - posterior), (1, posterior)):
-            counted = np.einsum("n,nkv->kv", weight, onehot) + 0.5
-            theta[y] = counted / counted.sum(axis=1, keepdims=True)
-        posterior = label_posterior(matrix, theta, strength, prior)
+def correlations(matrix: np.ndarray, posterior: np.ndarray) -> np.ndarray:
+    """Of each two voters, how their votes correlate given the label, the mean over
+    both labels; nothing for those that never vote together."""
     shared = np.zeros((matrix.shape[1],) * 2)
     for weight in (1 - posterior, posterior):
         total = max(weight.sum(), 1e-9)
@@ -123,17 +120,68 @@ def fit_label_model(matrix: np.ndarray, prior: float, rounds: int = 30) -> tuple
         spread = np.sqrt((centred**2).sum(axis=0))
         shared += total / len(matrix) * np.abs(centred.T @ centred / np.maximum(np.outer(spread, spread), 1e-9))
     active = (matrix != 0).astype(float)
-    shared *= active.T @ active > 0  # those that never vote together repeat nothing
+    shared *= active.T @ active > 0
     np.fill_diagonal(shared, 0.0)
-    strength = 1.0 / (1.0 + np.where(shared > 0.1, shared, 0.0).sum(axis=1))
-    return theta, strength, label_posterior(matrix, theta, strength, prior)
+    return shared
+
+
+def groups_of(shared: np.ndarray) -> list[list[int]]:
+    """Voters that correlate, the strongest pairs first, in groups of bounded size."""
+    group = [[k] for k in range(len(shared))]
+    i, j = np.nonzero(np.triu(shared) > CORRELATED)
+    for k in np.argsort(-shared[i, j], kind="stable").tolist():
+        a, b = group[i[k]], group[j[k]]
+        if a is not b and len(a) + len(b) <= GROUP:
+            a += b
+            for x in b:
+                group[x] = a
+    return [g for k, g in enumerate(group) if g[0] == k]
+
+
+def group_odds(matrix: np.ndarray, posterior: np.ndarray, theta: np.ndarray, group: list[int]) -> np.ndarray:
+    """Of each row, the log odds of the label that the group's joint vote speaks for:
+    its probability given either label, among joint votes of anyone in the group,
+    from posterior counts and what independent voters would do."""
+    own = matrix[:, group]
+    voted = (own != 0).any(axis=1)
+    out = np.zeros(len(matrix))
+    if voted.any():
+        kinds, of = np.unique(own[voted], axis=0, return_inverse=True)
+        of = of.ravel()
+        log = []
+        for y, weight in ((0, 1 - posterior[voted]), (1, posterior[voted])):
+            alone = np.exp(sum(np.log(theta[y, k, kinds[:, i] + 1]) for i, k in enumerate(group)))
+            alone /= max(1.0 - np.exp(sum(np.log(theta[y, k, 1]) for k in group)), 1e-9)
+            counted = np.bincount(of, weights=weight, minlength=len(kinds))
+            total = (1 - posterior, posterior)[y].sum()
+            silent = total - weight.sum()
+            speaks = (weight.sum() + 0.5) / (weight.sum() + silent + 1.0)
+            log.append(np.log((counted + BACKING * alone) / (weight.sum() + BACKING)) + np.log(speaks))
+        out[voted] = (log[1] - log[0])[of]
+    return out
 
 
-def label_posterior(matrix: np.ndarray, theta: np.ndarray, strength: np.ndarray, prior: float) -> np.ndarray:
-    """Of each row, from the votes that are no abstentions."""
-    voter = np.arange(matrix.shape[1])
-    odds = (matrix != 0) * (np.log(theta[1, voter, matrix + 1]) - np.log(theta[0, voter, matrix + 1]))
-    return 1.0 / (1.0 + np.exp(-np.clip(odds @ strength + np.log(prior / (1 - prior)), -500, 500)))
+def fit_label_model(matrix: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(theta, strength, posterior) of votes (rows x voters) by expectation
+    maximisation: theta[y, voter, vote + 1] is the probability of the vote given
+    the label. Correlations that the label does not explain are estimated along
+    with it, every fifth round, and voters that correlate count as one group; strength
+    is the share that a voter does not repeat of others."""
+    onehot = np.stack([matrix == v for v in (-1, 0, 1)], axis=2).astype(float)
+    posterior = np.array([0.02, 0.4, 0.95])[np.minimum((matrix > 0).sum(axis=1), 2)]
+    theta = np.empty((2, matrix.shape[1], 3))
+    groups = [[k] for k in range(matrix.shape[1])]
+    shared = np.zeros((matrix.shape[1],) * 2)
+    for step in range(rounds):
+        for y, weight in ((0, 1 - posterior), (1, posterior)):
+            counted = np.einsum("n,nkv->kv", weight, onehot) + 0.5
+            theta[y] = counted / counted.sum(axis=1, keepdims=True)
+        if step % 5 == 4:
+            shared = correlations(matrix, posterior)
+            groups = groups_of(shared)
+        odds = sum(group_odds(matrix, posterior, theta, g) for g in groups)
+        posterior = 1.0 / (1.0 + np.exp(-np.clip(odds + np.log(prior / (1 - prior)), -500, 500)))
+    return theta, 1.0 / (1.0 + np.where(shared > 0.1, shared, 0.0).sum(axis=1)), posterior
 
 
 def fit_linear(rows: list[np.ndarray], target: np.ndarray, n_terms: int, rounds: int = 400, l2: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -164,19 +212,38 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array([k[i] for k in keys], pa.int64()) for i in range(3))], ["doc_id", "text", "toxic", "k0", "k1", "k2"])
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out() -> pa.RecordBatch:
-        terms = list(counts[0].keys() | counts[1].keys())
-        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in (counts[1], counts[0]))], ["term", "toxic", "clean"])
+def fold_of(doc_id: int) -> int:
+    """The fold of the sample that a row is of."""
+    return crc32(b"fold %d" % doc_id) % FOLDS
+
+
+def _counter(weigh):  # noqa: ANN001, ANN202
+    """Adds up terms over rows: weigh(doc_id, toxic) says how much a row adds to each of some sums."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], ["term", "sums"])
+
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for doc_id, text, toxic in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                own = np.array(weigh(doc_id, toxic), dtype=float)
+                for term in {t for w in distinct_words(text) for t in terms_of(w)}:
+                    if term in sums:
+                        sums[term] += own
+                    else:
+                        sums[term] = own.copy()
+                if len(sums) > 200_000:
+                    yield out()
+                    sums = {}
+        yield out()
+
+    return count
 
-    counts = (Counter(), Counter())
-    for batch in batches:
-        for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            counts[toxic].update({t for w in distinct_words(text) for t in terms_of(w)})
-            if len(counts[0]) + len(counts[1]) > 200_000:
-                yield out()
-                counts = (Counter(), Counter())
-    yield out()
+
+def _summed(sample: DataFrame, weigh, n: int) -> DataFrame:  # noqa: ANN001
+    found = sample.mapInArrow(_counter(weigh), "term string, sums array<double>")
+    return found.groupBy("term").agg(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(n)))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
@@ -197,27 +264,58 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     positive = positive or 0
     if not 0 < positive < n:
         return ToxicityModel(base=positive / n if n else 0.0)
-    counted = sample.mapInArrow(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counted = counted.withColumn("precision", (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1.0))
-    counted = counted.withColumn("lift", F.log(F.expr(f"((toxic + 0.5) / ({positive} + 1.0)) / ((clean + 0.5) / ({n - positive} + 1.0))")) * F.sqrt("toxic"))
-    top = counted.where((F.col("toxic") >= MIN_SUPPORT) & (F.col("precision") >= MIN_EVIDENCE)).orderBy(F.desc("lift"), "term").limit(MAX_TERMS).collect()
-    mined = lexicons_of([r.term for r in top if r.precision >= MIN_PRECISION])
-    index = {r.term: i for i, r in enumerate(top)}
+    prior = positive / n
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # toxic and clean rows of each term, of each fold; a fold's lexicons are mined in the others
+    def by_fold(doc_id: int, toxic: int) -> list[int]:
+        own = [0] * (2 * FOLDS)
+        own[2 * fold_of(doc_id) + (1 - toxic)] = 1
+        return own
+
+    counted = _summed(sample, by_fold, 2 * FOLDS)
+    total = [sum((F.col(f"s{2 * h + y}") for h in range(FOLDS)), F.lit(0.0)) for y in (0, 1)]
+    strong = written(counted.withColumn("toxic", total[0]).withColumn("clean", total[1]).where(F.col("toxic") >= MIN_SUPPORT), "terms")
+    lexicons = []
+    for h in range(FOLDS):
+        toxic, clean = F.col("toxic") - F.col(f"s{2 * h}"), F.col("clean") - F.col(f"s{2 * h + 1}")
+        precision = (toxic + 0.5) / (toxic + clean + 1.0)
+        lift = F.log((toxic + 0.5) / (clean + 0.5)) * F.sqrt(toxic)
+        top = strong.where((toxic >= MIN_SUPPORT) & (precision >= MIN_PRECISION)).orderBy(lift.desc(), "term").limit(MAX_TERMS)
+        lexicons.append(lexicons_of([r.term for r in top.select("term").collect()]))
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            own = [sorted({index[t] for w in distinct_words(x) for t in terms_of(w) if t in index}) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([votes(x, mined).tobytes() for x in texts], pa.binary()), pa.array(own, pa.list_(pa.int32()))], ["doc_id", "votes", "terms"])
+            own = [votes(x, lexicons[fold_of(i)]).tobytes() for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["doc_id", "votes"])
 
-    found = sample.mapInArrow(features, "doc_id long, votes binary, terms array<int>").toArrow().sort_by("doc_id")
+    found = sample.mapInArrow(vote, "doc_id long, votes binary").toArrow().sort_by("doc_id")
+    ids = found.column("doc_id").to_pylist()
     matrix = np.stack([np.frombuffer(x, dtype=np.int8) for x in found.column("votes").to_pylist()]).astype(int)
-    prior = positive / n
     theta, strength, posterior = fit_label_model(matrix, prior)
-    lists = found.column("terms").combine_chunks()
+
+    # terms by posterior rows, those that speak for either label
+    share = dict(zip(ids, posterior.tolist()))
+    shared = sample.sparkSession.sparkContext.broadcast(share)
+    total = float(posterior.sum())
+    counted = _summed(sample, lambda i, _: [shared.value[i], 1 - shared.value[i]], 2)
+    lift = F.log(((F.col("s0") + 0.5) / (total + 1.0)) / ((F.col("s1") + 0.5) / (n - total + 1.0)))
+    speaks = F.when(lift > 0, F.col("s0")).otherwise(F.col("s1"))
+    top = counted.where((speaks >= MIN_EVIDENCE) & (F.abs(lift) >= MIN_LIFT)).orderBy((F.abs(lift) * F.sqrt(speaks)).desc(), "term").limit(MAX_TERMS).collect()
+    index = {r.term: i for i, r in enumerate(top)}
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [sorted({index[t] for w in distinct_words(x) for t in terms_of(w) if t in index}) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], ["doc_id", "terms"])
+
+    lists = sample.mapInArrow(features, "doc_id long, terms array<int>").toArrow().sort_by("doc_id").column("terms").combine_chunks()
     values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-    weights, bias = fit_linear([values[a:b] for a, b in zip(offsets, offsets[1:])], posterior, len(top))
-    return ToxicityModel(prior, bias, {r.term: float(w) for r, w in zip(top, weights)}, mined, theta, strength, prior)
+    given = [values[a:b] for a, b in zip(offsets, offsets[1:])]
+    # a text without terms is like the rows that no voter calls toxic, not like the mean row
+    unsaid = (matrix <= 0).all(axis=1)
+    empty = np.full(-(-n // EMPTY_SHARE), posterior[unsaid].mean() if unsaid.any() else 0.0)
+    weights, bias = fit_linear(given + [values[:0]] * len(empty), np.append(posterior, empty), len(top))
+    return ToxicityModel(prior, bias, {r.term: float(w) for r, w in zip(top, weights)}, tuple(lexicons), theta, strength, prior)
 
 
 def toxicity_score(text: str | None, model: ToxicityModel, cache: dict[str, tuple] | None = None) -> float:
