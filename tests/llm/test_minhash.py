@@ -103,3 +103,21 @@ def test_id_filter_loses_no_id(spark):
     ids = spark.range(0, 1000, 3)
     kept = spark.range(2000).where(common.id_filter(ids, "id"))
     assert ids.join(kept, "id", "left_anti").isEmpty() and kept.count() < 400
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(12)
+    long = [f"w{rng.randrange(5000)}" for _ in range(200_000)]
+    near, far = list(long), list(long)
+    for k in range(0, 200_000, 60):
+        near[k] = "other"
+    for k in range(0, 200_000, 10):
+        far[k] = "other"
+    repeated = " ".join(["a b c d e f"] * 30_000)
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(far)), (4, repeated), (5, repeated + " f"), (6, " ".join(long[:100]))]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes(rows) and got[2] == 1 and got[5] == 4 and got[3] == 3
+
+
+def test_query_is_its_sql(spark, sql_rows):
+    sql_rows(minhash.op2_minhash, minhash.ORACLE)

@@ -5,7 +5,7 @@ of the smallest id is signed further. Signatures are cut into bands; within a
 bucket of equal bands the documents are compared with the bucket's first one
 (a star, not all pairs), and components are formed. What is still apart in a
 bucket is compared in blocks: a task gets two blocks of bounded size, multiplies
-their shingle matrices and returns one link for each two components it joins,
+their shingle matrices (hashes, never texts) and returns one link for each two components it joins,
 no pairs. No pair that banding brings together is left out unless a chain of
 verified links joins it already.
 """
@@ -29,8 +29,8 @@ BANDS, BAND_ROWS = 40, 5
 #: Pairs whose signatures agree in less than the threshold minus this are not
 #: verified: over five standard deviations of the estimate at 0.8.
 ESTIMATE_MARGIN = 0.16
-#: Documents, and characters, of a block.
-BLOCK_ROWS, BLOCK_CHARS = 128, 1 << 21
+#: Documents, and shingles, of a block.
+BLOCK_ROWS, BLOCK_SHINGLES = 128, 1 << 19
 #: Shingles that a block's matrices span at a time.
 BLOCK_COLUMNS = 4096
 
@@ -65,34 +65,44 @@ def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share, pa.float64())], ["a", "b", "estimate"])
 
 
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weighted shingles of each text: hashes, and weights (null: all are 1). What
+    is compared later are these, so a text is read and hashed once."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            hashes, weights = [], []
+            for text in batch.column(1).to_pylist():
+                own, n = shingles.weighted_shingles(shingles.words(text))
+                hashes.append(own.tobytes())
+                weights.append(n.astype(np.uint32).tobytes() if (n > 1).any() else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary()), pa.array(weights, pa.binary())], ["doc_id", "hashes", "weights"])
+
+
+def bag_of(hashes: pa.Scalar, weights: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    own = np.frombuffer(hashes.as_py(), dtype=np.uint64)
+    return own, np.frombuffer(weights.as_py(), dtype=np.uint32) if weights.is_valid else np.ones(len(own), dtype=np.uint32)
+
+
 def _verifier(threshold: float):  # noqa: ANN202
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[int, tuple] = {}
         for batch in batches:
-            a, b, similarity = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for x, y, text_x, text_y in zip(a, b, batch.column(2), batch.column(3)):
-                bags = []
-                for i, text in ((x, text_x), (y, text_y)):
-                    if i not in last:
-                        if len(last) > 64:
-                            last.clear()
-                        last[i] = shingles.weighted_shingles(shingles.words(text.as_py()))
-                    bags.append(last[i])
-                similarity.append(shingles.probability_jaccard(*bags))
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            similarity = [shingles.probability_jaccard(bag_of(w, x), bag_of(y, z)) for w, x, y, z in zip(*(batch.column(i) for i in range(2, 6)))]
             keep = [i for i, s in enumerate(similarity) if s >= threshold]
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64()), pa.array([similarity[i] for i in keep], pa.float64())], ["a", "b", "similarity"])
 
     return verify
 
 
-def verified_pairs(pairs: DataFrame, signed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def verified_pairs(pairs: DataFrame, signed: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """The (a, b, similarity) of pairs (a, b) that reach the threshold."""
     x = signed.select(F.col("doc_id").alias("a"), F.col("signature").alias("x"))
     y = signed.select(F.col("doc_id").alias("b"), F.col("signature").alias("y"))
     likely = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_estimates, "a long, b long, estimate double")
     likely = written(likely.where(F.col("estimate") >= threshold - ESTIMATE_MARGIN).select("a", "b").distinct(), "likely")
-    full = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    full = full.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    full = likely.join(bags.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha"), F.col("weights").alias("wa")), "a")
+    full = full.join(bags.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb"), F.col("weights").alias("wb")), "b").select("a", "b", "ha", "wa", "hb", "wb")
     return full.mapInArrow(_verifier(threshold), "a long, b long, similarity double")
 
 
@@ -126,7 +136,8 @@ def _block_links(threshold: float):  # noqa: ANN202
         a = [i for i, x in enumerate(group.column("side").to_pylist()) if x == 0]
         b = [i for i, x in enumerate(group.column("side").to_pylist()) if x == 1] or a
         ids, parts = group.column("doc_id").to_numpy(), group.column("part").to_numpy()
-        bags = {i: shingles.weighted_shingles(shingles.words(group.column("text")[i].as_py())) for i in {*a, *b}}
+        hashes, weights = group.column("hashes"), group.column("weights")
+        bags = {i: bag_of(hashes[i], weights[i]) for i in {*a, *b}}
         found: dict[tuple[int, int], tuple[int, int, float]] = {}
         if a:
             _, x, y = shares([bags[i] for i in a], [bags[i] for i in b])
@@ -142,23 +153,23 @@ def _block_links(threshold: float):  # noqa: ANN202
     return links
 
 
-def links_of_parts(grouped: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def links_of_parts(grouped: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b, similarity) between documents of different parts of a group,
     one at least for each two parts that any link joins. grouped has (group_id,
     doc_id, part); the documents of the part that has the group's id are not
     compared with one another."""
     inner = F.col("part") == F.col("group_id")
-    rows = grouped.join(texts, "doc_id").select("group_id", "doc_id", "part", "text", inner.alias("inner"))
+    rows = grouped.join(bags, "doc_id").select("group_id", "doc_id", "part", "hashes", "weights", inner.alias("inner"))
     rows = written(rows, "grouped")
-    blocks = lambda own: F.ceil(F.greatest(F.sum(own.cast("int")) / BLOCK_ROWS, F.sum(F.when(own, F.length("text")).otherwise(0)) / BLOCK_CHARS, F.lit(1)))
+    blocks = lambda own: F.ceil(F.greatest(F.sum(own.cast("int")) / BLOCK_ROWS, F.sum(F.when(own, F.length("hashes") / 8).otherwise(0)) / BLOCK_SHINGLES, F.lit(1)))
     sizes = written(rows.groupBy("group_id").agg(blocks(F.col("inner")).cast("int").alias("n_in"), blocks(~F.col("inner")).cast("int").alias("n_out")), "sizes")
     rows = rows.join(sizes, "group_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.when(F.col("inner"), F.col("n_in")).otherwise(F.col("n_out"))).cast("int"))
     # outer blocks meet each other once, and every inner one
     with_outer = F.transform(F.sequence(F.lit(0), F.col("n_out") - 1), lambda k: F.struct(F.least(F.col("block"), k).alias("p"), F.greatest(F.col("block"), k).alias("q"), (F.col("block") > k).cast("int").alias("side")))
     with_inner = F.transform(F.sequence(F.lit(0), F.col("n_in") - 1), lambda k: F.struct(F.col("block").alias("p"), (-k - 1).alias("q"), F.lit(0).alias("side")))
     as_inner = F.transform(F.sequence(F.lit(0), F.col("n_out") - 1), lambda k: F.struct(k.alias("p"), (-F.col("block") - 1).alias("q"), F.lit(1).alias("side")))
-    dealt = rows.select("group_id", "doc_id", "part", "text", F.explode(F.when(F.col("inner"), as_inner).otherwise(F.concat(with_outer, with_inner))).alias("at"))
-    dealt = dealt.select("group_id", "doc_id", "part", "text", "at.*")
+    dealt = rows.select("group_id", "doc_id", "part", "hashes", "weights", F.explode(F.when(F.col("inner"), as_inner).otherwise(F.concat(with_outer, with_inner))).alias("at"))
+    dealt = dealt.select("group_id", "doc_id", "part", "hashes", "weights", "at.*")
     return dealt.groupBy("group_id", "p", "q").applyInArrow(_block_links(threshold), "a long, b long, similarity double")
 
 
@@ -190,8 +201,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     likely_needed = id_filter(needed, "doc_id")
     signatures = named.select("doc_id", "signature").where(likely_needed).join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     signatures = written(signatures, "signatures")
-    texts = written(rows.where("doc_id is not null").where(likely_needed).join(needed, "doc_id", "left_semi"), "texts")
-    links = written(verified_pairs(pairs, signatures, texts, threshold), "links").select("a", "b")
+    texts = rows.where("doc_id is not null").where(likely_needed).join(needed, "doc_id", "left_semi")
+    bags = written(texts.mapInArrow(_bags, "doc_id long, hashes binary, weights binary"), "bags")
+    links = written(verified_pairs(pairs, signatures, bags, threshold), "links").select("a", "b")
     done = components(links)
     known = done.select(F.col("id").alias("doc_id"), "component_id")
     apart = members.join(known, "doc_id", "left").select("bucket", "doc_id", "head", F.coalesce("component_id", "doc_id").alias("part"))
@@ -199,7 +211,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     split = apart.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.when(F.col("doc_id") == F.col("head"), F.col("part"))).alias("group_id")).where("low <> high")
     # buckets whose heads are of one component make one group: a document is compared there once
     grouped = apart.join(split.select("bucket", "group_id"), "bucket").select("group_id", "doc_id", "part").distinct()
-    more = written(links_of_parts(grouped, texts, threshold), "links").select("a", "b")
+    more = written(links_of_parts(grouped, bags, threshold), "links").select("a", "b")
     done = done.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more)
     classes = components(done.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "classes")
     ids = rows.where("doc_id is not null").select("doc_id").distinct().unionByName(rows.where("doc_id is null").select("doc_id"))
