@@ -101,3 +101,40 @@ def test_recipe_defaults(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"gate_mass": 0.5, "e7_w": [1.0], "e7_b": 2.0, "e7_feat_mu": [0.0], "e7_feat_sd": [1.0]}')
     recipe = read_recipe(spark, str(tmp_path / "r.json"))
     assert recipe.gate_mass == 0.5 and recipe.confidence is None and recipe.top_k == 100 and recipe.rerank.bias == 2.0
+
+
+def test_queries_of_a_cell_go_in_blocks(spark, monkeypatch):
+    q, g, p = X.queries(spark, SF), X.gated(spark, SF), X.places(spark, SF)
+    whole = {(r.qid, r.row, r["rank"]): r.s for r in search.top_k(search.retrieve(q, g, p, X.RECIPE).select("qid", "row", "s"), 20).collect()}
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(search, "BLOCK", 11)
+    parts = {(r.qid, r.row, r["rank"]): r.s for r in search.top_k(search.retrieve(q, g, p, X.RECIPE).select("qid", "row", "s"), 20).collect()}
+    assert whole.keys() == parts.keys() and all(abs(whole[k] - parts[k]) < 1e-9 for k in whole)
+
+
+def test_points_in_several_passes(spark, monkeypatch):
+    points, places = X.truth(spark, SF), X.places(spark, SF)
+    whole = sorted(search.nearest(points, places, 3).collect())
+    monkeypatch.setattr(search, "PASS_POINTS", 10)
+    assert sorted(search.nearest(points, places, 3).collect()) == whole
+
+
+def test_the_search_runs_once(spark):
+    from waymark.plans import queries
+
+    queries.locate(spark, SF)
+    plan = queries.locate(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 12 and "FlatMapCoGroupsInArrow" not in plan and "MapInArrow" not in plan
+    search_plan = search.retrieve(X.queries(spark, SF), X.gated(spark, SF), X.places(spark, SF), X.RECIPE)._jdf.queryExecution().executedPlan().toString()
+    assert search_plan.count("FlatMapCoGroupsInArrow") == 1
+
+
+def test_the_hubness_sample_does_not_grow(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(np.cos(i)), float(np.sin(i))]) for i in range(200)], "row long, a array<double>")
+    sample = np.array([[np.cos(i), np.sin(i)] for i in range(50)])
+    found = index.hubness(rows, ["a"], top=5, sample_rows=50, order=F.col("row")).collect()
+    for r in found:
+        near = np.sort(sample @ [np.cos(r.row), np.sin(r.row)])[-5:]
+        assert abs(r.csls[0] - near.mean()) < 1e-12
+    few = index.hubness(rows.limit(3), ["a"], top=5).collect()
+    assert len(few) == 3 and all(-1 <= r.csls[0] <= 1 for r in few)

@@ -81,7 +81,7 @@ def northing_limit(zoom: Column, width: Column, height: Column) -> Column:
 
 
 def spread_zoom(span: Column, lat: Column, width: Column, height: Column) -> Column:
-    """The zoom that frames four times the span of the answers."""
+    """The zoom that frames four times the span of the answers; its limits are fixed values."""
     stretch = 1.0 / F.greatest(F.cos(F.radians(lat)), F.lit(0.15))
     return clamp_zoom(F.log2(360.0 / (clamp(span * 4, 3.6, 120.0) * stretch)), width, height)
 
@@ -126,6 +126,7 @@ def crosses(lat: Column, lon: Column, edge: Column) -> Column:
 
 
 def confidence_tier(confidence: Column) -> Column:
+    """The bounds are fixed values."""
     return F.when(confidence >= 0.7, "good").when(confidence >= 0.4, "warn").otherwise("dim")
 
 
@@ -153,7 +154,26 @@ def time_left(bytes_left: Column, per_second: Column) -> Column:
     return F.when(per_second > 1e4, text)
 
 
+def gigabytes(n: Column) -> Column:
+    """Decimal gigabytes to two places."""
+    return F.format_string("%.2f", n / 1e9)
+
+
+def progress_text(done: Column, total: Column) -> Column:
+    return F.concat(F.lit("Downloading — "), gigabytes(done), F.lit(" of "), gigabytes(total), F.lit(" GB"))
+
+
+def speed_text(per_second: Column) -> Column:
+    """Whole megabytes a second; null while too slow to say."""
+    return F.when(per_second > 1e4, F.format_string("%.0f MB/s", per_second / 1e6))
+
+
+def fraction_done(done: Column, total: Column) -> Column:
+    return clamp(F.coalesce(F.try_divide(done.cast("double"), total), F.lit(0.0)), 0.0, 1.0)
+
+
 def saturating_progress(seconds: Column) -> Column:
+    """Decay and ceiling are fixed values."""
     return clamp(1.0 - F.exp(-seconds / 3.4), 0.0, 0.97)
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from waymark.functions.geo import game_score
+from waymark.operators.ranks import medians, ranked
+from waymark.scratch import written
 
 #: Bounds of the calibration bins and of the three bands, fixed values; slices of a probability.
 BINS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.01]
@@ -19,10 +21,20 @@ def share(condition: Column) -> Column:
     return F.avg(condition.cast("double")) * 100
 
 
+def with_medians(groups: DataFrame, rows: DataFrame, keys: list[str], value: str, into: str) -> DataFrame:
+    """groups with the median of each, null where there is no value."""
+    found = medians(rows, keys, value, into)
+    if keys:
+        return groups.join(found, keys, "left")
+    return groups.withColumn("k", F.lit(1)).join(found.withColumn("k", F.lit(1)), "k", "left").drop("k")
+
+
 def error_report(errors: DataFrame) -> DataFrame:
     """One row on km: count, median, mean, shares within 1, 25 and 200, game score."""
     km = F.col("km")
-    return errors.agg(F.count("*").alias("n"), F.percentile(km, F.lit(0.5)).alias("median_km"), F.avg(km).alias("mean_km"), share(km <= 1).alias("at1"), share(km <= 25).alias("at25"), share(km <= 200).alias("at200"), F.avg(game_score(km)).alias("score"))
+    errors = written(errors.select("km"), "errors")
+    one = errors.agg(F.count("*").alias("n"), F.avg(km).alias("mean_km"), share(km <= 1).alias("at1"), share(km <= 25).alias("at25"), share(km <= 200).alias("at200"), F.avg(game_score(km)).alias("score"))
+    return with_medians(one, errors, [], "km", "median_km")
 
 
 def brier_auc(rows: DataFrame) -> DataFrame:
@@ -51,7 +63,8 @@ def calibration(rows: DataFrame, least: int = 20) -> DataFrame:
         here = (F.col("p") >= a) & (F.col("p") < b)
         low = F.when(here, a) if low is None else low.when(here, a)
     binned = rows.withColumn("low", low).where("low is not null")
-    return binned.groupBy("low").agg(F.count("*").alias("n"), share(F.col("y") == 1).alias("actual"), F.percentile("km", F.lit(0.5)).alias("median_km")).where(F.col("n") >= least)
+    found = binned.groupBy("low").agg(F.count("*").alias("n"), share(F.col("y") == 1).alias("actual")).where(F.col("n") >= least)
+    return with_medians(found, binned, ["low"], "km", "median_km").select("low", "n", "actual", "median_km")
 
 
 def bands(rows: DataFrame) -> DataFrame:
@@ -60,19 +73,24 @@ def bands(rows: DataFrame) -> DataFrame:
     for name, a, b in BANDS:
         here = (F.col("p") >= a) & (F.col("p") < b)
         band = F.when(here, name) if band is None else band.when(here, name)
+    return _errors_by(rows.withColumn("band", band).where("band is not null"), "band")
+
+
+def _errors_by(rows: DataFrame, key: str) -> DataFrame:
     km = F.col("km")
-    return rows.withColumn("band", band).where("band is not null").groupBy("band").agg(F.count("*").alias("n"), F.percentile(km, F.lit(0.5)).alias("median_km"), share(km <= 25).alias("at25"), share(km > 1000).alias("beyond1000"))
+    found = rows.groupBy(key).agg(F.count("*").alias("n"), share(km <= 25).alias("at25"), share(km > 1000).alias("beyond1000"))
+    return with_medians(found, rows, [key], "km", "median_km").select(key, "n", "median_km", "at25", "beyond1000")
 
 
 def tiers(rows: DataFrame, signal: str, high_is_good: bool = True) -> DataFrame:
     """(tier, n, median_km, at25, beyond1000) of (qid, <signal>, km): the best
     quarter by the signal, the middle half, the worst quarter. The cuts are at n
     div 4 and 3 n div 4; of equal signals the lower qid comes first."""
-    order = W.orderBy(F.desc(signal) if high_is_good else F.asc(signal), "qid")
-    placed = rows.select("km", (F.row_number().over(order) - 1).alias("i"), F.count("*").over(W.partitionBy()).alias("n"))
-    tier = F.when(F.col("i") < F.floor(F.col("n") / 4), "best").when(F.col("i") < F.floor(3 * F.col("n") / 4), "mid").otherwise("worst")
-    km = F.col("km")
-    return placed.withColumn("tier", tier).groupBy("tier").agg(F.count("*").alias("n"), F.percentile(km, F.lit(0.5)).alias("median_km"), share(km <= 25).alias("at25"), share(km > 1000).alias("beyond1000"))
+    n = rows.count()
+    order = [F.desc(signal) if high_is_good else F.asc(signal), F.asc("qid")]
+    placed = ranked(rows.select("qid", signal, "km"), [], order, into="i")
+    tier = F.when(F.col("i") < n // 4, "best").when(F.col("i") < 3 * n // 4, "mid").otherwise("worst")
+    return _errors_by(placed.withColumn("tier", tier), "tier")
 
 
 def parity(desktop: DataFrame, device: DataFrame) -> DataFrame:
@@ -82,12 +100,14 @@ def parity(desktop: DataFrame, device: DataFrame) -> DataFrame:
 
     b = device.select("file", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("top_row").alias("top2"), "ms")
     rows = desktop.join(b, "file", "left").withColumn("gap", haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
-    one = rows.agg(F.count("*").alias("n_files"), F.count("gap").alias("n_both"), F.sum((F.col("top_row") == F.col("top2")).cast("long")).alias("same"), F.max("gap").alias("max_gap"), F.avg("gap").alias("mean_gap"), F.percentile("ms", F.lit(0.5)).alias("median_ms"))
+    one = rows.agg(F.count("*").alias("n_files"), F.count("gap").alias("n_both"), F.sum((F.col("top_row") == F.col("top2")).cast("long")).alias("same"), F.max("gap").alias("max_gap"), F.avg("gap").alias("mean_gap"))
+    one = with_medians(one, rows, [], "ms", "median_ms")
     verdict = F.when(F.col("same") == F.col("n_both"), "same").when(F.col("max_gap") < 1.0, "near").otherwise("mismatch")
     return one.withColumn("verdict", verdict)
 
 
-def upper_median(values: Column) -> Column:
-    """The element in the middle of the sorted values, the upper one of two."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
+def latency(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, median, least) of each group: the element in the middle of the sorted
+    values, the upper one of two, and the smallest."""
+    found = rows.groupBy(key).agg(F.count("*").alias("n"), F.min(value).alias("least"))
+    return found.join(medians(rows, [key], value, upper=True), key, "left").select(key, "n", "median", "least")

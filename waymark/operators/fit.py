@@ -3,11 +3,20 @@ the result depends on the number of steps and the rate, not on the objective alo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.operators.ranks import medians
+from waymark.recipe import Linear
+from waymark.scratch import written
+
+#: Steps, rate and regularisation of the confidence's fit; fixed values.
+CONFIDENCE_FIT = {"steps": 900, "rate": 0.35, "l2": 1e-4}
+
 
 def moments(rows: DataFrame, names: list[str]) -> DataFrame:
     """(feature, mean, sd) with the population deviation plus 1e-9."""
@@ -26,28 +35,74 @@ def gradient_descent(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float
     return w, b
 
 
+#: Numbers (rows times features) that one task fits; with more, each step is a sum over partitions.
+ONE_TASK_VALUES = 1 << 24
+
+
 def fit(rows: DataFrame, names: list[str], mean: list[float], sd: list[float], steps: int = 400, rate: float = 0.5, l2: float = 0.0) -> DataFrame:
     """(fold, w, b) of rows (fold, y, <names>): one fit for each fold, of all rows
-    of the other folds, and one of all rows under fold -1. A fit's rows are of one
-    task: they are few numbers for each query."""
-    folds = rows.select("fold").distinct()
-    others = folds.select(F.col("fold").alias("of")).join(rows, F.col("of") != F.col("fold"))
-    given = others.select("of", "y", *names).unionByName(rows.select(F.lit(-1).cast(rows.schema["fold"].dataType).alias("of"), "y", *names))
+    of the other folds, and one of all rows under fold -1. Folds are few. The
+    result is the same in one task for each fold as by sums over partitions."""
+    kind = rows.schema["fold"].dataType.simpleString()
+    x = F.array(*((F.col(n).cast("double") - m) / s for n, m, s in zip(names, mean, sd)))
+    given = written(rows.select("fold", F.col("y").cast("double").alias("y"), x.alias("x")), "given")
+    folds = [-1, *sorted(r[0] for r in given.select("fold").distinct().collect())]
+    if given.count() * len(names) > ONE_TASK_VALUES:
+        w, b = _by_partitions(given, folds, len(names), steps, rate, l2)
+        return rows.sparkSession.createDataFrame([(f, v.tolist(), float(c)) for f, v, c in zip(folds, w, b)], f"fold {kind}, w array<double>, b double")
 
     def one(group: pa.Table) -> pa.Table:
-        x = np.column_stack([(group.column(n).to_numpy().astype(float) - m) / s for n, m, s in zip(names, mean, sd)])
-        w, b = gradient_descent(x, group.column("y").to_numpy().astype(float), steps, rate, l2)
+        matrix = group.column("x").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+        w, b = gradient_descent(matrix, group.column("y").to_numpy(), steps, rate, l2)
         return pa.table({"fold": group.column("of")[:1], "w": pa.array([w.tolist()], pa.list_(pa.float64())), "b": pa.array([b])})
 
-    return given.groupBy("of").applyInArrow(one, f"fold {rows.schema['fold'].dataType.simpleString()}, w array<double>, b double")
+    every = F.array(*(F.lit(f).cast(kind) for f in folds))
+    each = given.withColumn("of", F.explode(F.filter(every, lambda f: f != F.col("fold"))))
+    return each.groupBy("of").applyInArrow(one, f"fold {kind}, w array<double>, b double")
+
+
+def _by_partitions(given: DataFrame, folds: list, n: int, steps: int, rate: float, l2: float) -> tuple[np.ndarray, np.ndarray]:
+    """All folds at once: a step adds up the gradients of every partition, those of a
+    fold's fit over the rows of the other folds; what comes back is one number for each weight."""
+    w, b = np.zeros((len(folds), n)), np.zeros(len(folds))
+    own = np.array(folds)
+    counts = {r[0]: r[1] for r in given.groupBy("fold").count().collect()}
+    total = np.array([sum(c for f, c in counts.items() if f != x) for x in folds], dtype=float)
+
+    for _ in range(steps):
+        shared = given.sparkSession.sparkContext.broadcast((w, b))
+
+        def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            weights, bias = shared.value
+            out = np.zeros((len(own), n + 1))
+            for batch in batches:
+                x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+                error = 1.0 / (1.0 + np.exp(-(x @ weights.T + bias))) - batch.column(1).to_numpy()[:, None]
+                error *= own[None, :] != batch.column(0).to_numpy()[:, None]
+                out[:, :n] += error.T @ x
+                out[:, n] += error.sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([out.ravel().tolist()], pa.list_(pa.float64()))], ["g"])
+
+        parts = given.select("fold", "y", "x").mapInArrow(sums, "g array<double>")
+        found = parts.select(F.posexplode("g").alias("i", "g")).groupBy("i").agg(F.sum("g").alias("g")).collect()
+        gradient = np.zeros(len(own) * (n + 1))
+        for r in found:
+            gradient[r.i] = r.g
+        gradient = gradient.reshape(len(own), n + 1) / total[:, None]
+        w = w - rate * (gradient[:, :n] + l2 * w)
+        b = b - rate * gradient[:, n]
+        shared.unpersist()
+    return w, b
 
 
 def out_of_fold(rows: DataFrame, models: DataFrame, names: list[str], mean: list[float], sd: list[float]) -> DataFrame:
     """rows with z, the linear score by the model of their own fold."""
-    z = F.col("b")
+    model = F.col("__model")
+    z = model["b"]
     for i, (n, m, s) in enumerate(zip(names, mean, sd)):
-        z = z + F.col("w")[i] * ((F.col(n) - m) / s)
-    return rows.join(models, "fold").withColumn("z", z).drop("w", "b")
+        z = z + model["w"][i] * ((F.col(n) - m) / s)
+    named = models.select("fold", F.struct("w", "b").alias("__model"))
+    return rows.join(named, "fold").withColumn("z", z).drop("__model")
 
 
 def best_lambda(rows: DataFrame, grid: list[float], score_sd: float) -> DataFrame:
@@ -56,4 +111,21 @@ def best_lambda(rows: DataFrame, grid: list[float], score_sd: float) -> DataFram
     equals the first of the grid."""
     given = rows.withColumn("lam", F.explode(F.array(*map(F.lit, grid))))
     won = given.groupBy("lam", "qid").agg(F.max_by("km", F.struct(F.col("s") / score_sd + F.col("lam") * F.col("z"), -F.col("rank"))).alias("km"))
-    return won.groupBy("lam").agg(F.percentile("km", F.lit(0.5)).alias("median_km")).orderBy("median_km", F.array_position(F.array(*map(F.lit, grid)), F.col("lam")))
+    found = medians(written(won, "won"), ["lam"], "km", "median_km")
+    return found.orderBy("median_km", F.array_position(F.array(*map(F.lit, grid)), F.col("lam")))
+
+
+def score_sd(rows: DataFrame) -> DataFrame:
+    """One row: the population deviation of the scores s of all candidates there are."""
+    return rows.agg(F.stddev_pop("s").alias("score_sd"))
+
+
+def with_probability(scored: DataFrame) -> DataFrame:
+    """Rows of out_of_fold() with p, the probability that their score z states."""
+    return scored.withColumn("p", 1.0 / (1.0 + F.exp(-F.col("z"))))
+
+
+def as_linear(models: DataFrame, mean: list[float], sd: list[float], fold: int = -1) -> Linear:
+    """The model of a fold of fit(), as a recipe has it."""
+    row = models.where(F.col("fold") == fold).first()
+    return Linear(tuple(row.w), row.b, tuple(mean), tuple(sd))

@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from waymark.functions.vector import dot, quantise, quantise_scale
 
-#: Rows of a sample against which hubness is measured.
-BATCH = 4096
+#: Rows that are multiplied at a time; rows of the sample against which hubness is measured.
+BATCH, HUB_ROWS = 1024, 5000
 
 
 def one_view(rows: DataFrame, views: int = 4) -> DataFrame:
@@ -46,21 +46,27 @@ def cell_offsets(places: DataFrame, n_cells: int) -> DataFrame:
     return cells.join(counts, "cell", "left").na.fill({"n": 0}).select("cell", "n", before.alias("offset"))
 
 
-def hubness(rows: DataFrame, sample: DataFrame, space: str, top: int = 10) -> DataFrame:
-    """(row, csls): the mean of the largest products with the sample (row, <space>),
-    itself included. The sample is bounded by its caller and goes to every task."""
-    matrix = np.array([r[0] for r in sample.select(space).collect()], dtype=float)
+def hubness(rows: DataFrame, spaces: list[str], top: int = 10, sample_rows: int = HUB_ROWS, order: Column | None = None) -> DataFrame:
+    """(row, csls): for each of the spaces the mean of the largest products with a
+    sample, itself included. The sample is the first sample_rows rows by the order
+    (else a hash of the row), so its size does not grow with the table; it goes to
+    every task once, for all spaces."""
+    of = rows.orderBy(F.xxhash64("row") if order is None else order, "row").limit(sample_rows).select(*spaces).toArrow()
+    shared = rows.sparkSession.sparkContext.broadcast([np.array(of.column(s).to_pylist(), dtype=float) for s in spaces])
     kind = rows.schema["row"].dataType.simpleString()
 
     def mean_of_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                near = np.array(part.column(1).to_pylist(), dtype=float) @ matrix.T
-                best = -np.sort(-near, axis=1)[:, :top]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best.mean(axis=1))], ["row", "csls"])
-
-    return rows.select("row", space).mapInArrow(mean_of_best, f"row {kind}, csls double")
+                found = []
+                for i, matrix in enumerate(shared.value, 1):
+                    near = np.array(part.column(i).to_pylist(), dtype=float) @ matrix.T
+                    k = min(top, near.shape[1])
+                    found.append(np.partition(near, near.shape[1] - k, axis=1)[:, -k:].mean(axis=1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.stack(found, axis=1).tolist(), pa.list_(pa.float64()))], ["row", "csls"])
+
+    return rows.select("row", *spaces).mapInArrow(mean_of_best, f"row {kind}, csls array<double>")
 
 
 def quantised(rows: DataFrame, spaces: list[str]) -> DataFrame:

@@ -8,18 +8,22 @@ either side do not count.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from waymark.functions.geo import EARTH_KM
 from waymark.functions.vector import dequantised_dot
 from waymark.operators.gate import log_prior
 from waymark.recipe import Recipe
+from waymark.scratch import written
 
-#: Places of a block that one task scores at a time.
-BLOCK = 8192
+#: Places of a block, and queries, that one task scores at a time.
+BLOCK, QUERY_BLOCK = 8192, 1024
 
 
 def candidates(gated: DataFrame, places: DataFrame) -> DataFrame:
@@ -62,17 +66,19 @@ def retrieve(queries: DataFrame, gated: DataFrame, places: DataFrame, recipe: Re
     top_k from each block of a cell, with the number n of candidates of the block.
     top_k() of it is that of all candidates.
 
-    Places stay where they are dealt once by cell and block; the queries of a
-    cell are multiplied with a block's codes in one product, and only the best
-    leave the task. A cell of any size is several blocks, and a query's vectors
-    go to the blocks of its cells.
+    Places are dealt by cell and block, and so are the queries of a cell: a block
+    of either is multiplied in one product, and only the best leave the task. A
+    cell of any size, or one that any number of queries want, is several blocks.
     """
     spaces = shared_spaces(recipe, queries, places)
     blocks = places.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = places.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    right = dealt.select("cell", "block", "row", "csls", *(c for s in spaces for c in (s, f"{s}_scale")))
-    wanted = gated.join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = queries.select("qid", *(F.col(s).alias(f"q_{s}") for s in spaces)).join(wanted, "qid").select("cell", "block", "qid", "p", *(f"q_{s}" for s in spaces))
+    askers = gated.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("askers"))
+    dealt = dealt.join(askers, "cell").withColumn("asker", F.explode(F.sequence(F.lit(0), F.col("askers") - 1)))
+    right = dealt.select("cell", "block", "asker", "row", "csls", *(c for s in spaces for c in (s, f"{s}_scale")))
+    wanted = gated.join(blocks, "cell").join(askers, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    wanted = wanted.withColumn("asker", F.pmod(F.xxhash64("qid"), F.col("askers")).cast("int"))
+    left = queries.select("qid", *(F.col(s).alias(f"q_{s}") for s in spaces)).join(wanted, "qid").select("cell", "block", "asker", "qid", "p", *(f"q_{s}" for s in spaces))
     qid = queries.schema["qid"].dataType.simpleString()
     row = places.schema["row"].dataType.simpleString()
 
@@ -97,23 +103,29 @@ def retrieve(queries: DataFrame, gated: DataFrame, places: DataFrame, recipe: Re
         at = np.repeat(np.arange(len(s)), k)
         return pa.table({"qid": own.column("qid").take(pa.array(at)), "row": pa.array(rows[order.ravel()]), "s": pa.array(np.take_along_axis(s, order, axis=1).ravel()), "n": pa.array(np.full(len(at), n, dtype=np.int64))})
 
-    return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInArrow(best, f"qid {qid}, row {row}, s double, n long")
-
+    return left.groupBy("cell", "block", "asker").cogroup(right.groupBy("cell", "block", "asker")).applyInArrow(best, f"qid {qid}, row {row}, s double, n long")
 
 
-#: Points that nearest() takes at a time: they go to every task.
-MAX_POINTS = 100_000
+#: Points that nearest() takes in one pass over the places: they go to every task.
+PASS_POINTS = 100_000
 
 
 def nearest(points: DataFrame, places: DataFrame, k: int) -> DataFrame:
-    """(qid, row, km): the k places nearest to each of a bounded set of points
-    (qid, lat, lon), of equals the lower row. Each batch of places keeps its own k
-    for every point; the best of those remain."""
-    from waymark.functions.geo import EARTH_KM
-
-    asked = points.select("qid", F.radians("lat").alias("phi"), F.radians("lon").alias("lam")).limit(MAX_POINTS + 1).toArrow()
-    if asked.num_rows > MAX_POINTS:
-        raise ValueError(f"more than {MAX_POINTS} points: ask in parts")
+    """(qid, row, km): the k places nearest to each point (qid, lat, lon), of equals
+    the lower row. Points go to the tasks of the places, PASS_POINTS at a time; each
+    batch of places keeps its own k for every point, and the best of those remain."""
+    asked = points.select("qid", F.radians("lat").alias("phi"), F.radians("lon").alias("lam"))
+    passes = asked.count() // PASS_POINTS + 1
+    if passes == 1:
+        return top_k(_near(asked, places, k), k).select("qid", "row", "km")
+    asked = written(asked.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(passes))), "points")
+    found = [_near(asked.where(F.col("part") == i).drop("part"), places, k) for i in range(passes)]
+    return top_k(reduce(DataFrame.unionByName, found), k).select("qid", "row", "km")
+
+
+def _near(points: DataFrame, places: DataFrame, k: int) -> DataFrame:
+    """(qid, row, km, s): for each batch of places the k nearest to each point."""
+    asked = points.toArrow()
     phi, lam = asked.column("phi").to_numpy(), asked.column("lam").to_numpy()
     qids = asked.column("qid").combine_chunks()
 
@@ -132,4 +144,4 @@ def nearest(points: DataFrame, places: DataFrame, k: int) -> DataFrame:
 
     kinds = points.schema["qid"].dataType.simpleString(), places.schema["row"].dataType.simpleString()
     found = places.select("row", F.radians("lat"), F.radians("lon")).mapInArrow(best, f"qid {kinds[0]}, row {kinds[1]}, km double")
-    return top_k(found.withColumn("s", -F.col("km")), k).select("qid", "row", "km")
+    return found.withColumn("s", -F.col("km"))

@@ -156,6 +156,42 @@ def usable_rings(features: DataFrame, least: int = 3) -> DataFrame:
     return features.where(F.size(F.col("rings")[0]) >= least).withColumn("rings", kept)
 
 
+def inner_point(rings: Column) -> Column:
+    """A point within a polygon: on the latitude in the middle of its outline, the middle
+    of the widest stretch between two crossings of its rings. Null without a stretch."""
+    lats = F.transform(rings[0], lambda p: p["lat"])
+    lat = (F.array_min(lats) + F.array_max(lats)) / 2
+    cut = F.filter(F.flatten(F.transform(rings, edges)), lambda e: (e["y1"] > lat) != (e["y2"] > lat))
+    at = F.array_sort(F.transform(cut, lambda e: e["x1"] + (lat - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])))
+    pairs = F.transform(F.filter(at, lambda x, i: i % 2 == 0), lambda x, i: F.struct((F.get(at, 2 * i + 1) - x).alias("wide"), (-i).alias("first"), ((F.get(at, 2 * i + 1) + x) / 2).alias("lon")))
+    widest = F.array_max(F.filter(pairs, lambda p: p["wide"].isNotNull()))
+    return F.when(widest.isNotNull(), F.struct(widest["lon"].alias("lon"), lat.alias("lat")))
+
+
+def names_per_layer(rows: DataFrame) -> DataFrame:
+    """(layer, n, names): features or places of each layer, and how many names they have."""
+    return rows.groupBy("layer").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))
+
+
+def geometry_difference(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(layer, k, what) of two maps' features (layer, kind, k, name, rings, min_lon,
+    min_lat, max_lon, max_lat; k their number within the layer): layers that are added or
+    removed and layers of another kind or size as a whole (k null); of the others each
+    feature whose name or rings, box or coordinates differ, the first of these three."""
+    sizes = [x.groupBy("layer").agg(F.min("kind").alias(f"kind{i}"), F.count("*").alias(f"n{i}")) for i, x in ((0, old), (1, new))]
+    layers = sizes[0].join(sizes[1], "layer", "full_outer")
+    other = (F.col("kind0") != F.col("kind1")) | (F.col("n0") != F.col("n1"))
+    what = F.when(F.col("n1").isNull(), "layer removed").when(F.col("n0").isNull(), "layer added").when(other, "layer differs")
+    layers = layers.withColumn("what", what)
+    box = F.struct("min_lon", "min_lat", "max_lon", "max_lat")
+    own = [x.select("layer", "k", F.struct("name", F.size("rings").alias("n")).alias(f"name{i}"), box.alias(f"box{i}"), F.col("rings").alias(f"rings{i}")) for i, x in ((0, old), (1, new))]
+    pairs = own[0].join(own[1], ["layer", "k"], "full_outer").join(layers.where("what is null").select("layer"), "layer", "left_semi")
+    same = lambda name: F.col(f"{name}0").eqNullSafe(F.col(f"{name}1"))
+    differs = F.when(~same("name"), "name or rings").when(~same("box"), "box").when(~same("rings"), "coordinates")
+    found = pairs.select("layer", F.col("k").cast("long").alias("k"), differs.alias("what")).where("what is not null")
+    return layers.where("what is not null").select("layer", F.lit(None).cast("long").alias("k"), "what").unionByName(found)
+
+
 def difference(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """keys and what became of them: removed, added, changed. Equal rows are left out."""
     a, b = (x.select(*keys, F.struct(*values).alias(n)) for x, n in ((old, "old"), (new, "new")))

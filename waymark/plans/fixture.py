@@ -7,8 +7,6 @@ and the models are made from keys.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +16,7 @@ from waymark.operators.index import assign_cells, hubness, quantised
 from waymark.operators.rerank import answers, features, reranked
 from waymark.operators.search import retrieve, top_k
 from waymark.recipe import Linear, Recipe
+from waymark.scratch import once, written
 
 N_CELLS = 16
 SPACES = ["cls", "geo5c", "geo10c", "geo25c", "cls_wh"]
@@ -81,16 +80,23 @@ def float_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("lat", lat).withColumn("lon", lon)
 
 
+def sample_order() -> Column:
+    """The order whose first rows are the sample for hubness."""
+    return F.col("row") * 7919 % 100003
+
+
 def csls_rows(rows: DataFrame) -> DataFrame:
-    """(row, csls) against the places whose row divides by 5."""
-    parts = [hubness(rows, rows.where("row % 5 = 0"), s).withColumnRenamed("csls", f"csls_{s}") for s in RECIPE.csls_spaces]
-    one = reduce(lambda a, b: a.join(b, "row"), parts)
-    return one.select("row", F.array(*(f"csls_{s}" for s in RECIPE.csls_spaces)).alias("csls"))
+    return hubness(rows, list(RECIPE.csls_spaces), order=sample_order())
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = float_places(spark, sf_dir)
-    return quantised(rows.join(csls_rows(rows), "row"), SPACES).drop("v")
+    """The index: built and written once for a session, then read by every search."""
+
+    def build() -> DataFrame:
+        rows = written(float_places(spark, sf_dir), "float_places")
+        return quantised(rows.join(csls_rows(rows), "row"), SPACES).drop("v")
+
+    return once(spark, ("places", sf_dir), build)
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,23 +114,32 @@ def gated(spark: SparkSession, sf_dir: str, cap: int = RECIPE.gate_cap) -> DataF
     return gate(posterior(logits(spark, sf_dir)), RECIPE.gate_mass, cap)
 
 
-def best(spark: SparkSession, sf_dir: str, k: int = RECIPE.top_k) -> tuple[DataFrame, DataFrame]:
-    """The top rows with what reranking needs, and (qid, n_candidates)."""
-    q, p = queries(spark, sf_dir), places(spark, sf_dir)
-    cells = gated(spark, sf_dir)
-    found = retrieve(q, cells, p, RECIPE)
-    top = top_k(found.select("qid", "row", "s"), k)
-    counts = cells.join(p.groupBy("cell").agg(F.count("*").alias("n")), "cell").groupBy("qid").agg(F.sum("n").alias("n_candidates"))
-    late = p.select("row", "lat", "lon", F.col("cls").alias("code"), "cls_scale")
-    wide = top.join(late, "row").join(q.select("qid", F.col("cls").alias("q")), "qid")
-    return wide.select("qid", "row", "rank", "s", "lat", "lon", "code", (dot(F.col("q"), F.col("code")) * F.col("cls_scale")).alias("raw")), counts
+def best(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The top rows with what reranking needs, and (qid, n_candidates, gate_cells).
+    The search runs once for a session; its rows are written."""
+
+    def search() -> DataFrame:
+        q = written(queries(spark, sf_dir), "queries")
+        p = places(spark, sf_dir)
+        cells = written(gated(spark, sf_dir), "gated")
+        top = top_k(retrieve(q, cells, p, RECIPE).select("qid", "row", "s"), RECIPE.top_k)
+        sizes = p.groupBy("cell").agg(F.count("*").alias("n"))
+        counts = cells.join(sizes, "cell", "left").groupBy("qid").agg(F.sum("n").alias("n_candidates"), F.count("*").alias("gate_cells"))
+        late = p.select("row", "lat", "lon", F.col("cls").alias("code"), "cls_scale")
+        wide = top.join(late, "row").join(q.select("qid", F.col("cls").alias("q")), "qid").join(counts, "qid")
+        raw = dot(F.col("q"), F.col("code")) * F.col("cls_scale")
+        return wide.select("qid", "row", "rank", "s", "lat", "lon", "code", raw.alias("raw"), "n_candidates", "gate_cells")
+
+    top = once(spark, ("best", sf_dir), search)
+    counts = top.where("rank = 0").select("qid", "n_candidates", "gate_cells")
+    return top.drop("n_candidates", "gate_cells"), counts
 
 
 def final_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(reranked rows with coordinates, candidate counts, answers)."""
     top, counts = best(spark, sf_dir)
-    rows = reranked(features(top, RECIPE), RECIPE)
-    one = answers(rows, counts, RECIPE)
+    rows = written(reranked(features(top, RECIPE), RECIPE), "reranked")
+    one = answers(rows, counts.select("qid", "n_candidates"), RECIPE)
     return rows.join(top.select("qid", "row", "lat", "lon"), ["qid", "row"]), counts, one
 
 

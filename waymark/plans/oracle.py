@@ -39,7 +39,7 @@ CTES = {
     "raws": "SELECT id, kind, 'cls' AS space, v AS u FROM allv UNION ALL SELECT id, kind, 'geo5c', v[1:32] FROM allv UNION ALL SELECT id, kind, 'geo10c', v[17:48] FROM allv UNION ALL SELECT id, kind, 'geo25c', v[33:64] FROM allv UNION ALL SELECT id, kind, 'cls_wh', list_transform(list_zip(v, m), lambda t: t[1] - t[2]) FROM allv, meanv",
     "sp": f"SELECT id, kind, space, CASE WHEN space = 'cls' THEN u ELSE {unit('u', 'greatest({n}, 1e-12)')} END AS f FROM raws",
     "code": "SELECT id AS rid, space, f, scale, list_transform(f, lambda e: greatest(least(round_even(e / scale, 0), 127::DOUBLE), -127::DOUBLE)) AS code FROM (SELECT *, greatest(list_max(list_transform(f, lambda e: abs(e))), 1e-12) / 127 AS scale FROM sp WHERE kind = 'p')",
-    "csls": "SELECT rid, space, avg(d) AS csls FROM (SELECT a.id AS rid, a.space, list_dot_product(a.f, b.f) AS d FROM sp a JOIN sp b ON a.space = b.space AND a.kind = 'p' AND b.kind = 'p' AND b.id % 5 = 0 WHERE a.space IN ('geo5c', 'geo10c', 'geo25c') QUALIFY row_number() OVER (PARTITION BY a.id, a.space ORDER BY list_dot_product(a.f, b.f) DESC) <= 10) GROUP BY ALL",
+    "csls": "SELECT rid, space, avg(d) AS csls FROM (SELECT a.id AS rid, a.space, list_dot_product(a.f, b.f) AS d FROM sp a JOIN sp b ON a.space = b.space AND a.kind = 'p' AND b.kind = 'p' AND b.id IN (SELECT rid FROM pv ORDER BY rid * 7919 % 100003, rid LIMIT 5000) WHERE a.space IN ('geo5c', 'geo10c', 'geo25c') QUALIFY row_number() OVER (PARTITION BY a.id, a.space ORDER BY list_dot_product(a.f, b.f) DESC) <= 10) GROUP BY ALL",
     "logit": "SELECT qid, cell, 20 * list_dot_product(q.v, c.v) AS logit FROM qv q, cen c",
     "post": "SELECT qid, cell, e / sum(e) OVER (PARTITION BY qid) AS p FROM (SELECT *, exp(logit - max(logit) OVER (PARTITION BY qid)) AS e FROM logit)",
     "ordered": "SELECT *, row_number() OVER w AS rank, coalesce(sum(p) OVER (PARTITION BY qid ORDER BY p DESC, cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM post WINDOW w AS (PARTITION BY qid ORDER BY p DESC, cell)",
@@ -81,18 +81,46 @@ CTES = {
 }
 
 
+def descent(name: str, rows: str, names: list[str], steps: int, rate: float, l2: float) -> dict[str, str]:
+    """Expressions <name>_x (standardised rows), <name>_w (weights of each fold by step,
+    the bias last) for a fit of rows (fold, y, names) by gradient descent."""
+    n = len(names)
+    each = ", ".join(f"({x} - avg({x}) OVER ()) / (stddev_pop({x}) OVER () + 1e-9)" for x in names)
+    gradient = ", ".join(f"sum(e * x[{i + 1}]) / count(*)" for i in range(n)) + ", sum(e) / count(*)"
+    decay = f"list_transform(range(1, {n + 2}), lambda i: CASE WHEN i <= {n} THEN {l2}::DOUBLE * w[i] ELSE 0 END)"
+    return {
+        f"{name}_x": f"SELECT *, [{each}, 1] AS x FROM {rows}",
+        f"{name}_of": f"SELECT f.fold, r.x, r.y FROM (SELECT DISTINCT fold FROM {name}_x UNION ALL SELECT -1) f JOIN {name}_x r ON r.fold <> f.fold",
+        f"{name}_w": f"""SELECT fold, 0 AS step, list_transform(range({n + 1}), lambda i: 0::DOUBLE) AS w FROM (SELECT DISTINCT fold FROM {name}_of)
+          UNION ALL SELECT fold, step, list_transform(range(1, {n + 2}), lambda i: w[i] - {rate}::DOUBLE * (g[i] + d[i])) FROM (
+            SELECT fold, step, w, {decay} AS d, [{gradient}] AS g FROM (SELECT s.fold, s.step + 1 AS step, s.w, r.x, 1 / (1 + exp(-list_dot_product(s.w, r.x))) - r.y AS e FROM {name}_w s JOIN {name}_of r USING (fold) WHERE s.step < {steps}) GROUP BY fold, step, w)""",
+    }
+
+
+CTES["near"] = f"SELECT t.qid, t.rid, {hav('c.', 't.')} AS km FROM (SELECT qid, rid, truth.lat, truth.lon FROM topk JOIN truth USING (qid)) t JOIN coords c USING (rid)"
+CTES["train"] = "SELECT feat.*, km, (km <= 25)::INT AS y, (qid // 10 % 5)::INT AS fold FROM feat JOIN near USING (qid, rid)"
+CTES |= descent("rr", "train", NAMES, 400, 0.5, 0.0)
+CTES["sure"] = "SELECT won.*, km, (km <= 25)::INT AS y, (qid // 10 % 5)::INT AS fold FROM won JOIN near USING (qid, rid)"
+CTES |= descent("cf", "sure", [c[0] for c in CONFIDENCE], 900, 0.35, 1e-4)
+CTES["feats"] = "SELECT DISTINCT feature_id, k, name, layer, n, pts FROM (SELECT feature_id, feature_id // 10 AS k, name, 'l' || (feature_id // 10 % 3) AS layer, count(*) OVER (PARTITION BY feature_id) AS n, pts FROM ring)"
+#: Expressions that are read in every step of a recursion.
+KEPT = {"rr_of", "cf_of"}
+
+
 def with_ctes(select: str) -> str:
     """The select behind the expressions that it uses, in order of need."""
     needed: list[str] = []
+    open_names: set[str] = set()
 
     def add(text: str) -> None:
         for name in CTES:
-            if name not in needed and re.search(rf"\b(?:FROM|JOIN|,)\s+{name}\b", text):
+            if name not in needed and name not in open_names and re.search(rf"\b(?:FROM|JOIN|,)\s+{name}\b", text):
+                open_names.add(name)
                 add(CTES[name])
                 needed.append(name)
 
     add(select)
-    return "WITH " + ", ".join(f"{n} AS ({CTES[n]})" for n in needed) + " " + select if needed else select
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS {'MATERIALIZED ' * (n in KEPT)}({CTES[n]})" for n in needed) + " " + select if needed else select
 
 
 def r(x: str, name: str | None = None) -> str:
@@ -111,7 +139,7 @@ REPORT = f"count(*) AS n, {r(percentile('km'), 'median_km')}, {r('avg((km <= 25)
 
 SELECTS = {
     "quantise_rows": f"SELECT rid AS \"row\", space, round(scale, 9) + 0 AS scale, list_sum(code)::BIGINT AS total, list_sum(list_transform(list_zip(code, range(1, len(code) + 1)), lambda t: t[1] * t[2]))::BIGINT AS checksum FROM code",
-    "dequant_dot": f"SELECT q.id AS qid, k.rid AS \"row\", {r('list_dot_product(q.f, k.code) * k.scale', 'product')} FROM sp q JOIN code k ON q.kind = 'q' AND q.space = 'cls' AND k.space = 'cls'",
+    "dequant_dot": f"SELECT q.id AS qid, k.rid AS \"row\", {r('list_dot_product(q.f, k.code) * k.scale', 'product')} FROM sp q JOIN gated g ON g.qid = q.id JOIN cellmap m USING (cell) JOIN code k ON k.rid = m.rid AND q.kind = 'q' AND q.space = 'cls' AND k.space = 'cls'",
     "l2_normalise": f"SELECT id AS qid, space, {r('f[1]', 'first')}, {r('list_sum(f)', 'total')}, {r('list_dot_product(f, f)', 'length')} FROM sp WHERE kind = 'q'",
     "softmax_posterior": f"SELECT qid, cell, {r('p')} FROM post",
     "gate_mass": f"SELECT qid, cell, rank, {r('p')} FROM gated",
@@ -150,11 +178,11 @@ SELECTS = {
     "polygon_area_filter": f"SELECT country, part, {r('area')} FROM (SELECT name AS country, feature_id AS part, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area FROM edge WHERE ring = 0 GROUP BY ALL) QUALIFY area >= 600 OR row_number() OVER (PARTITION BY country ORDER BY area DESC, part) = 1",
     "feature_boxes": f"SELECT feature_id, {r('min(x1) - 2e-4', 'min_lon')}, {r('max(x1) + 2e-4', 'max_lon')}, {r('min(y1) - 2e-4', 'min_lat')}, {r('max(y1) + 2e-4', 'max_lat')} FROM edge GROUP BY ALL",
     "map_difference": "SELECT name, CASE WHEN name LIKE '%1' THEN 'removed' ELSE 'changed' END AS what FROM ranked WHERE name LIKE '%1' OR (name LIKE '%2' AND pop_max IS NOT NULL)",
-    "homonym_lookup": "SELECT asked, coalesce((SELECT r.name FROM ranked r WHERE r.name = asked ORDER BY rank, coalesce(pop_max, 0) DESC, name LIMIT 1), (SELECT r.name FROM ranked r WHERE r.name[1:5] = asked[1:5] ORDER BY rank, coalesce(pop_max, 0) DESC, name LIMIT 1)) AS name FROM (SELECT CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE s_name[1:5] || '?' END AS asked FROM supplier WHERE s_suppkey <= 40)",
+    "homonym_lookup": "SELECT asked, coalesce(e.name, b.name) AS name FROM (SELECT CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE s_name[1:5] || '?' END AS asked FROM supplier) LEFT JOIN (SELECT name FROM ranked QUALIFY row_number() OVER (PARTITION BY name ORDER BY rank, coalesce(pop_max, 0) DESC) = 1) e ON e.name = asked LEFT JOIN (SELECT name, name[1:5] AS begin FROM ranked QUALIFY row_number() OVER (PARTITION BY name[1:5] ORDER BY rank, coalesce(pop_max, 0) DESC, name) = 1) b ON b.begin = asked[1:5]",
     "coordinate_quantise": "SELECT point_id, least(greatest(round_even(lat * 1e6, 0), -180e6), 180e6)::INT AS lat_q, least(greatest(round_even((lon * 1.1) * 1e6, 0), -180e6), 180e6)::INT AS lon_q FROM pt",
     "wrap_longitude": f"SELECT point_id, {r('CASE WHEN x BETWEEN -180 AND 180 THEN x ELSE x - 360 * ceil((x - 180) / 360) END', 'lon')} FROM (SELECT point_id, lon * 7.3::DOUBLE AS x FROM pt)",
     "spread_zoom": f"SELECT point_id, {r('least(greatest(log2(360 / (least(greatest(abs(lon) / 10 * 4, 3.6), 120) * (1 / greatest(cos(radians(lat)), 0.15)))), log2(greatest(1, 1920 / 1080))), 11)', 'zoom')} FROM pt",
-    "project_to_screen": f"SELECT point_id, {r('x')}, {r('y')} FROM (SELECT point_id, 540 + (lon - 10) * 6 AS x, 960 - (degrees(ln(tan(pi() / 4 + radians(lat) / 2))) - 20) * 6 AS y FROM pt WHERE lon - 10 BETWEEN -180 AND 180) WHERE x BETWEEN -200 AND 1280 AND y BETWEEN -200 AND 2120",
+    "project_to_screen": f"SELECT point_id, {r('x')}, {r('y')} FROM (SELECT point_id, 540 + (CASE WHEN lon - 10 BETWEEN -180 AND 180 THEN lon - 10 ELSE lon - 10 - 360 * ceil((lon - 190) / 360) END) * 6 AS x, 960 - (degrees(ln(tan(pi() / 4 + radians(lat) / 2))) - 20) * 6 AS y FROM pt) WHERE x BETWEEN -200 AND 1280 AND y BETWEEN -200 AND 2120",
     "scale_bar": f"SELECT point_id, km, {r('least(km / k, 220)', 'px')} FROM (SELECT point_id, k, coalesce(list_filter(steps, lambda s: s / k >= 88)[1], 5000) AS km FROM (SELECT point_id, 111.32::DOUBLE * cos(radians(lat)) / (1 + point_id % 900) AS k, [0.1, 0.2, 0.5, 1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 2000, 5000]::DOUBLE[] AS steps FROM pt))",
     "zoom_ranks": "SELECT point_id, CASE WHEN z < 2.4 THEN 3 WHEN z < 4.5 THEN 5 WHEN z < 14 THEN 7 END AS country_rank, CASE WHEN z < 2.6 THEN NULL WHEN z < 5 THEN 1 WHEN z < 10 THEN 2 WHEN z < 22 THEN 3 WHEN z < 50 THEN 4 WHEN z < 100 THEN 6 WHEN z < 220 THEN 7 WHEN z < 520 THEN 8 ELSE 10 END AS place_rank FROM (SELECT point_id, (point_id * 7 % 6000) / 10::DOUBLE AS z FROM pt)",
     "brier_auc": f"SELECT count(*) AS n, {r('avg(pow(p - y, 2))', 'brier')}, {r('avg(y) * (1 - avg(y))', 'base_brier')}, {r('any_value(won) / (sum(y) * (count(*) - sum(y)))', 'auc')} FROM rated, (SELECT sum(CASE WHEN y = 1 THEN below ELSE 0 END) AS won FROM (SELECT y, coalesce(sum(1 - y) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) - sum(1 - y) OVER (PARTITION BY p) AS below FROM rated))",
@@ -171,9 +199,29 @@ SELECTS = {
     "manifest_hashes": "SELECT path, bytes, sha256(html) AS sha256 FROM mani JOIN pages USING (page_id)",
     "view_select": 'SELECT l_orderkey AS "row", sum(l_quantity)::DOUBLE AS total FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY ALL',
     "download_text": "SELECT page_id, CASE WHEN speed > 1e4 THEN CASE WHEN s < 90 THEN format('{}s left', s) ELSE format('{} min left', (s + 30) // 60) END END AS text FROM (SELECT page_id, speed, trunc(strlen(html) * 9000 / speed)::INT AS s FROM (SELECT page_id, html, (page_id * 977 % 400000 + 1)::DOUBLE AS speed FROM pages))",
-    "shard_order": "SELECT shard, i, row_number() OVER (ORDER BY shard, i) - 1 AS \"row\" FROM (SELECT regexp_extract('c2_cls_r' || (o_custkey % 12), '_r(\\d+)', 1)::INT AS shard, o_orderkey AS i FROM orders WHERE o_orderkey <= 3000)",
+    "shard_order": "SELECT shard, i, row_number() OVER (ORDER BY shard, i) - 1 AS \"row\" FROM (SELECT regexp_extract('c2_cls_r' || (o_custkey % 12), '_r(\\d+)', 1)::INT AS shard, o_orderkey AS i FROM orders)",
     "layer_union": "SELECT layer, count(*) AS n, sum(rank)::BIGINT AS ranks FROM (SELECT 'places' AS layer, rank FROM ranked UNION ALL SELECT 'countries', k % 8 FROM nat) GROUP BY layer",
     "layer_names_removed": "SELECT DISTINCT n_name AS name FROM nation EXCEPT SELECT n_name FROM nation WHERE n_regionkey > 1",
+    "rerank_models": f"SELECT fold, i - 1 AS i, {r('w[i]', 'w')}, {r('w[17]', 'b')} FROM (SELECT *, unnest(range(1, 17)) AS i FROM rr_w WHERE step = 400)".replace("i - 1 AS i", "(i - 1)::INT AS i"),
+    "lambda_grid": f"SELECT lam, {r(percentile('km'), 'median_km')} FROM (SELECT lam, qid, km FROM (SELECT r.qid, r.rank, r.s, r.km, list_dot_product(w.w, r.x) AS z FROM rr_x r JOIN rr_w w ON w.fold = r.fold AND w.step = 400), (SELECT unnest([0.5, 1, 2]::DOUBLE[]) AS lam) QUALIFY row_number() OVER (PARTITION BY lam, qid ORDER BY s / 0.2::DOUBLE + lam * z DESC, rank) = 1) GROUP BY lam",
+    "confidence_models": f"SELECT fold, (i - 1)::INT AS i, {r('w[i]', 'w')}, {r('w[8]', 'b')} FROM (SELECT *, unnest(range(1, 8)) AS i FROM cf_w WHERE step = 900)",
+    "confidence_cv": f"SELECT qid, y, {r('1 / (1 + exp(-list_dot_product(w, x)))', 'p')} FROM cf_x JOIN cf_w USING (fold) WHERE step = 900",
+    "score_sd": f"SELECT {r('stddev_pop(s)', 'score_sd')} FROM topk",
+    "names_per_layer": "SELECT layer, count(*) AS n, count(DISTINCT name) AS names FROM (SELECT 'region' || n_regionkey AS layer, n_name[1:1] AS name FROM nation UNION ALL SELECT 'places', name FROM ranked) GROUP BY layer",
+    "manifest_totals": "SELECT count(*) AS files, sum(bytes)::BIGINT AS bytes, count(*) FILTER (missing) AS files_left, coalesce(sum(bytes) FILTER (missing), 0)::BIGINT AS bytes_left FROM (SELECT bytes, NOT EXISTS (SELECT 1 FROM list l WHERE l.path = mani.path AND l.bytes = mani.bytes) AS missing FROM mani)",
+    "head_rows": "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 32",
+    "geometry_difference": "SELECT 'l2' AS layer, NULL::BIGINT AS k, 'layer differs' AS what UNION ALL SELECT 'new', NULL, 'layer added' UNION ALL SELECT 'old', NULL, 'layer removed' UNION ALL SELECT DISTINCT layer, k // 3 * 2 + feature_id % 10, CASE k WHEN 3 THEN 'name or rings' WHEN 7 THEN 'box' ELSE 'coordinates' END FROM feats WHERE k IN (3, 7, 9) AND layer <> 'l2'",
+    "place_cut": "SELECT name, rank FROM ranked WHERE rank <= 8 AND name IS NOT NULL",
+    "unit_xyz": f"SELECT point_id, {r('cos(radians(lat)) * cos(radians(lon))', 'x')}, {r('cos(radians(lat)) * sin(radians(lon))', 'y')}, {r('sin(radians(lat))', 'z')} FROM pt",
+    "usable_rings": "SELECT feature_id, count(*) FILTER (n >= 3)::INT AS rings FROM (SELECT feature_id, ring, CASE WHEN (feature_id / 10 + ring) % 4 < 1 THEN least(2, len(pts)) ELSE len(pts) END AS n FROM ring) GROUP BY feature_id HAVING min(n) FILTER (ring = 0) >= 3",
+    "ring_repeats": f"SELECT feature_id, ring, len(pts)::INT AS n, {r('list_sum(list_transform(pts, lambda p: p.x + 2 * p.y))', 'total')} FROM ring",
+    "run_drift": f"SELECT {r('avg(c)', 'mean_cosine')}, {r('max(m)', 'max_difference')}, {r('avg((qid % 11 <> 0)::INT) * 100', 'same_cell')} FROM (SELECT qid, list_dot_product(v, w) / sqrt(list_dot_product(v, v) * list_dot_product(w, w)) AS c, list_max(list_transform(list_zip(v, w), lambda t: abs(t[1] - t[2]))) AS m FROM (SELECT qid, v, list_transform(v, lambda e: round(e, 2)) AS w FROM qv))",
+    "clean_names": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 2 THEN trim(s_name) WHEN s_suppkey % 5 <> 0 THEN 'alt' || s_suppkey END AS name FROM supplier",
+    "northing_limit": f"SELECT point_id, {r('greatest(0, 180 - 1920 / (1080 * pow(2, point_id % 12) / 360) / 2)', 'limit')} FROM pt".replace("AS limit", 'AS "limit"'),
+    "image_numbers": "SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN (page_id % 9000)::INT END AS i FROM pages",
+    "inner_points": f"SELECT feature_id, {r('(a + b) / 2', 'lon')}, {r('y', 'lat')} FROM (SELECT feature_id, y, i, xs[2 * i + 1] AS a, xs[2 * i + 2] AS b FROM (SELECT *, unnest(range(len(xs) // 2)) AS i FROM (SELECT feature_id, any_value(y) AS y, list_sort(list(x1 + (y - y1) * (x2 - x1) / (y2 - y1)) FILTER ((y1 > y) <> (y2 > y))) AS xs FROM (SELECT *, (min(y1) FILTER (ring = 0) OVER (PARTITION BY feature_id) + max(y1) FILTER (ring = 0) OVER (PARTITION BY feature_id)) / 2 AS y FROM edge) GROUP BY feature_id))) QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY b - a DESC, i) = 1",
+    "progress_texts": f"SELECT page_id, format('Downloading — {{:.2f}} of {{:.2f}} GB', done_bytes / 1e9, total / 1e9) AS text, CASE WHEN v > 1e4 THEN format('{{:.0f}} MB/s', v / 1e6) END AS speed, {r('least(greatest(coalesce(done_bytes / nullif(total, 0), 0), 0), 1)', 'done')}, {r('least(greatest(1 - exp(-page_id / 100 / 3.4::DOUBLE), 0), 0.97)', 'progress')} FROM (SELECT page_id, strlen(html) * 90001 AS done_bytes, strlen(html) * 90001 + page_id * 1000003 AS total, (page_id * 97711 % 40000000)::DOUBLE AS v FROM pages)",
+    "smoothed_speeds": f"SELECT user_id, {r('sum(list_reduce(v, lambda a, x: CASE WHEN a = 0 THEN x ELSE a * 0.75::DOUBLE + x * 0.25::DOUBLE END))', 'total')}, count(*) AS hours FROM (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id, date_trunc('hour', ts)) GROUP BY user_id",
     "pca_moments": "SELECT i, round(avg(x), 6) + 0 AS mean, round(var_pop(x), 6) + 0 AS variance FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM pv) GROUP BY i",
 }
 

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.functions.vector import dequantised_dot, dot
-from waymark.operators import evaluate, fit, gate, index, rerank, search, worldmap
+from waymark.operators import evaluate, fit, gate, index, rerank, search, series, worldmap
 from waymark.plans import fixture as X
 from waymark.plans.fixture import RECIPE, table
-from waymark.recipe import RERANK_FEATURES
+from waymark.recipe import CONFIDENCE_FEATURES, RERANK_FEATURES
+from waymark.scratch import written
 from waymark.sources import assets
 
 
@@ -34,9 +33,9 @@ def quantise_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def dequant_dot(s: SparkSession, d: str) -> DataFrame:
-    q = X.query_vectors(s, d).select("qid", "v")
-    p = X.places(s, d).select("row", "cls", "cls_scale")
-    return rounded(q.join(p).select("qid", "row", dequantised_dot(F.col("v"), F.col("cls"), F.col("cls_scale")).alias("product")))
+    q = X.query_vectors(s, d).select("qid", "v").join(X.gated(s, d).select("qid", "cell"), "qid")
+    p = X.places(s, d).select("row", "cell", "cls", "cls_scale")
+    return rounded(q.join(p, "cell").select("qid", "row", dequantised_dot(F.col("v"), F.col("cls"), F.col("cls_scale")).alias("product")))
 
 
 def l2_normalise(s: SparkSession, d: str) -> DataFrame:
@@ -45,9 +44,9 @@ def l2_normalise(s: SparkSession, d: str) -> DataFrame:
 
 
 def csls_topk_mean(s: SparkSession, d: str) -> DataFrame:
-    rows = X.float_places(s, d)
-    parts = [index.hubness(rows, rows.where("row % 5 = 0"), n).withColumn("space", F.lit(n)) for n in RECIPE.csls_spaces]
-    return rounded(reduce(DataFrame.unionByName, parts).select("row", "space", "csls"))
+    each = F.posexplode("csls").alias("i", "csls")
+    names = F.array(*map(F.lit, RECIPE.csls_spaces))
+    return rounded(X.csls_rows(X.float_places(s, d)).select("row", each).select("row", names[F.col("i")].alias("space"), "csls"))
 
 
 def blend_score(s: SparkSession, d: str) -> DataFrame:
@@ -81,8 +80,8 @@ def rerank_features(s: SparkSession, d: str) -> DataFrame:
 
 
 def locate(s: SparkSession, d: str) -> DataFrame:
-    rows, _, one = X.final_rows(s, d)
-    cells = X.gated(s, d).groupBy("qid").agg(F.count("*").alias("gate_cells"))
+    rows, counts, one = X.final_rows(s, d)
+    cells = counts.select("qid", "gate_cells")
     where = rows.where("place = 0").select("qid", "lat", "lon")
     return rounded(one.join(where, "qid").join(cells, "qid").select("qid", "row", "lat", "lon", "n_candidates", "gate_cells", "s", "final", "confidence"))
 
@@ -126,7 +125,7 @@ def on_points(*columns) -> object:  # noqa: ANN002
 def project_to_screen(s: SparkSession, d: str) -> DataFrame:
     lit = F.lit
     xy = geo.project(F.col("lat"), F.col("lon"), lit(10.0), lit(20.0), lit(6.0), lit(1080.0), lit(1920.0))
-    near = X.points(s, d).where(F.col("lon") - 10 >= -180).withColumn("xy", xy).where("xy is not null")
+    near = X.points(s, d).withColumn("xy", xy).where("xy is not null")
     return rounded(near.select("point_id", "xy.x", "xy.y"))
 
 
@@ -143,8 +142,7 @@ def parity_report(s: SparkSession, d: str) -> DataFrame:
 
 
 def bench_median(s: SparkSession, d: str) -> DataFrame:
-    v = F.col("value")
-    return rounded(table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), evaluate.upper_median(v).alias("median"), F.min(v).alias("least")))
+    return rounded(evaluate.latency(table(s, d, "events"), "event_type", "value"))
 
 
 def format_km(s: SparkSession, d: str) -> DataFrame:
@@ -194,28 +192,58 @@ def pca_moments(s: SparkSession, d: str) -> DataFrame:
     return rounded(dims.groupBy((F.col("i") + 1).cast("long").alias("i")).agg(F.avg("x").alias("mean"), F.var_pop("x").alias("variance")))
 
 
+def standardising(rows: DataFrame, names: list[str]) -> tuple[list[float], list[float]]:
+    stats = {r.feature: r for r in fit.moments(rows, names).collect()}
+    return [stats[n].mean for n in names], [stats[n].sd for n in names]
+
+
 def rerank_models(s: SparkSession, d: str) -> DataFrame:
     """The reranker fitted by gradient descent, for each of five folds and for all."""
     rows = training_rows(s, d)
-    stats = {r.feature: r for r in fit.moments(rows, list(RERANK_FEATURES)).collect()}
-    mean, sd = ([getattr(stats[n], k) for n in RERANK_FEATURES] for k in ("mean", "sd"))
-    return fit.fit(rows, list(RERANK_FEATURES), mean, sd).select("fold", F.posexplode("w").alias("i", "w"), "b")
+    names = list(RERANK_FEATURES)
+    return rounded(fit.fit(rows, names, *standardising(rows, names)).select("fold", F.posexplode("w").alias("i", "w"), "b"))
+
+
+def confidence_rows(s: SparkSession, d: str) -> DataFrame:
+    """(qid, km, y, fold, the confidence's features) of the answers."""
+    rows, _, one = X.final_rows(s, d)
+    t = X.truth(s, d).select("qid", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    km = geo.haversine_km(F.col("lat2"), F.col("lon2"), F.col("lat"), F.col("lon"))
+    near = rows.where("place = 0").join(t, "qid").select("qid", km.alias("km"))
+    given = one.select("qid", *CONFIDENCE_FEATURES).join(near, "qid").withColumn("fold", (F.floor(F.col("qid") / 10) % 5).cast("int"))
+    return written(given.withColumn("y", (F.col("km") <= RECIPE.hit_km).cast("int")), "confidence_rows")
+
+
+def confidence_models(s: SparkSession, d: str) -> DataFrame:
+    """The confidence fitted by gradient descent, for each of five folds and for all."""
+    rows = confidence_rows(s, d)
+    names = list(CONFIDENCE_FEATURES)
+    return rounded(fit.fit(rows, names, *standardising(rows, names), **fit.CONFIDENCE_FIT).select("fold", F.posexplode("w").alias("i", "w"), "b"))
+
+
+def confidence_cv(s: SparkSession, d: str) -> DataFrame:
+    """What the confidence states of answers that its fit has not seen."""
+    rows = confidence_rows(s, d)
+    names = list(CONFIDENCE_FEATURES)
+    mean, sd = standardising(rows, names)
+    found = fit.with_probability(fit.out_of_fold(rows, fit.fit(rows, names, mean, sd, **fit.CONFIDENCE_FIT), names, mean, sd))
+    return rounded(found.select("qid", "y", "p"))
 
 
 def training_rows(s: SparkSession, d: str) -> DataFrame:
-    top, _ = X.best(s, d)
+    top = X.best(s, d)[0]
     t = X.truth(s, d).select("qid", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     km = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
     near = top.join(t, "qid").select("qid", "row", km.alias("km"))
     rows = rerank.features(top, RECIPE).join(near, ["qid", "row"])
-    return rows.withColumn("fold", (F.floor(F.col("qid") / 10) % 5).cast("int")).withColumn("y", (F.col("km") <= RECIPE.hit_km).cast("int"))
+    rows = rows.withColumn("fold", (F.floor(F.col("qid") / 10) % 5).cast("int")).withColumn("y", (F.col("km") <= RECIPE.hit_km).cast("int"))
+    return written(rows, "training_rows")
 
 
 def lambda_grid(s: SparkSession, d: str) -> DataFrame:
     rows = training_rows(s, d)
     names = list(RERANK_FEATURES)
-    stats = {r.feature: r for r in fit.moments(rows, names).collect()}
-    mean, sd = ([getattr(stats[n], k) for n in names] for k in ("mean", "sd"))
+    mean, sd = standardising(rows, names)
     scored = fit.out_of_fold(rows, fit.fit(rows, names, mean, sd), names, mean, sd)
     return rounded(fit.best_lambda(scored, [0.5, 1.0, 2.0], RECIPE.score_sd))
 
@@ -225,6 +253,73 @@ def whitened_rows(s: SparkSession, d: str) -> DataFrame:
     return rounded(index.whitened(rows, *index.whitening(rows)).select("row", F.col("cls_wh")[0].alias("first"), dot(F.col("cls_wh"), F.col("cls_wh")).alias("length")))
 
 
+def layers(s: SparkSession, d: str) -> DataFrame:
+    nations = table(s, d, "nation").select(F.concat(F.lit("region"), F.col("n_regionkey").cast("string")).alias("layer"), F.substring("n_name", 1, 1).alias("name"))
+    return nations.unionByName(settlements(s, d).select(F.lit("places").alias("layer"), "name"))
+
+
+def map_features(s: SparkSession, d: str) -> DataFrame:
+    """The nations' features in three layers, numbered within each, with boxes."""
+    rows = X.features_of_nations(s, d).drop("min_lon", "max_lon", "min_lat", "max_lat")
+    key = F.floor(F.col("feature_id") / 10)
+    rows = worldmap.boxes(rows, 0.0).withColumn("layer", F.concat(F.lit("l"), (key % 3).cast("string"))).withColumn("kind", F.lit(0))
+    return rows.withColumn("k", F.floor(key / 3).cast("long") * 2 + F.col("feature_id") % 10)
+
+
+def geometry_difference(s: SparkSession, d: str) -> DataFrame:
+    old = map_features(s, d)
+    key = F.floor(F.col("feature_id") / 10)
+    new = old.where((F.col("layer") != "l2") | (key != 2)).withColumn("name", F.when(key == 3, "X").otherwise(F.col("name")))
+    new = new.withColumn("max_lon", F.when(key == 7, F.col("max_lon") + 1).otherwise(F.col("max_lon")))
+    turned = F.transform("rings", lambda r: F.reverse(r))
+    new = new.withColumn("rings", F.when(key == 9, turned).otherwise(F.col("rings")))
+    extra = old.where(key == 0).withColumn("layer", F.lit("new"))
+    return worldmap.geometry_difference(old.unionByName(old.where(key == 1).withColumn("layer", F.lit("old"))), new.unionByName(extra))
+
+
+def run_drift(s: SparkSession, d: str) -> DataFrame:
+    a = X.query_vectors(s, d).withColumn("cell", (F.col("qid") % 7).cast("int"))
+    b = a.select("qid", F.transform("v", lambda x: F.round(x, 2)).alias("v"), F.when(F.col("qid") % 11 == 0, -1).otherwise(F.col("cell")).alias("cell"))
+    return rounded(index.drift(a, b))
+
+
+def ring_repeats(s: SparkSession, d: str) -> DataFrame:
+    """Rings whose points are repeated by a rule, and what is left of them."""
+    rows = X.features_of_nations(s, d).select("feature_id", F.posexplode("rings").alias("ring", "pts"))
+    twice = F.flatten(F.transform("pts", lambda p, i: F.when((i + F.col("feature_id")) % 2 == 0, F.array(p, p)).otherwise(F.array(p))))
+    kept = worldmap.without_repeats(F.concat(twice, F.slice("pts", 1, 1)))
+    total = F.aggregate(kept, F.lit(0.0), lambda a, p: a + p["lon"] + 2 * p["lat"])
+    return rounded(rows.select("feature_id", "ring", F.size(kept).alias("n"), total.alias("total")))
+
+
+def usable_rings(s: SparkSession, d: str) -> DataFrame:
+    """Outlines and holes that are cut short by a rule."""
+    cut = F.transform("rings", lambda r, i: F.when((F.col("feature_id") / 10 + i) % 4 < 1, F.slice(r, 1, 2)).otherwise(r))
+    return worldmap.usable_rings(X.features_of_nations(s, d).withColumn("rings", cut)).select("feature_id", F.size("rings").alias("rings"))
+
+
+def clean_names(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    first = F.when(k % 3 == 0, F.lit(None).cast("string")).when(k % 3 == 1, "   ").otherwise(F.concat(F.lit("  "), F.col("s_name"), F.lit(" ")))
+    second = F.when(k % 5 != 0, F.concat(F.lit(" alt"), k.cast("string")))
+    return table(s, d, "supplier").select("s_suppkey", worldmap.clean_name(first, second).alias("name"))
+
+
+def smoothed_speeds(s: SparkSession, d: str) -> DataFrame:
+    """Each user's values of an hour in order of time, smoothed."""
+    rows = table(s, d, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("hour")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v"))
+    values = F.transform("v", lambda x: x["value"])
+    return rounded(rows.groupBy("user_id").agg(F.sum(series.smoothed(values)).alias("total"), F.count("*").alias("hours")))
+
+
+def progress_texts(s: SparkSession, d: str) -> DataFrame:
+    done = F.octet_length("html").cast("long") * 90001
+    total, speed = done + F.col("page_id") * 1000003, (F.col("page_id") * 97711 % 40000000).cast("double")
+    return rounded(table(s, d, "pages").select(
+        "page_id", geo.progress_text(done, total).alias("text"), geo.speed_text(speed).alias("speed"), geo.fraction_done(done, total).alias("done"), geo.saturating_progress(F.col("page_id") / 100.0).alias("progress"),
+    ))
+
+
 def queries() -> dict:
     return {
         "locate_flagship": locate,
@@ -295,4 +390,22 @@ def queries() -> dict:
         "rerank_models": rerank_models,
         "lambda_grid": lambda_grid,
         "whitened_rows": whitened_rows,
+        "confidence_models": confidence_models,
+        "confidence_cv": confidence_cv,
+        "score_sd": lambda s, d: rounded(fit.score_sd(X.best(s, d)[0])),
+        "names_per_layer": lambda s, d: worldmap.names_per_layer(layers(s, d)),
+        "manifest_totals": lambda s, d: assets.totals(manifest(s, d).select("path", "bytes"), listing(s, d)),
+        "head_rows": lambda s, d: assets.head(table(s, d, "customer"), ["c_custkey"], 32).select("i", "c_custkey", "c_name"),
+        "geometry_difference": geometry_difference,
+        "place_cut": lambda s, d: settlements(s, d).where((F.col("rank") <= 8) & F.col("name").isNotNull()).select("name", "rank"),
+        "unit_xyz": on_points(lambda: geo.unit_xyz(F.col("lat"), F.col("lon"))[0].alias("x"), lambda: geo.unit_xyz(F.col("lat"), F.col("lon"))[1].alias("y"), lambda: geo.unit_xyz(F.col("lat"), F.col("lon"))[2].alias("z")),
+        "usable_rings": usable_rings,
+        "ring_repeats": ring_repeats,
+        "run_drift": run_drift,
+        "clean_names": clean_names,
+        "northing_limit": on_points(lambda: geo.northing_limit(F.col("point_id") % 12 / F.lit(1.0), F.lit(1080.0), F.lit(1920.0)).alias("limit")),
+        "image_numbers": lambda s, d: table(s, d, "pages").select("page_id", assets.image_number(F.concat(F.when(F.col("page_id") % 4 == 0, "val-").otherwise("val_"), F.lpad((F.col("page_id") % 9000).cast("string"), 4, "0"), F.lit(".jpg"))).alias("i")),
+        "inner_points": lambda s, d: rounded(X.features_of_nations(s, d).select("feature_id", worldmap.inner_point(F.col("rings")).alias("p")).select("feature_id", "p.lon", "p.lat")),
+        "progress_texts": progress_texts,
+        "smoothed_speeds": smoothed_speeds,
     }

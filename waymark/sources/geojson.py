@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.operators.worldmap import NO_RANK, clamp_rank, clean_name
+
 #: A collection, with geometries kept as text: their nesting differs by type.
 COLLECTION = "features array<struct<properties:string,geometry:string>>"
 
@@ -37,14 +39,15 @@ def parts(rows: DataFrame) -> DataFrame:
     return rows.select("properties", F.posexplode(rings_of(F.col("type"), F.col("geometry"))).alias("part", "rings"))
 
 
-def settlements(rows: DataFrame) -> DataFrame:
-    """The named points of a collection, with the properties that places have."""
+def settlements(rows: DataFrame, most: int = NO_RANK) -> DataFrame:
+    """The named points of a collection whose rank (0 to 14; without one 14) is at most
+    the given one, with the properties that places have."""
     names = {"NAME": "string", "NAMEASCII": "string", "SCALERANK": "int", "LONGITUDE": "double", "LATITUDE": "double", "FEATURECLA": "string", "ADM0CAP": "int", "MEGACITY": "int", "WORLDCITY": "int", "LABELRANK": "int", "POP_MAX": "long", "ADM0NAME": "string"}
     p = F.from_json("properties", ", ".join(f"{n} {t}" for n, t in names.items()))
     at = F.from_json("geometry", "coordinates array<double>")["coordinates"]
-    name = F.coalesce(*(F.nullif(F.trim(p[n]), F.lit("")) for n in ("NAME", "NAMEASCII")))
+    name = clean_name(p["NAME"], p["NAMEASCII"])
     out = rows.where("type = 'Point'").select(
         name.alias("name"), p["SCALERANK"].alias("scalerank"), F.coalesce(p["LONGITUDE"], at[0]).alias("lon"), F.coalesce(p["LATITUDE"], at[1]).alias("lat"), p["FEATURECLA"].alias("featurecla"), p["ADM0CAP"].alias("adm0cap"),
         p["MEGACITY"].alias("megacity"), p["WORLDCITY"].alias("worldcity"), p["LABELRANK"].alias("labelrank"), F.coalesce(p["POP_MAX"], F.lit(0)).alias("pop_max"), F.trim(F.coalesce(p["ADM0NAME"], F.lit(""))).alias("country"),
     )
-    return out.where("name is not null")
+    return out.where(F.col("name").isNotNull() & (clamp_rank(F.col("scalerank")) <= most))

@@ -15,15 +15,20 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from waymark.scratch import write_bytes
+
 #: Fixed values of the format: the magic number, microdegrees, kinds of layers, entries of a rank index.
 MAGIC, SCALE, RANKS = 0x4D57474E, 1_000_000, 16
 POLYGON, LINE, POINT = "polygon", "line", "point"
 KINDS = [POLYGON, LINE, POINT]
 #: The header's fields in order, four bytes each; fixed format.
 HEADER = (
-    "magic version layers features rings points names scale layer_at feature_at ring_at point_at name_at blob_at blob_bytes header_bytes "
-    "point_layers places place_at place_bytes rank_at rank_entries layer_bytes feature_bytes ring_bytes point_bytes file_bytes"
-).split()
+    "magic", "version", "layers", "features", "rings", "points",
+    "names", "scale", "layer_at", "feature_at", "ring_at", "point_at",
+    "name_at", "blob_at", "blob_bytes", "header_bytes", "point_layers", "places",
+    "place_at", "place_bytes", "rank_at", "rank_entries", "layer_bytes", "feature_bytes",
+    "ring_bytes", "point_bytes", "file_bytes",
+)
 HEADER_BYTES, LAYER, FEATURE, RING, VERTEX, PLACE = 128, struct.Struct("<4I"), struct.Struct("<3I4f"), struct.Struct("<2I"), struct.Struct("<2i"), struct.Struct("<I2i2I4B")
 #: A box is wider than its points by so many degrees.
 PAD = 2e-4
@@ -171,3 +176,14 @@ def map_table(spark: SparkSession, path: str, table: str = "features") -> DataFr
     register(spark)
     return spark.read.format("waymark_map").option("table", table).load(path)
 
+
+def write_map(features: DataFrame, places: DataFrame, path: str) -> int:
+    """Write the map of features (layer, kind, name, rings) and places (layer, name, lon,
+    lat, pop_max, country, rank, flags, label_rank) as one file, in order of layers and of
+    feature_id, and return its bytes. A map is a few megabytes, by the format's purpose."""
+    order = ["layer", "feature_id"] if "feature_id" in features.columns else ["layer"]
+    rows = [(r.layer, r.kind, r.name, [[(p.lon, p.lat) for p in ring] for ring in r.rings]) for r in features.orderBy(*order).collect()]
+    spots = [tuple(r) for r in places.select("layer", "name", "lon", "lat", "pop_max", "country", "rank", "flags", "label_rank").orderBy("layer").collect()]
+    data = map_bytes(rows, spots)
+    write_bytes(features.sparkSession, data, path)
+    return len(data)
