@@ -14,7 +14,7 @@ SHINGLE, SIMILAR = 5, 0.8
 _GOLDEN, _MIX_A, _MIX_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(64)], dtype=np.uint64)
 _cache: dict[str, int] = {}
-_CACHE_WORDS = 1 << 17
+_CACHE_WORDS = 1 << 15
 
 
 def words(text: str | None) -> list[str]:
