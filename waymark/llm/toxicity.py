@@ -217,32 +217,37 @@ def fold_of(doc_id: int) -> int:
     return crc32(b"fold %d" % doc_id) % FOLDS
 
 
-def _counter(weigh):  # noqa: ANN001, ANN202
-    """Adds up terms over rows: weigh(doc_id, toxic) says how much a row adds to each of some sums."""
+#: Terms that a task adds up before it hands its sums on.
+HELD_TERMS = 1 << 17
+
+
+def _counter(weigh, n: int):  # noqa: ANN001, ANN202
+    """Adds up terms over rows: weigh(doc_id, toxic) says how much a row adds to each of n sums."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], ["term", "sums"])
+            flat = pa.array(sums[: len(place)].ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(place) + 1) * n, pa.int32()), flat)
+            return pa.RecordBatch.from_arrays([pa.array(list(place), pa.string()), lists], ["term", "sums"])
 
-        sums: dict[str, np.ndarray] = {}
+        place: dict[str, int] = {}
+        sums = np.zeros((1 << 14, n))
         for batch in batches:
             for doc_id, text, toxic in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                own = np.array(weigh(doc_id, toxic), dtype=float)
-                for term in {t for w in distinct_words(text) for t in terms_of(w)}:
-                    if term in sums:
-                        sums[term] += own
-                    else:
-                        sums[term] = own.copy()
-                if len(sums) > 200_000:
+                at = [place.setdefault(t, len(place)) for t in {t for w in distinct_words(text) for t in terms_of(w)}]
+                while len(place) > len(sums):
+                    sums = np.concatenate([sums, np.zeros_like(sums)])
+                sums[at] += weigh(doc_id, toxic)
+                if len(place) > HELD_TERMS:
                     yield out()
-                    sums = {}
+                    place, sums = {}, np.zeros((1 << 14, n))
         yield out()
 
     return count
 
 
 def _summed(sample: DataFrame, weigh, n: int) -> DataFrame:  # noqa: ANN001
-    found = sample.mapInArrow(_counter(weigh), "term string, sums array<double>")
+    found = sample.mapInArrow(_counter(weigh, n), "term string, sums array<double>")
     return found.groupBy("term").agg(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(n)))
 
 
@@ -323,7 +328,7 @@ def toxicity_score(text: str | None, model: ToxicityModel, cache: dict[str, tupl
     if model.bias is None:
         return model.base
     cache = {} if cache is None else cache
-    if len(cache) > 1 << 17:
+    if len(cache) > 1 << 15:
         cache.clear()
     present: set[str] = set()
     for word in distinct_words(text):
