@@ -69,3 +69,19 @@ def test_query_is_the_library(spark):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     want = sorted((i, len(x.encode()), n := len(library.encode(x, add_special_tokens=False).ids), n > 2048) for i, x in texts.items())
     assert sorted(map(tuple, tokencount.op8_token_counts(spark, "/root/testdata/sf0.01").collect())) == want
+
+
+def test_neighbours_are_what_merging_gives():
+    rng = random.Random(4)
+    words = tokencount.TokenCounter(PATH).words
+    tokens = [t for t in words.token_at.values() if words.reachable(t)][::7]
+    short = [t for t in words.token_at.values() if len(t.removesuffix(words.end)) <= 3 and set(t.removesuffix(words.end)) <= set("aehinost") and words.reachable(t)]
+    found = 0
+    for k in range(30_000):
+        left, right = (rng.choice(tokens if k % 2 else short) for _ in range(2))
+        if left.endswith(words.end):
+            continue
+        want = words.merged(words.symbols_of(left) + words.symbols_of(right)) == [left, right]
+        assert words.neighbours(left, right) == want, (left, right)
+        found += want
+    assert 1000 < found < 20_000

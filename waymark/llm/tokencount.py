@@ -50,8 +50,8 @@ CHUNK, PIECE = 64, 1 << 20
 #: Bytes of a chunk of a word, bytes before it that its state is guessed from, and
 #: bytes of the chunks that run side by side.
 WORD_CHUNK, LOOK_BACK, SIDE_BY_SIDE = 64, 32, 1 << 16
-#: Words and bytes of them remembered, and states compiled, before a worker starts anew.
-KNOWN_WORDS, KNOWN_BYTES, MAX_STATES = 1 << 18, 1 << 24, 1 << 16
+#: Words and bytes of them remembered, states compiled, and pairs of tokens looked at, before a worker starts anew.
+KNOWN_WORDS, KNOWN_BYTES, MAX_STATES, MAX_PAIRS = 1 << 19, 1 << 24, 1 << 18, 1 << 20
 #: Columns by which the transition table grows; it has twice the rows when it grows.
 FIRST_STATES, MORE_SYMBOLS = 1 << 14, 32
 
@@ -193,6 +193,10 @@ class WordTransducer:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str) -> None:
         byte_of = {c: b for b, c in _byte_characters().items()}
         self.ranks = {pair: i for i, pair in enumerate(merges)}
+        #: the merge that makes each token, and its two parts
+        self.made = {a + b: (i, a, b) for i, (a, b) in enumerate(merges)}
+        if len(self.made) < len(merges):
+            raise ValueError("tokens that several merges make are not compiled here")
         self.end = end
         self.child: dict[tuple[int, int], int] = {}
         self.token_at: dict[int, str] = {}
@@ -228,7 +232,6 @@ class WordTransducer:
         self.to = np.full((0, 0), -1, dtype=np.int32)
         self.grows = np.zeros((0, 0), dtype=np.int8)
         self.widen(FIRST_STATES, MORE_SYMBOLS)
-        self.pairs.clear()
 
     def widen(self, states: int, symbols: int) -> None:
         by = ((0, states), (0, symbols))
@@ -257,11 +260,31 @@ class WordTransducer:
         return self.alone[token]
 
     def neighbours(self, left: str, right: str) -> bool:
-        """Whether the two are the tokens of their joint text."""
+        """Whether the two are the tokens of their joint text: no merge may take place
+        across their border. Back in time, the border lies between the last part of
+        the left token and the first of the right one; a part lives from the merge
+        that made it to the one that used it up. A merge of the same rank goes first where
+        it is further left."""
         key = (left, right)
-        if key not in self.pairs:
-            self.pairs[key] = self.merged(self.symbols_of(left) + self.symbols_of(right)) == [left, right]
-        return self.pairs[key]
+        known = self.pairs.get(key)
+        if known is None:
+            known = self.pairs[key] = self._kept_apart(left, right)
+        return known
+
+    def _kept_apart(self, left: str, right: str) -> bool:
+        never = len(self.ranks)
+        used_left = used_right = never
+        while True:
+            rank = self.ranks.get((left, right), never)
+            if rank < used_left and rank <= used_right and rank < never:
+                return False
+            made_left, made_right = self.made.get(left), self.made.get(right)
+            if made_left is None and made_right is None:
+                return True
+            if made_right is None or made_left is not None and made_left[0] > made_right[0]:
+                used_left, left = made_left[0], made_left[2]
+            else:
+                used_right, right = made_right[0], made_right[1]
 
     def compile(self, state: int, symbol: int) -> None:
         """Add one transition. A state has, for every place behind which a token
@@ -335,6 +358,8 @@ class WordTransducer:
         for at in range(0, len(chunks), step):
             if len(self.states) > MAX_STATES:
                 self.clear()
+            if len(self.pairs) > MAX_PAIRS:
+                self.pairs.clear()
             own = chunks[at : at + step]
             word = np.array([i for i, _ in own])
             spans = [words[i][k : k + WORD_CHUNK] for i, k in own]
