@@ -14,6 +14,7 @@ import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -127,7 +128,7 @@ def build_tokenizer(model: PieceModel):  # noqa: ANN201
         steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
     steps += [normalizers.Prepend(MARK)] * model.dummy_prefix + [normalizers.Replace(" ", MARK)]
     tokenizer.normalizer = normalizers.Sequence(steps)
-    parts = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+    parts = [decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " ")]
     tokenizer.decoder = decoders.Sequence(parts + [decoders.Strip(" ", 1, 0)] * model.dummy_prefix)
     return tokenizer
 
@@ -199,7 +200,7 @@ def encode_pieces(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text
                 texts = all_texts[first:end]
                 found = backend(model_path).encode([x or "" for x in texts])
                 n = np.array([len(x[0]) for x in found], dtype=np.int64)
-                ids = np.fromiter((i for x in found for i in x[0]), dtype=np.int32, count=int(n.sum()))
+                ids = np.fromiter(chain.from_iterable(x[0] for x in found), dtype=np.int32, count=int(n.sum()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         whole.column(0).slice(first, end - first),
