@@ -110,3 +110,7 @@ def test_ties_go_to_the_first_language(spark):
     frame = spark.createDataFrame([(1, "same text", "b"), (2, "same text", "a")], "doc_id long, text string, lang string")
     model = langid.fit_language_model(frame)
     assert {(r.lang_pred, round(r.score, 9)) for r in langid.predict_language(frame, model).collect()} == {("a", 0.5)}
+
+
+def test_query_is_its_sql(spark, sql_rows):
+    sql_rows(langid.op9_language_id, langid.ORACLE)

@@ -1,10 +1,12 @@
 import hashlib
 import io
+import random
 import zipfile
 
 import pyarrow as pa
 import pytest
 
+from waymark.llm import common
 from waymark.llm import warczip as W
 
 
@@ -69,3 +71,17 @@ def test_damage_is_reported():
     payload = b"x"
     with pytest.raises(ValueError):
         W.parse_record(W.record(1, "u", payload, hashlib.sha1(b"y").hexdigest(), None))
+
+
+def test_payloads_beyond_the_read_ahead(spark, tmp_path):
+    rng = random.Random(5)
+    long = "".join(chr(rng.randrange(32, 1000)) for _ in range(1_500_000))
+    rows = [(1, "u", long), (2, "v", long), (3, None, "é" * 600), (4, "w", None), (5, "w", "")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r for r in W.read_archives(common.written(W.write_archives(frame, f"file://{tmp_path}/a"), "archives")).collect()}
+    assert found[2].payload.decode() == long and found[1].record_type == "revisit" and found[1].refers_to == 2 and found[1].payload_bytes == len(long.encode())
+    assert found[3].payload.decode() == "é" * 600 and found[4].payload_bytes == found[5].payload_bytes == 0
+
+
+def test_query_is_its_sql(spark, sql_rows):
+    sql_rows(W.op7_warc, W.ORACLE)

@@ -194,4 +194,34 @@ def predict_language(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_i
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_language_model(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
-    return predict_language(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict_language(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", F.round("score", 6).alias("score"))
+
+
+#: The same from the definitions; CRC-32 and the hash of n-grams are written out.
+ORACLE = r"""
+WITH tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))
+), doc AS (
+  SELECT row_number() OVER () AS r, doc_id, text, lang,
+    coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 4 = 2, false) AS held_out
+  FROM documents, tab
+), letters AS (
+  SELECT r, p, CASE WHEN regexp_matches(x, '^\p{L}$') THEN unicode(x) ELSE 32 END::UHUGEINT AS c
+  FROM (SELECT r, unnest(regexp_extract_all(lower(text), '(?s).')) AS x, unnest(generate_series(1, len(regexp_extract_all(lower(text), '(?s).')))) AS p FROM doc WHERE regexp_matches(text, '\p{L}'))
+), one AS (SELECT r, p, c, (c + 1) * 11400714819323198485::UHUGEINT % 18446744073709551616::UHUGEINT AS h FROM letters),
+two AS (SELECT r, p, (h + lead(c) OVER w + 1) % 18446744073709551616::UHUGEINT * 14029467366897019727::UHUGEINT % 18446744073709551616::UHUGEINT AS h, lead(c, 2) OVER w AS c FROM one WINDOW w AS (PARTITION BY r ORDER BY p)),
+three AS (SELECT r, (h + c + 1) % 18446744073709551616::UHUGEINT * 1609587929392839161::UHUGEINT % 18446744073709551616::UHUGEINT AS h FROM two),
+cell AS (
+  SELECT r, (h // 1125899906842624::UHUGEINT)::BIGINT AS b, count(*) AS n FROM (SELECT r, h FROM one UNION ALL SELECT r, h FROM two UNION ALL SELECT r, h FROM three) WHERE h IS NOT NULL GROUP BY ALL
+), train AS (SELECT r, lang FROM doc WHERE text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL AND NOT held_out),
+prior AS (SELECT lang, ln(count(*) / sum(count(*)) OVER ()) AS prior FROM train GROUP BY lang),
+counted AS (SELECT lang, b, sum(n) AS n FROM cell JOIN train USING (r) GROUP BY ALL),
+total AS (SELECT lang, prior, coalesce(sum(n), 0) + 0.5::DOUBLE * 16384 AS total FROM prior LEFT JOIN counted USING (lang) GROUP BY ALL),
+scored AS (
+  SELECT r, t.lang, any_value(prior) + sum(cell.n * ln((coalesce(counted.n, 0) + 0.5::DOUBLE) / total)) AS s
+  FROM cell CROSS JOIN total t LEFT JOIN counted ON counted.lang = t.lang AND counted.b = cell.b GROUP BY ALL
+), best AS (SELECT r, arg_min(lang, (-s, lang)) AS lang, max(s) AS top FROM scored GROUP BY r),
+sure AS (SELECT r, any_value(best.lang) AS lang, 1 / sum(exp(s - top)) AS score FROM scored JOIN best USING (r) GROUP BY r)
+SELECT doc_id, held_out, coalesce(sure.lang, 'und') AS lang_pred, round(coalesce(score, 0), 6) AS score FROM doc LEFT JOIN sure USING (r)
+"""

@@ -295,7 +295,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", into: str = "tex
     (kinds without any are left out). Columns of those names are replaced; all
     other columns and rows stay. A null text stays null. Ids play no part, so
     repeated and null ones are as they are. Values that fail their check stay,
-    and so do texts without a value, to the byte. With plan_only, phones whose area
+    and so do texts without a value, empty ones too, to the byte; an empty table stays
+    empty, and texts of any length are taken whole. With plan_only, phones whose area
     or exchange is below 200 stay, too.
     """
     key_column = F.lit(key)

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quotes": quotes.ORACLE, "op2_minhash": minhash.ORACLE, "op3_embeddings": vectors.ORACLE, "op7_warc": warczip.ORACLE, "op10_decontamination": decontaminate.ORACLE}
+    return {"op1_quotes": quotes.ORACLE, "op2_minhash": minhash.ORACLE, "op3_embeddings": vectors.ORACLE, "op7_warc": warczip.ORACLE, "op9_language_id": langid.ORACLE, "op10_decontamination": decontaminate.ORACLE}
