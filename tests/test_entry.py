@@ -49,3 +49,17 @@ def test_plans(spark):
     assert "WindowGroupLimit" in plan
     plan = entry.queries()["manifest_todo_anti"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" in plan
+
+
+def test_a_missing_library_is_no_missing_part(tmp_path):
+    for name in ("waymark", "__spark_entry__.py"):
+        source, target = REPO / name, tmp_path / name
+        shutil.copytree(source, target, ignore=shutil.ignore_patterns("__pycache__")) if source.is_dir() else shutil.copy(source, target)
+    llm = tmp_path / "waymark" / "llm"
+    if llm.is_dir():
+        (llm / "queries.py").write_text("import a_library_that_is_not_there\n")
+        done = subprocess.run([sys.executable, "-B", "-c", LIST], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+        assert done.returncode != 0 and "a_library_that_is_not_there" in done.stderr
+        shutil.rmtree(llm)
+        (llm / "__pycache__").mkdir(parents=True)  # what a deletion may leave behind
+    assert listed(tmp_path) == 86
