@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.scratch import scratch_path, shared_dir, written
 
-__all__ = ["bound_batches", "components", "held_out", "id_filter", "scratch_path", "shared_dir", "table", "written"]
+__all__ = ["bound_batches", "components", "held_out", "id_filter", "scratch_path", "shared_dir", "table", "tidied", "written"]
 
 #: Rows and bytes of a batch that goes to Python, at most: texts may be long.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
@@ -29,6 +34,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Give memory that is no longer used back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidied(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """work on a task's batches, after which the worker gives memory back: workers
+    that wait for their next task stay as small as they can."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True for the rows kept from training: crc32 of the id as text, mod 4, is
     2. A null id is not held out (and is no training row either)."""
@@ -53,10 +82,11 @@ def id_filter(ids: DataFrame, column: str) -> Column:
         table[row.word] = row.bits
     shared = ids.sparkSession.sparkContext.broadcast(table)
 
-    @F.pandas_udf("boolean")
-    def may_be_in(a: pd.Series, b: pd.Series) -> pd.Series:
-        hit = [(shared.value[x.to_numpy(np.int64) >> 5] >> (x.to_numpy(np.int64) & 31).astype(np.uint32)) & 1 for x in (a, b)]
-        return pd.Series((hit[0] & hit[1]).astype(bool))
+    @F.arrow_udf("boolean")
+    def may_be_in(a: pa.Array, b: pa.Array) -> pa.Array:
+        at = [x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b)]
+        hit = [(shared.value[x >> 5] >> (x & 31).astype(np.uint32)) & 1 for x in at]
+        return pa.array((hit[0] & hit[1]).astype(bool))
 
     return may_be_in(*places)
 

@@ -21,13 +21,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import shingles
-from waymark.llm.common import table, written
+from waymark.llm.common import table, tidied, written
 
 #: BM25's constants.
 K1, B = 1.2, 0.75
@@ -329,7 +328,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                 ids = batch.column(0).take(pa.array([i for i, _ in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([x[0] for _, x in found], pa.int64()), *(pa.array([x[k] for _, x in found], pa.float64()) for k in range(1, 5))], names)
 
-        part = rows.mapInArrow(find, f"doc_id {kind}, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
+        part = rows.mapInArrow(tidied(find), f"doc_id {kind}, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -338,9 +337,14 @@ def holds_item(spark: SparkSession, index: Index, text: Column) -> Column:
     """A predicate that holds for the texts that contain an item of the index, short ones too."""
     shared = spark.sparkContext.broadcast(index)
 
-    @F.pandas_udf("boolean")
-    def holds(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.holds(shingles.words(x)) for x in texts], dtype=bool)
+    @tidied
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([shared.value.holds(shingles.words(x)) for x in texts.to_pylist()], pa.bool_())
+
+    @F.arrow_udf("boolean")
+    def holds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return found(batches)
 
     return holds(text)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import held_out, table, written
+from waymark.llm.common import held_out, table, tidied, written
 
 #: N-grams of 1 to 3 characters go to so many buckets.
 BUCKETS, ORDERS = 1 << 14, 3
@@ -91,7 +91,7 @@ def fit_language_model(docs: DataFrame, text: str = "text", lang: str = "lang",
     """Fit on every row with a text and a language. No such row: a model without
     languages, which calls every text undetermined."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    cells = written(rows.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "cells")
+    cells = written(rows.mapInArrow(tidied(_count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "cells")
     langs = sorted(r[0] for r in cells.where("bucket = -1").select("lang").collect())
     return _assemble(langs, cells.toArrow() if langs else None, smoothing)
 
@@ -187,7 +187,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_i
                 lang = np.where(higher, np.array(shared.value.langs, dtype=object)[place], np.array(batch.column(2).to_pylist(), dtype=object))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(lang, pa.string()), pa.array(np.maximum(top, before)), pa.array(np.logaddexp(mass, so_far))], [*own, "lang_pred", "top", "mass"])
 
-        rows = rows.mapInArrow(score, f"doc_id {kind}, {'text string, ' * (len(own) == 2)}lang_pred string, top double, mass double")
+        rows = rows.mapInArrow(tidied(score), f"doc_id {kind}, {'text string, ' * (len(own) == 2)}lang_pred string, top double, mass double")
     return rows.select("doc_id", "lang_pred", F.when(F.col("top") > float("-inf"), F.exp(F.col("top") - F.col("mass"))).otherwise(0.0).alias("score"))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from waymark.llm import shingles
-from waymark.llm.common import components, id_filter, table, written
+from waymark.llm.common import components, id_filter, table, tidied, written
 
 #: 40 bands of 5 registers: a pair of similarity 0.8 is missed with probability 1.3e-7.
 BANDS, BAND_ROWS = 40, 5
@@ -99,11 +99,11 @@ def verified_pairs(pairs: DataFrame, signed: DataFrame, bags: DataFrame, thresho
     """The (a, b, similarity) of pairs (a, b) that reach the threshold."""
     x = signed.select(F.col("doc_id").alias("a"), F.col("signature").alias("x"))
     y = signed.select(F.col("doc_id").alias("b"), F.col("signature").alias("y"))
-    likely = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_estimates, "a long, b long, estimate double")
+    likely = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidied(_estimates), "a long, b long, estimate double")
     likely = written(likely.where(F.col("estimate") >= threshold - ESTIMATE_MARGIN).select("a", "b").distinct(), "likely")
     full = likely.join(bags.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha"), F.col("weights").alias("wa")), "a")
     full = full.join(bags.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb"), F.col("weights").alias("wb")), "b").select("a", "b", "ha", "wa", "hb", "wb")
-    return full.mapInArrow(_verifier(threshold), "a long, b long, similarity double")
+    return full.mapInArrow(tidied(_verifier(threshold)), "a long, b long, similarity double")
 
 
 def _block_links(threshold: float):  # noqa: ANN202
@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     gives an empty result.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(rows.mapInArrow(_sign, "doc_id long, same binary, signature binary, bands array<long>"), "signed")
+    signed = written(rows.mapInArrow(tidied(_sign), "doc_id long, same binary, signature binary, bands array<long>"), "signed")
     named = signed.where("doc_id is not null and same is not null")
     first = written(named.groupBy("same").agg(F.min("doc_id").alias("rep")), "first")
     copies = named.select("same", "doc_id").join(first, "same").select("doc_id", "rep").where("doc_id <> rep").distinct()
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signatures = named.select("doc_id", "signature").where(likely_needed).join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     signatures = written(signatures, "signatures")
     texts = rows.where("doc_id is not null").where(likely_needed).join(needed, "doc_id", "left_semi")
-    bags = written(texts.mapInArrow(_bags, "doc_id long, hashes binary, weights binary"), "bags")
+    bags = written(texts.mapInArrow(tidied(_bags), "doc_id long, hashes binary, weights binary"), "bags")
     links = written(verified_pairs(pairs, signatures, bags, threshold), "links").select("a", "b")
     done = components(links)
     known = done.select(F.col("id").alias("doc_id"), "component_id")

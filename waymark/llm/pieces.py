@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import table
+from waymark.llm.common import table, tidied
 
 MARK = "▁"
 #: Piece types of the model file.
@@ -193,7 +193,14 @@ def encode_pieces(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_tokens long, token_ids array<int>, decoded_same boolean, parity boolean"
 
+    @tidied
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from encoded(batches)
+        finally:  # a worker that waits for its next task holds no model
+            _loaded.pop(model_path, None)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             all_texts = whole.column(1).to_pylist()
             for first, end in _parts(all_texts):

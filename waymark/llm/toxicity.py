@@ -17,13 +17,12 @@ from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import shingles
-from waymark.llm.common import held_out, table, written
+from waymark.llm.common import held_out, table, tidied, written
 
 #: At most so many labelled rows are fitted on, those of the smallest id hashes.
 SAMPLE_ROWS = 20_000
@@ -247,7 +246,7 @@ def _counter(weigh, n: int):  # noqa: ANN001, ANN202
 
 
 def _summed(sample: DataFrame, weigh, n: int) -> DataFrame:  # noqa: ANN001
-    found = sample.mapInArrow(_counter(weigh, n), "term string, sums array<double>")
+    found = sample.mapInArrow(tidied(_counter(weigh, n)), "term string, sums array<double>")
     return found.groupBy("term").agg(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(n)))
 
 
@@ -259,7 +258,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.least(F.greatest("toxic", F.lit(0)), F.lit(1)).alias("toxic"))
-    rows = rows.mapInArrow(_keys, "doc_id long, text string, toxic int, k0 long, k1 long, k2 long")
+    rows = rows.mapInArrow(tidied(_keys), "doc_id long, text string, toxic int, k0 long, k1 long, k2 long")
     sample = written(rows, "sample")
     keys = sample.drop("text")
     for k in ("k0", "k1", "k2"):  # of copies, one
@@ -293,7 +292,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
             own = [votes(x, lexicons[fold_of(i)]).tobytes() for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["doc_id", "votes"])
 
-    found = sample.mapInArrow(vote, "doc_id long, votes binary").toArrow().sort_by("doc_id")
+    found = sample.mapInArrow(tidied(vote), "doc_id long, votes binary").toArrow().sort_by("doc_id")
     ids = found.column("doc_id").to_pylist()
     matrix = np.stack([np.frombuffer(x, dtype=np.int8) for x in found.column("votes").to_pylist()]).astype(int)
     theta, strength, posterior = fit_label_model(matrix, prior)
@@ -313,7 +312,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
             own = [sorted({index[t] for w in distinct_words(x) for t in terms_of(w) if t in index}) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], ["doc_id", "terms"])
 
-    lists = sample.mapInArrow(features, "doc_id long, terms array<int>").toArrow().sort_by("doc_id").column("terms").combine_chunks()
+    lists = sample.mapInArrow(tidied(features), "doc_id long, terms array<int>").toArrow().sort_by("doc_id").column("terms").combine_chunks()
     values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
     given = [values[a:b] for a, b in zip(offsets, offsets[1:])]
     # a text without terms is like the rows that no voter calls toxic, not like the mean row
@@ -353,18 +352,22 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(score, f"doc_id {kind}, score double, predicted int")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(score), f"doc_id {kind}, score double, predicted int")
 
 
 def is_toxic(spark: SparkSession, model: ToxicityModel, text: Column) -> Column:
     """A predicate that holds for the texts that score_toxicity() predicts 1 for."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def toxic(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @tidied
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache: dict[str, tuple] = {}
-        for own in texts:
-            yield pd.Series([toxicity_score(x, shared.value, cache) >= THRESHOLD for x in own], dtype=bool)
+        for texts in batches:
+            yield pa.array([toxicity_score(x, shared.value, cache) >= THRESHOLD for x in texts.to_pylist()], pa.bool_())
+
+    @F.arrow_udf("boolean")
+    def toxic(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return found(batches)
 
     return toxic(text)
 
