@@ -4,7 +4,9 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from waymark.api import Engine, write_results
+from waymark.operators.index import PlaceIndex, PlainPlaces, write_index
 from waymark.plans import fixture as X
+from waymark.sources.flatindex import FlatIndex, write_flat_index
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,6 +35,25 @@ def test_gate_without_places(spark):
     assert empty and all(r.lat is None and r.confidence == 0.0 and r.n_candidates == 0 and r.gate_cells == 1 and r.country is None for r in empty)
 
 
+def test_load_each_kind_of_index(spark, tmp_path):
+    (tmp_path / "r.json").write_text(json.dumps({"top_k": 7, "e7_w": [0.1] * 16, "e7_b": 0.0, "e7_feat_mu": [0.0] * 16, "e7_feat_sd": [1.0] * 16}))
+    places = X.places(spark, SF)
+    write_index(places, f"{tmp_path}/folders", cells_of_bucket=2)
+    at = {r["at"]: r.row for r in write_flat_index(places, f"{tmp_path}/flat", X.SPACES, X.N_CELLS).collect()}
+    places.write.parquet(f"{tmp_path}/plain")
+    found = {}
+    for kind, known in (("folders", PlaceIndex), ("flat", FlatIndex), ("plain", PlainPlaces)):
+        engine = Engine.load(spark, f"{tmp_path}/r.json", f"{tmp_path}/{kind}")
+        assert isinstance(engine.index, known)
+        rows = engine.locate(asked(spark)).collect()
+        name = (lambda row: at[row]) if kind == "flat" else (lambda row: row)
+        found[kind] = {r.qid: (name(r.row), [name(x) for x in r.top_rows], r.n_candidates, r.gate_cells) for r in rows}
+    assert found["folders"] == found["plain"]
+    # the flat form holds scales and hubness as single floats, so scores differ in the last digits
+    same = [q for q in found["plain"] if found["flat"][q] == found["plain"][q]]
+    assert len(same) > 0.9 * len(found["plain"])
+
+
 def test_load(spark, tmp_path):
     X.places(spark, SF).write.parquet(f"{tmp_path}/index")
     (tmp_path / "r.json").write_text(json.dumps({"top_k": 7, "e7_w": [0.1] * 16, "e7_b": 0.0, "e7_feat_mu": [0.0] * 16, "e7_feat_sd": [1.0] * 16}))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from waymark.operators import fit, gate, index, rerank, search
 from waymark.plans import fixture as X
 from waymark.recipe import Recipe, read_recipe
+from waymark.scratch import written
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,14 +82,99 @@ def test_whitened_rows_have_unit_covariance(spark):
     assert np.isclose(np.dot(out, out), 1.0)
 
 
-def test_index_on_disk_prunes_folders(spark, tmp_path):
-    rows = spark.range(1000).select(F.col("id").alias("row"), (F.col("id") % 256).cast("int").alias("cell"))
-    index.write_index(rows, f"{tmp_path}/index")
-    back = spark.read.parquet(f"{tmp_path}/index")
-    cells = spark.createDataFrame([(1, 3, 0.5), (1, 200, 0.5)], "qid int, cell int, p double")
-    got = index.read_cells(back, cells.where("p > 0.1"))  # as a gate filters
-    assert sorted({r.cell for r in got.collect()}) == [3, 200]
-    assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString()
+def wide_index(spark, path, cells=256, rows=8192, **options):
+    """An index of many cells: one space of four numbers, some cells much larger than others."""
+    rng = np.random.default_rng(0)
+    found = [(i, int(min(rng.zipf(1.3) - 1, cells - 1)) if i % 4 else i // 4 % cells, float(i % 90), float(i % 180), [0.1 * (i % 7)], [int(x) for x in rng.integers(-127, 128, 4)], 0.01) for i in range(rows)]
+    index.write_index(spark.createDataFrame(found, "row long, cell int, lat double, lon double, csls array<double>, cls array<tinyint>, cls_scale double"), path, **options)
+    return index.PlaceIndex.open(spark, path), found
+
+
+def asked_of(spark, n=5):
+    rng = np.random.default_rng(1)
+    queries = spark.createDataFrame([(q, rng.normal(size=4).tolist()) for q in range(n)], "qid long, cls array<double>")
+    gated = spark.createDataFrame([(q, c, 0.5 / (1 + j)) for q in range(n) for j, c in enumerate((3, 200 + q, 0))], "qid long, cell int, p double")
+    return queries, gated
+
+
+WIDE = Recipe(blend={"cls": 1.0}, csls_spaces=("cls",), top_k=9)
+
+
+def files_read(spark, df):
+    """Files of each scan of a plan, after it has run."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df._jdf.queryExecution().executedPlan()
+        df.collect()
+        leaves = plan.collectLeaves()
+        return {leaves.apply(i).toString()[:400]: leaves.apply(i).metrics().apply("numFiles").value() for i in range(leaves.size()) if leaves.apply(i).metrics().contains("numFiles")}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_a_search_reads_the_folders_of_its_gate(spark, tmp_path):
+    found, rows = wide_index(spark, f"{tmp_path}/index", cells_of_bucket=4, rows_of_file=256)
+    queries, gated = asked_of(spark)
+    top = written(search.best(queries, gated, found, WIDE, True), "top")
+    near = found.in_cells(gated)
+    assert {r.cell for r in near.select("cell").distinct().collect()} == {0, 3, *range(200, 205)}
+    for frame in (near, search.best(queries, gated, found, WIDE, True), search.best(queries, gated, found, WIDE, False), found.winners(top, True), found.winners(top, False)):
+        assert "dynamicpruning" in frame._jdf.queryExecution().executedPlan().toString()
+    # no place is shuffled before it is scored: the only exchange deals the best rows of each query
+    plan = search.best(queries, gated, found, WIDE, True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(qid") == 1 and "hashpartitioning(cell_bucket" not in plan and "FlatMapCoGroupsInArrow" not in plan
+    narrow = gated.where("cell = 204")
+    every = len(list((tmp_path / "index/places").glob("*/*.parquet")))
+    read = [n for scan, n in files_read(spark, found.in_cells(narrow)).items() if "cell_bucket" in scan and "csls" in scan]
+    assert every >= 64 and len(read) == 1 and read[0] * 16 <= every
+
+
+def test_both_ways_find_what_expressions_do(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 100)
+    monkeypatch.setattr(search, "SCAN_QUERIES", 2)
+    found, rows = wide_index(spark, f"{tmp_path}/index")
+    queries, gated = asked_of(spark)
+    want = {(r.qid, r.row, r["rank"]): r.s for r in search.top_k(search.scored(queries, gated, found.places, WIDE), 9).collect()}
+    for few in (True, False, None):
+        got = {(r.qid, r.row, r["rank"]): r.s for r in search.best(queries, gated, found, WIDE, few).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    plain = {(r.qid, r.row, r["rank"]) for r in search.best(queries, gated, index.PlainPlaces(found.places.drop("cell_bucket")), WIDE).collect()}
+    assert plain == want.keys()
+    top, counts = search.found(queries, gated, found, WIDE)
+    assert {(r.qid, r.row) for r in top.collect()} == {k[:2] for k in want}
+    size = {c: sum(r[1] == c for r in rows) for c in range(256)}
+    assert {r.qid: (r.n_candidates, r.gate_cells) for r in counts.collect()} == {q: (size[3] + size[200 + q] + size[0], 3) for q in range(5)}
+
+
+def test_ties_among_the_largest():
+    s = np.array([[1.0, 2.0, 2.0, 2.0, 0.0], [0.0, 0.0, 0.0, 0.0, 0.0]])
+    at, place = search._largest(s, np.array([9, 7, 5, 6, 1]), 2)
+    assert at.tolist() == [0, 0, 1, 1] and place.tolist() == [2, 3, 4, 2]
+    assert [x.tolist() for x in search._largest(s[:, :1], np.array([4]), 3)] == [[0, 1], [0, 0]]
+
+
+def test_an_index_keeps_all_rows_in_order(spark, tmp_path):
+    found, rows = wide_index(spark, f"{tmp_path}/index", rows_of_file=500)
+    assert sorted((r.row, r.cell) for r in found.places.collect()) == [r[:2] for r in rows]
+    assert {r.cell: r.n for r in found.sizes().collect()} == {c: n for c in range(256) if (n := sum(r[1] == c for r in rows))}
+    for file in (tmp_path / "index/places").glob("*/*.parquet"):
+        own = [(r.cell, r.row) for r in spark.read.parquet(str(file)).collect()]
+        assert own == sorted(own) and len(own) <= 2000
+    hot = [f for f in (tmp_path / "index/places/cell_bucket=0").glob("*.parquet")]
+    assert len(hot) > 3  # the hot cell is several files
+    index.write_index(found.places.drop("cell_bucket").limit(0), f"{tmp_path}/none")
+    assert index.PlaceIndex.open(spark, f"{tmp_path}/none").cells.count() == 0
+
+
+def test_a_queue_of_queries_without_places(spark, tmp_path):
+    found, _ = wide_index(spark, f"{tmp_path}/index")
+    queries, gated = asked_of(spark)
+    nowhere = gated.withColumn("cell", F.lit(9999))
+    for few in (True, False):
+        assert search.best(queries, nowhere, found, WIDE, few).count() == 0
+        assert search.best(queries, gated.limit(0), found, WIDE, few).count() == 0
+    top, counts = search.found(queries, nowhere, found, WIDE)
+    assert top.count() == 0 and {r.n_candidates for r in counts.collect()} == {0}
 
 
 def test_quantise_half_to_even_and_floor(spark):
@@ -124,7 +210,8 @@ def test_the_search_runs_once(spark):
 
     queries.locate(spark, SF)
     plan = queries.locate(spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Scan parquet") <= 12 and "FlatMapCoGroupsInArrow" not in plan and "MapInArrow" not in plan
+    assert plan.count("Scan parquet") <= 12 and "dynamicpruning" in search.best(X.queries(spark, SF), X.gated(spark, SF), X.place_index(spark, SF), X.RECIPE)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" not in plan and "MapInArrow" not in plan
     search_plan = search.retrieve(X.queries(spark, SF), X.gated(spark, SF), X.places(spark, SF), X.RECIPE)._jdf.queryExecution().executedPlan().toString()
     assert search_plan.count("FlatMapCoGroupsInArrow") == 1
 

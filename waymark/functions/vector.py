@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: what a lambda only refers to is computed
+    anew for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
@@ -20,12 +28,12 @@ def norm(v: Column) -> Column:
 
 def l2_normalise(v: Column, eps: float = 1e-12) -> Column:
     """v over its length, or over eps if that is more."""
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(norm(v), F.lit(eps)))
+    return let(v, lambda own: let(F.greatest(norm(own), F.lit(eps)), lambda n: F.transform(own, lambda x: x.cast("double") / n)))
 
 
 def unit_candidate(code: Column, eps: float = 1e-9) -> Column:
     """A code over its length plus eps: the scale of the code cancels."""
-    return F.transform(code, lambda x: x.cast("double") / (norm(code) + eps))
+    return let(code, lambda own: let(norm(own) + eps, lambda n: F.transform(own, lambda x: x.cast("double") / n)))
 
 
 def quantise_scale(v: Column) -> Column:
@@ -34,7 +42,7 @@ def quantise_scale(v: Column) -> Column:
 
 def quantise(v: Column, scale: Column) -> Column:
     """Symmetric int8 codes: half to even, within 127 on either side."""
-    return F.transform(v, lambda x: F.greatest(F.least(F.rint(x.cast("double") / scale), F.lit(127.0)), F.lit(-127.0)).cast("tinyint"))
+    return let(scale, lambda s: F.transform(v, lambda x: F.greatest(F.least(F.rint(x.cast("double") / s), F.lit(127.0)), F.lit(-127.0)).cast("tinyint")))
 
 
 def dequantised_dot(query: Column, code: Column, scale: Column) -> Column:

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from waymark.functions.vector import dot, quantise, quantise_scale
 
 #: Rows that are multiplied at a time; rows of the sample against which hubness is measured.
 BATCH, HUB_ROWS = 1024, 5000
+#: Neighbouring cells of a folder of the index, and rows of a file.
+CELLS_OF_BUCKET, ROWS_OF_FILE = 8, 1 << 16
 
 
 def one_view(rows: DataFrame, views: int = 4) -> DataFrame:
@@ -26,13 +30,13 @@ def assign_cells(rows: DataFrame, centroids: DataFrame) -> DataFrame:
     Both have v; centroids are few (cells), and go to every task of rows."""
     table = centroids.select("cell", "v").orderBy("cell").toArrow()
     cells = table.column("cell").to_numpy()
-    matrix = np.array(table.column("v").to_pylist(), dtype=float)
+    shared = rows.sparkSession.sparkContext.broadcast(np.array(table.column("v").to_pylist(), dtype=float))
     kind = rows.schema["row"].dataType.simpleString()
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = np.array(batch.column(1).to_pylist(), dtype=float).reshape(batch.num_rows, -1)
-            best = (v @ matrix.T).argmax(axis=1) if len(v) else np.empty(0, dtype=int)
+            best = (v @ shared.value.T).argmax(axis=1) if len(v) else np.empty(0, dtype=int)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells[best], pa.int32())], ["row", "cell"])
 
     return rows.select("row", "v").mapInArrow(nearest, f"row {kind}, cell int")
@@ -113,18 +117,78 @@ def whitened(rows: DataFrame, mean: np.ndarray, matrix: np.ndarray, key: str = "
     return rows.select(key, column).mapInArrow(project, f"{key} {kind}, {into} array<double>")
 
 
-def write_index(places: DataFrame, path: str, cells_of_bucket: int = 64) -> None:
-    """Sorted by cell within files, in folders of neighbouring cells: a gate reads
-    the folders and row groups of its cells only."""
-    bucket = F.floor(F.col("cell") / cells_of_bucket).cast("int")
-    dealt = places.withColumn("cell_bucket", bucket).repartition("cell_bucket", F.pmod(F.col("row"), F.lit(8))).sortWithinPartitions("cell", "row")
-    dealt.write.partitionBy("cell_bucket").parquet(path)
+def write_index(places: DataFrame, path: str, cells_of_bucket: int = CELLS_OF_BUCKET, rows_of_file: int = ROWS_OF_FILE) -> None:
+    """path/places: places in order of their cells, in folders of neighbouring cells and
+    files of some rows_of_file, so that a cell of any size is spread over files of its
+    own; path/cells: (cell, cell_bucket, n) of each cell that has places; path/columns: no
+    rows, only what columns places have."""
+    bucket = F.floor(F.col("cell") / cells_of_bucket).cast("int").alias("cell_bucket")
+    sizes = places.groupBy("cell").agg(F.count("*").alias("n")).select("cell", bucket, "n")
+    sizes.coalesce(1).write.parquet(f"{path}/cells")
+    files = -(-(places.sparkSession.read.parquet(f"{path}/cells").agg(F.sum("n")).first()[0] or 0) // rows_of_file) or 1
+    dealt = places.select("*", bucket).repartitionByRange(files, "cell", "row").sortWithinPartitions("cell_bucket", "cell", "row")
+    dealt.write.partitionBy("cell_bucket").parquet(f"{path}/places")
+    places.limit(0).coalesce(1).write.parquet(f"{path}/columns")
 
 
-def read_cells(places: DataFrame, gated: DataFrame, cells_of_bucket: int = 64) -> DataFrame:
-    """The places of an index written so, joined with gated (qid, cell, p): the
-    folder is a join key, so unneeded folders are pruned when the gate is known."""
-    return places.join(gated.withColumn("cell_bucket", F.floor(F.col("cell") / cells_of_bucket).cast("int")), ["cell_bucket", "cell"])
+@dataclass
+class PlaceIndex:
+    """An index written so. Searches read the folders of their cells only, and never
+    shuffle its places: cells (cell, cell_bucket, n) are few, and go to every task."""
+
+    places: DataFrame
+    cells: DataFrame
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> PlaceIndex:
+        columns = spark.read.parquet(f"{path}/columns").schema.add("cell_bucket", T.IntegerType())
+        return cls(spark.read.schema(columns).parquet(f"{path}/places"), spark.read.parquet(f"{path}/cells"))
+
+    def in_cells(self, gated: DataFrame) -> DataFrame:
+        """The places of the cells of gated (cell, p, ...). Which folders those are is
+        known when the gate is: the folder is a key of the join, so others are pruned.
+        The filter, which holds for every p, tells Spark that the gate is selective."""
+        wanted = gated.where("p >= 0").select("cell").distinct().join(F.broadcast(self.cells), "cell").select("cell_bucket", "cell")
+        return self.places.join(F.broadcast(wanted), ["cell_bucket", "cell"], "left_semi")
+
+    def sizes(self) -> DataFrame:
+        return self.cells.select("cell", "n")
+
+    def winners(self, top: DataFrame, few: bool) -> DataFrame:
+        """The places of top (cell, row, rank, ...), from the folders of their cells only;
+        few: top is small enough to go to every task."""
+        rows = top.where("rank >= 0").select("cell", "row").distinct().join(F.broadcast(self.cells.select("cell", "cell_bucket")), "cell")
+        near = self.places.join(F.broadcast(rows.select("cell_bucket", "cell").distinct()), ["cell_bucket", "cell"], "left_semi")
+        return near.join(F.broadcast(rows) if few else rows, ["cell_bucket", "cell", "row"], "left_semi")
+
+
+@dataclass
+class PlainPlaces:
+    """Places in any frame: every search reads all of them."""
+
+    places: DataFrame
+
+    def in_cells(self, gated: DataFrame) -> DataFrame:
+        return self.places
+
+    def sizes(self) -> DataFrame:
+        return self.places.groupBy("cell").agg(F.count("*").alias("n"))
+
+    def winners(self, top: DataFrame, few: bool) -> DataFrame:
+        rows = top.select("row").distinct()
+        return self.places.join(F.broadcast(rows) if few else rows, "row", "left_semi")
+
+
+def as_index(places):  # noqa: ANN001, ANN201
+    """An index as it is, or a frame of places as one."""
+    return PlainPlaces(places) if isinstance(places, DataFrame) else places
+
+
+def open_index(spark: SparkSession, path: str) -> PlaceIndex | PlainPlaces:
+    """What write_index() wrote at path, or any Parquet table of places."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/cells")
+    there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return PlaceIndex.open(spark, path) if there else PlainPlaces(spark.read.parquet(path))
 
 
 def drift(a: DataFrame, b: DataFrame) -> DataFrame:

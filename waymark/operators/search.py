@@ -8,6 +8,7 @@ either side do not count.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -17,13 +18,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from waymark.functions.geo import EARTH_KM
-from waymark.functions.vector import dequantised_dot
+from waymark.functions.vector import dequantised_dot, dot
 from waymark.operators.gate import log_prior
+from waymark.operators.index import PlaceIndex, PlainPlaces
 from waymark.recipe import Recipe
 from waymark.scratch import written
 
 #: Places of a block, and queries, that one task scores at a time.
 BLOCK, QUERY_BLOCK = 8192, 1024
+#: So many queries go to every task of the places (66 MB at four spaces of 1024 numbers); of them so many are scored at a time.
+FEW_QUERIES, SCAN_QUERIES = 2048, 256
 
 
 def candidates(gated: DataFrame, places: DataFrame) -> DataFrame:
@@ -61,14 +65,41 @@ def top_k(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
+def _shared(recipe: Recipe, spaces: list[str], asked: dict[str, np.ndarray], p: np.ndarray, of: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """Queries x places: the blended scores of the rows of asked (a matrix for each
+    space) and p with all places of a table."""
+    s = np.repeat(recipe.prior_lam * np.log(np.maximum(p, 1e-12))[:, None], of.num_rows, axis=1)
+    for space in spaces:
+        s += 2.0 * recipe.blend[space] * (asked[space] @ _dense(of, space).T) * of.column(f"{space}_scale").to_numpy()[None, :]
+    csls = _dense(of, "csls")
+    for j, space in enumerate(recipe.csls_spaces):
+        if space in recipe.blend:
+            s -= recipe.blend[space] * csls[:, j][None, :]
+    return s
+
+
+def _dense(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
+    column = table.column(name)
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _largest(s: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, place) of the k largest of each row of s, the lower row first among equals."""
+    at, place = np.nonzero(s >= np.partition(s, s.shape[1] - k, axis=1)[:, -k][:, None]) if k < s.shape[1] else np.nonzero(np.ones(s.shape, dtype=bool))
+    order = np.lexsort((rows[place], -s[at, place], at))
+    at, place = at[order], place[order]
+    number = np.arange(len(at)) - np.searchsorted(at, at)
+    return at[number < k], place[number < k]
+
+
 def retrieve(queries: DataFrame, gated: DataFrame, places: DataFrame, recipe: Recipe) -> DataFrame:
-    """(qid, row, s, n): the best of each query's candidates, up to the recipe's
-    top_k from each block of a cell, with the number n of candidates of the block.
-    top_k() of it is that of all candidates.
+    """(qid, cell, row, s): the best of each query's candidates, up to the recipe's
+    top_k from each block of a cell. top_k() of it is that of all candidates.
 
-    Places are dealt by cell and block, and so are the queries of a cell: a block
-    of either is multiplied in one product, and only the best leave the task. A
-    cell of any size, or one that any number of queries want, is several blocks.
+    For any number of queries: places are dealt by cell and block, and so are the queries
+    of a cell: a block of either is multiplied in one product, and only the best leave
+    the task. A cell of any size, or one that any number of queries want, is several blocks.
     """
     spaces = shared_spaces(recipe, queries, places)
     blocks = places.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -79,31 +110,82 @@ def retrieve(queries: DataFrame, gated: DataFrame, places: DataFrame, recipe: Re
     wanted = gated.join(blocks, "cell").join(askers, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     wanted = wanted.withColumn("asker", F.pmod(F.xxhash64("qid"), F.col("askers")).cast("int"))
     left = queries.select("qid", *(F.col(s).alias(f"q_{s}") for s in spaces)).join(wanted, "qid").select("cell", "block", "asker", "qid", "p", *(f"q_{s}" for s in spaces))
-    qid = queries.schema["qid"].dataType.simpleString()
-    row = places.schema["row"].dataType.simpleString()
-
-    def dense(table: pa.Table, name: str) -> np.ndarray:
-        column = table.column(name).combine_chunks()
-        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    qid, row, cell = queries.schema["qid"].dataType.simpleString(), places.schema["row"].dataType.simpleString(), places.schema["cell"].dataType.simpleString()
 
     def best(own: pa.Table, of: pa.Table) -> pa.Table:
-        n = of.num_rows
-        if not own.num_rows or not n:
-            return pa.table({"qid": own.column("qid")[:0], "row": of.column("row")[:0], "s": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
-        s = np.repeat(recipe.prior_lam * np.log(np.maximum(own.column("p").to_numpy(), 1e-12))[:, None], n, axis=1)
-        for space in spaces:
-            s += 2.0 * recipe.blend[space] * (dense(own, f"q_{space}") @ dense(of, space).T) * of.column(f"{space}_scale").to_numpy()[None, :]
-        csls = dense(of, "csls")
-        for j, space in enumerate(recipe.csls_spaces):
-            if space in recipe.blend:
-                s -= recipe.blend[space] * csls[:, j][None, :]
-        rows = of.column("row").to_numpy()
-        order = np.lexsort((np.broadcast_to(rows, s.shape), -s), axis=1)[:, : recipe.top_k]
-        k = order.shape[1]
-        at = np.repeat(np.arange(len(s)), k)
-        return pa.table({"qid": own.column("qid").take(pa.array(at)), "row": pa.array(rows[order.ravel()]), "s": pa.array(np.take_along_axis(s, order, axis=1).ravel()), "n": pa.array(np.full(len(at), n, dtype=np.int64))})
-
-    return left.groupBy("cell", "block", "asker").cogroup(right.groupBy("cell", "block", "asker")).applyInArrow(best, f"qid {qid}, row {row}, s double, n long")
+        if not own.num_rows or not of.num_rows:
+            return pa.table({"qid": own.column("qid")[:0], "cell": of.column("cell")[:0], "row": of.column("row")[:0], "s": pa.array([], pa.float64())})
+        s = _shared(recipe, spaces, {x: _dense(own, f"q_{x}") for x in spaces}, own.column("p").to_numpy(), of)
+        at, place = _largest(s, of.column("row").to_numpy(), recipe.top_k)
+        own_at, of_at = pa.array(at), pa.array(place)
+        return pa.table({"qid": own.column("qid").take(own_at), "cell": of.column("cell").take(of_at), "row": of.column("row").take(of_at), "s": pa.array(s[at, place])})
+
+    return left.groupBy("cell", "block", "asker").cogroup(right.groupBy("cell", "block", "asker")).applyInArrow(best, f"qid {qid}, cell {cell}, row {row}, s double")
+
+
+def retrieve_few(queries: DataFrame, gated: DataFrame, places: DataFrame, recipe: Recipe) -> DataFrame:
+    """As retrieve(), for at most FEW_QUERIES queries, which go to every task of the places:
+    places stay where they are read. Each batch of a cell keeps the best for every query
+    that wants the cell."""
+    spaces = shared_spaces(recipe, queries, places)
+    asked = queries.select("qid", *spaces).toArrow()
+    if asked.num_rows > FEW_QUERIES:
+        raise ValueError(f"more than {FEW_QUERIES} queries")
+    number = {q: i for i, q in enumerate(asked.column("qid").to_pylist())}
+    wanted = gated.select("cell", "qid", "p").toArrow().sort_by("cell")
+    at = np.array([number.get(q, -1) for q in wanted.column("qid").to_pylist()], dtype=np.int64)
+    known = at >= 0
+    cells, first = np.unique(wanted.column("cell").to_numpy()[known], return_index=True)
+    shared = queries.sparkSession.sparkContext.broadcast(
+        (asked.column("qid").combine_chunks(), {x: _dense(asked, x) for x in spaces}, at[known], wanted.column("p").to_numpy()[known], {int(c): (a, b) for c, a, b in zip(cells, first, np.append(first[1:], known.sum()))})
+    )
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, matrices, at, p, of_cell = shared.value
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            edges = np.append(np.flatnonzero(np.diff(cell, prepend=cell[:1] - 1)), len(cell)) if len(cell) else np.zeros(1, dtype=int)
+            for start, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                a, b = of_cell.get(int(cell[start]), (0, 0))
+                for low in range(start, end, BLOCK):
+                    part = batch.slice(low, min(end - low, BLOCK))
+                    for i in range(a, b, SCAN_QUERIES):
+                        own = at[i : min(b, i + SCAN_QUERIES)]
+                        s = _shared(recipe, spaces, {x: m[own] for x, m in matrices.items()}, p[i : i + len(own)], part)
+                        mine, place = _largest(s, part.column("row").to_numpy(), recipe.top_k)
+                        yield pa.RecordBatch.from_arrays([qids.take(pa.array(own[mine])), part.column("cell").take(pa.array(place)), part.column("row").take(pa.array(place)), pa.array(s[mine, place])], ["qid", "cell", "row", "s"])
+
+    kinds = [f"{c} {(queries if c == 'qid' else places).schema[c].dataType.simpleString()}" for c in ("qid", "cell", "row")]
+    return places.select("cell", "row", "csls", *(c for s in spaces for c in (s, f"{s}_scale"))).mapInArrow(best, f"{', '.join(kinds)}, s double")
+
+
+def is_few(queries: DataFrame) -> bool:
+    return queries.select("qid").limit(FEW_QUERIES + 1).count() <= FEW_QUERIES
+
+
+def best(queries: DataFrame, gated: DataFrame, index: PlaceIndex | PlainPlaces, recipe: Recipe, few: bool | None = None) -> DataFrame:
+    """(qid, cell, row, rank, s): the recipe's top_k places of each query, read from the
+    gated cells only. A few queries go to the places, many are dealt with them. Queries and
+    gated are read more than once: give them written."""
+    places = index.in_cells(gated)
+    search = retrieve_few if (is_few(queries) if few is None else few) else retrieve
+    return top_k(search(queries, gated, places, recipe), recipe.top_k)
+
+
+def found(queries: DataFrame, gated: DataFrame, index: PlaceIndex | PlainPlaces, recipe: Recipe) -> tuple[DataFrame, DataFrame]:
+    """The top rows (qid, cell, row, rank, s, lat, lon, code, raw), what reranking needs,
+    and (qid, n_candidates, gate_cells) of every query. The search runs here, once."""
+    spaces = dict.fromkeys([*recipe.blend, "cls"])
+    queries = written(queries.select("qid", *(s for s in spaces if s in queries.columns)), "queries")
+    gated = written(gated.select("qid", "cell", "p"), "gated")
+    few = is_few(queries)
+    top = written(best(queries, gated, index, recipe, few), "top")
+    late = index.winners(top, few).select("row", "lat", "lon", F.col("cls").alias("code"), "cls_scale")
+    own = queries.select("qid", F.col("cls").alias("q"))
+    wide = top.join(late, "row").join(F.broadcast(own) if few else own, "qid")
+    raw = dot(F.col("q"), F.col("code")) * F.col("cls_scale")
+    counts = gated.join(F.broadcast(index.sizes()), "cell", "left").groupBy("qid").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_candidates"), F.count("*").alias("gate_cells"))
+    return wide.select("qid", "cell", "row", "rank", "s", "lat", "lon", "code", raw.alias("raw")), counts
 
 
 #: Points that nearest() takes in one pass over the places: they go to every task.

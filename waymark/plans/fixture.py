@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from waymark.functions.vector import dot, doubles, l2_normalise
 from waymark.operators.gate import gate, posterior
-from waymark.operators.index import assign_cells, hubness, quantised
+from waymark.operators.index import PlaceIndex, assign_cells, hubness, quantised, write_index
 from waymark.operators.rerank import answers, features, reranked
-from waymark.operators.search import retrieve, top_k
+from waymark.operators.search import found
 from waymark.recipe import Linear, Recipe
-from waymark.scratch import once, written
+from waymark.scratch import once, once_path, written
 
 N_CELLS = 16
 SPACES = ["cls", "geo5c", "geo10c", "geo25c", "cls_wh"]
@@ -89,14 +89,23 @@ def csls_rows(rows: DataFrame) -> DataFrame:
     return hubness(rows, list(RECIPE.csls_spaces), order=sample_order())
 
 
-def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+def inputs(sf_dir: str) -> list[str]:
+    """The table that the index and the searches are made from."""
+    return [f"{sf_dir}/embeddings.parquet"]
+
+
+def place_index(spark: SparkSession, sf_dir: str) -> PlaceIndex:
     """The index: built and written once for a session, then read by every search."""
 
-    def build() -> DataFrame:
+    def build(path: str) -> None:
         rows = written(float_places(spark, sf_dir), "float_places")
-        return quantised(rows.join(csls_rows(rows), "row"), SPACES).drop("v")
+        write_index(quantised(rows.join(csls_rows(rows), "row"), SPACES).drop("v"), path, cells_of_bucket=1)
 
-    return once(spark, ("places", sf_dir), build)
+    return PlaceIndex.open(spark, once_path(spark, ("places", sf_dir), build, inputs(sf_dir)))
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place_index(spark, sf_dir).places.drop("cell_bucket")
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,18 +128,10 @@ def best(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     The search runs once for a session; its rows are written."""
 
     def search() -> DataFrame:
-        q = written(queries(spark, sf_dir), "queries")
-        p = places(spark, sf_dir)
-        cells = written(gated(spark, sf_dir), "gated")
-        top = top_k(retrieve(q, cells, p, RECIPE).select("qid", "row", "s"), RECIPE.top_k)
-        sizes = p.groupBy("cell").agg(F.count("*").alias("n"))
-        counts = cells.join(sizes, "cell", "left").groupBy("qid").agg(F.sum("n").alias("n_candidates"), F.count("*").alias("gate_cells"))
-        late = p.select("row", "lat", "lon", F.col("cls").alias("code"), "cls_scale")
-        wide = top.join(late, "row").join(q.select("qid", F.col("cls").alias("q")), "qid").join(counts, "qid")
-        raw = dot(F.col("q"), F.col("code")) * F.col("cls_scale")
-        return wide.select("qid", "row", "rank", "s", "lat", "lon", "code", raw.alias("raw"), "n_candidates", "gate_cells")
-
-    top = once(spark, ("best", sf_dir), search)
+        top, counts = found(queries(spark, sf_dir), gated(spark, sf_dir), place_index(spark, sf_dir), RECIPE)
+        return top.drop("cell").join(counts, "qid")
+
+    top = once(spark, ("best", sf_dir), search, inputs(sf_dir))
     counts = top.where("rank = 0").select("qid", "n_candidates", "gate_cells")
     return top.drop("n_candidates", "gate_cells"), counts
 

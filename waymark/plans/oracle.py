@@ -139,6 +139,9 @@ REPORT = f"count(*) AS n, {r(percentile('km'), 'median_km')}, {r('avg((km <= 25)
 
 SELECTS = {
     "quantise_rows": f"SELECT rid AS \"row\", space, round(scale, 9) + 0 AS scale, list_sum(code)::BIGINT AS total, list_sum(list_transform(list_zip(code, range(1, len(code) + 1)), lambda t: t[1] * t[2]))::BIGINT AS checksum FROM code",
+    "flat_index": "SELECT row_number() OVER (ORDER BY cell, rid) - 1 AS \"row\", rid AS place, cell, round(lat, 3) + 0 AS lat, round(lon, 3) + 0 AS lon, 3 AS spaces, scale, cls, geo5c, geo10c, geo25c, cls_wh FROM coords JOIN (SELECT rid, "
+    + ", ".join(f"max(c) FILTER (space = '{x}') AS {x}" for x in ("cls", "geo5c", "geo10c", "geo25c", "cls_wh"))
+    + ", max(round(scale, 6)) FILTER (space = 'cls') AS scale FROM (SELECT rid, space, scale, list_sum(list_transform(list_zip(code, range(1, len(code) + 1)), lambda t: t[1] * t[2]))::BIGINT AS c FROM code) GROUP BY rid) USING (rid)",
     "dequant_dot": f"SELECT q.id AS qid, k.rid AS \"row\", {r('list_dot_product(q.f, k.code) * k.scale', 'product')} FROM sp q JOIN gated g ON g.qid = q.id JOIN cellmap m USING (cell) JOIN code k ON k.rid = m.rid AND q.kind = 'q' AND q.space = 'cls' AND k.space = 'cls'",
     "l2_normalise": f"SELECT id AS qid, space, {r('f[1]', 'first')}, {r('list_sum(f)', 'total')}, {r('list_dot_product(f, f)', 'length')} FROM sp WHERE kind = 'q'",
     "softmax_posterior": f"SELECT qid, cell, {r('p')} FROM post",

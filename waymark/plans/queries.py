@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from waymark.operators import evaluate, fit, gate, index, rerank, search, series
 from waymark.plans import fixture as X
 from waymark.plans.fixture import RECIPE, table
 from waymark.recipe import CONFIDENCE_FEATURES, RERANK_FEATURES
-from waymark.scratch import written
-from waymark.sources import assets
+from waymark.scratch import scratch_path, written
+from waymark.sources import assets, flatindex
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -32,6 +34,17 @@ def quantise_rows(s: SparkSession, d: str) -> DataFrame:
     return out.select("row", "space", F.round("scale", 9).alias("scale"), total.alias("total"), checksum.alias("checksum"))
 
 
+def flat_index(s: SparkSession, d: str) -> DataFrame:
+    """The index, written as flat files and read from them: where each row is, and sums of what it holds."""
+    p = X.places(s, d)
+    path = scratch_path(s, "flat_index")
+    at = flatindex.write_flat_index(p, path, X.SPACES, X.N_CELLS).select(F.col("row").alias("place"), F.col("at").alias("row"))
+    back = flatindex.FlatIndex(s, path, X.SPACES).read()
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    sums = {n: total(F.transform(n, lambda x, i: x.cast("long") * (i + 1))) for n in X.SPACES}
+    return back.join(at, "row").select("row", "place", "cell", F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), F.size("csls").alias("spaces"), F.round("cls_scale", 6).alias("scale"), *(c.alias(n) for n, c in sums.items()))
+
+
 def dequant_dot(s: SparkSession, d: str) -> DataFrame:
     q = X.query_vectors(s, d).select("qid", "v").join(X.gated(s, d).select("qid", "cell"), "qid")
     p = X.places(s, d).select("row", "cell", "cls", "cls_scale")
@@ -54,8 +67,8 @@ def blend_score(s: SparkSession, d: str) -> DataFrame:
 
 
 def topk_candidates(s: SparkSession, d: str, k: int = RECIPE.top_k) -> DataFrame:
-    found = search.retrieve(X.queries(s, d), X.gated(s, d), X.places(s, d), RECIPE)
-    return rounded(search.top_k(found.select("qid", "row", "s"), k).select("qid", "row", "rank", "s"))
+    q, cells = written(X.queries(s, d), "queries"), written(X.gated(s, d), "gated")
+    return rounded(search.best(q, cells, X.place_index(s, d), replace(RECIPE, top_k=k)).select("qid", "row", "rank", "s"))
 
 
 def nearest_places(s: SparkSession, d: str) -> DataFrame:
@@ -324,6 +337,7 @@ def queries() -> dict:
     return {
         "locate_flagship": locate,
         "quantise_rows": quantise_rows,
+        "flat_index": flat_index,
         "dequant_dot": dequant_dot,
         "l2_normalise": l2_normalise,
         "softmax_posterior": lambda s, d: rounded(gate.posterior(X.logits(s, d))),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import re
 import tempfile
 import uuid
@@ -11,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _scratch: list[tuple[SparkSession, str]] = []
-_once: dict[tuple[str, ...], DataFrame] = {}
+_once: dict[tuple[str, ...], tuple[str, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,12 +57,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def once(spark: SparkSession, key: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
-    """What make() gives, written the first time that a session asks for the key."""
+def stamp(spark: SparkSession, *paths: str) -> str:
+    """A digest of the names, sizes and times of the files at paths and below: one call
+    for each folder, whatever the number of files. A path that is not there counts too."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found, left = hashlib.sha256(), list(paths)
+    while left:
+        path = left.pop()
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        system = target.getFileSystem(conf)
+        files = system.listStatus(target) if system.exists(target) else []
+        text = jvm.org.apache.commons.lang3.ArrayUtils.toString(files) if files else ""
+        found.update(f"{path}\n{re.sub(r'access_time=[0-9]+', '', text)}\n".encode())
+        if "isDirectory=true" in text:
+            left += sorted(f.getPath().toString() for f in files if f.isDirectory())
+    return found.hexdigest()
+
+
+def once(spark: SparkSession, key: tuple[str, ...], make: Callable[[], DataFrame], inputs: list[str]) -> DataFrame:
+    """What make() gives, written the first time that a session asks for the key, and
+    again when the files at inputs, which make() reads, are others than then."""
+    return spark.read.parquet(once_path(spark, key, lambda path: make().write.parquet(path), inputs))
+
+
+def once_path(spark: SparkSession, key: tuple[str, ...], write: Callable[[str], None], inputs: list[str]) -> str:
+    """As once(): the path at which write() has put what it makes."""
     whole = (spark.sparkContext.applicationId, *key)
-    if whole not in _once:
-        _once[whole] = written(make(), key[0])
-    return _once[whole]
+    now = stamp(spark, *inputs)
+    if whole not in _once or _once[whole][0] != now:
+        path = scratch_path(spark, key[0])
+        write(path)
+        _once[whole] = (now, path)
+    return _once[whole][1]
 
 
 def write_bytes(spark: SparkSession, data: bytes, path: str) -> None:
