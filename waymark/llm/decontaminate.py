@@ -8,6 +8,10 @@ itself) which a passage reaches, so one threshold fits long and short items. The
 corpus statistics behind it (how many items there are and have a word, their mean and
 largest length) are those of all items, in however many indexes they are held.
 
+An edited word takes up to five shingles with it, most of those of a short item. So an
+item that lacks shingles is verified by its words, too: those that stand in their order,
+none shifted by more than one place against the others, must be nearly all or all but one.
+
 Items of fewer than five words are too short to score: a document holds one if it
 has its words side by side.
 """
@@ -34,6 +38,10 @@ K1, B = 1.2, 0.75
 #: shares of its five-word shingles that the document must have: of all, and of
 #: the question and the answer each.
 RETRIEVE, OVERLAP, PART_OVERLAP = 0.5, 0.8, 0.5
+#: Where shingles do not suffice: the share of an item's words that must be aligned (or
+#: all but one), and what share of them must have one and the same shift. Items of so many
+#: words are aligned only if they share a shingle: one edit leaves some.
+ALIGNED, DIAGONAL, LONG_ITEM = 0.9, 0.45, 10
 #: Items of a block of a posting list. Terms in over COMMON of the blocks are
 #: bounded by one number for all blocks when windows are sifted.
 BLOCK, COMMON = 2, 0.9
@@ -69,11 +77,11 @@ def statistics(counts: list[Counter]) -> Statistics:
 
 
 class Hashes:
-    """Arrays of hashes, one after the other."""
+    """Arrays of hashes (or other numbers), one after the other."""
 
-    def __init__(self, own: list[np.ndarray]) -> None:
+    def __init__(self, own: list[np.ndarray], kind: type = np.uint64) -> None:
         self.start = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int64)
-        self.all = np.concatenate(own) if own else np.empty(0, dtype=np.uint64)
+        self.all = np.concatenate(own) if own else np.empty(0, dtype=kind)
 
     def __getitem__(self, i: int) -> np.ndarray:
         return self.all[self.start[i] : self.start[i + 1]]
@@ -85,7 +93,7 @@ class Index:
     lie side by side in arrays, so an index is small in every worker."""
 
     def __init__(self, items: list[tuple[int, str]], whole: Statistics | None = None) -> None:
-        counts, hashes, sizes, short = [], ([], [], []), [], {}
+        counts, hashes, sizes, short, own_words, questions = [], ([], [], []), [], {}, [], []
         self.ids = array("q")
         for item_id, text in items:
             tokens = shingles.words(text)
@@ -97,6 +105,8 @@ class Index:
                     own.append(np.unique(shingles.shingle_hashes(x)))
                 sizes.append([min(len(x), shingles.SHINGLE) for x in parts])
                 counts.append(Counter(tokens))
+                own_words.append(tokens)
+                questions.append(n)
             elif tokens:
                 short.setdefault((len(tokens), int(shingles.shingle_hashes(tokens)[0])), []).append(item_id)
         #: hashes of the whole items, the questions and the answers, and the words of their shingles
@@ -108,6 +118,9 @@ class Index:
         self.longest = known.longest
         terms = sorted({t for c in counts for t in c})
         self.term = {t: i for i, t in enumerate(terms)}
+        #: the words of the items in order, and how many of them are the question
+        self.words = Hashes([np.array([self.term[t] for t in x], dtype=np.int32) for x in own_words], np.int32)
+        self.questions = np.array(questions, dtype=np.int32)
         idf = [math.log(1 + (known.items - known.frequency[t] + 0.5) / (known.frequency[t] + 0.5)) for t in terms]
         term, item, score = array("i"), array("i"), array("d")
         for i, own in enumerate(counts):
@@ -139,7 +152,7 @@ class Index:
     def nbytes(self) -> int:
         """About how much memory it takes in a worker: its arrays, and 150 bytes a word or short item."""
         lists = [self.ids, self.posted, self.postings, self.scores, self.blocked, self.blocks, self.block_bounds, self.bound]
-        arrays = [x for h in self.hashes for x in (h.start, h.all)] + [self.sizes, self.common_bound, self.sift_start, self.sift_length]
+        arrays = [x for h in [*self.hashes, self.words] for x in (h.start, h.all)] + [self.questions, self.sizes, self.common_bound, self.sift_start, self.sift_length]
         return sum(len(x) * x.itemsize for x in lists) + sum(x.nbytes for x in arrays) + 150 * (len(self.term) + len(self.short))
 
     def search(self, terms: list[int], least: float) -> dict[int, float]:
@@ -232,19 +245,49 @@ class Index:
                 best[item] = max(best.get(item, 0.0), score)
         return best
 
-    def overlaps(self, tokens: list[str], least: float = RETRIEVE) -> list[tuple[int, float, float, float, float]]:
-        """(item_id, score, overlap, question's, answer's) of the items found and verified in the words."""
+    def overlaps(self, tokens: list[str], least: float = RETRIEVE) -> list[tuple[int, float, float, float, float, float | None]]:
+        """(item_id, score, overlap, question's, answer's, aligned) of the items found and
+        verified in the words; aligned is the share of aligned words where shingles do not
+        suffice, else None."""
         retrieved = self.retrieve(tokens, least)
         if not retrieved:
             return []
         found: dict[int, np.ndarray] = {}
-        out = []
+        out, terms = [], None
         for i, score in sorted(retrieved.items()):
             shares = [self._share(x[i], tokens, found, n) for x, n in zip(self.hashes, self.sizes[i].tolist())]
             if shares[0] >= OVERLAP and min(shares[1:]) >= PART_OVERLAP:
-                out.append((self.ids[i], score, *shares))
+                out.append((self.ids[i], score, *shares, None))
+            elif shares[0] > 0 or len(self.words[i]) < LONG_ITEM:
+                if terms is None:
+                    terms = np.array([self.term.get(t, -1) for t in tokens], dtype=np.int32)
+                part = self.aligned(i, terms)
+                if part is not None:
+                    out.append((self.ids[i], score, *shares, part))
         return out
 
+    def aligned(self, i: int, terms: np.ndarray) -> float | None:
+        """The largest share of the item's words that stand in the text with one shift or
+        one more or less, if that makes an edited item of it. Only shifts that a share of
+        DIAGONAL of the words have by themselves are looked at."""
+        own = self.words[i]
+        n, question = len(own), int(self.questions[i])
+        order = np.argsort(own, kind="stable")
+        at = np.flatnonzero(np.isin(terms, own))
+        low, high = (np.searchsorted(own[order], terms[at], side=side) for side in ("left", "right"))
+        times = high - low
+        place = np.repeat(low - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
+        word = order[place]
+        shift = np.repeat(at, times) - word
+        best = None
+        shifts, held = np.unique(shift, return_counts=True)
+        for x in shifts[held >= DIAGONAL * n].tolist():
+            found = np.unique(word[np.abs(shift - x) <= 1])
+            asked, rest = int((found < question).sum()), int((found >= question).sum())
+            if len(found) >= min(ALIGNED * n, n - 1) and asked >= PART_OVERLAP * question and rest >= PART_OVERLAP * (n - question):
+                best = max(best or 0.0, len(found) / n)
+        return best
+
     def runs(self, tokens: list[str]) -> list[int]:
         """The item_ids of the short items whose words stand side by side in the words."""
         out = []
@@ -305,15 +348,16 @@ def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", chars: int = INDEX_CHARS, short: bool = False) -> DataFrame:
-    """(doc_id, item_id, score, overlap, question_overlap, answer_overlap): a row
-    for each row of docs and each test item that it contains. Null and empty
+    """(doc_id, item_id, score, overlap, question_overlap, answer_overlap, aligned): a row
+    for each row of docs and each test item that it contains, edited items too; aligned is
+    null where the shares of shingles suffice. Null and empty
     texts contain none; a null doc_id is reported as such. Equal items of one id
     count once. Items without a word are in none; those of fewer than five words
     are looked for only with short, as exact runs of words, all of whose shares
     are 1. Other columns are not looked at. An empty table gives an empty result."""
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    names = ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"]
+    names = ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap", "aligned"]
     out = None
     for index in indexes(benchmark, chars=chars):
         shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -324,11 +368,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                 for i, own in enumerate(batch.column(1).to_pylist()):
                     tokens = shingles.words(own)
                     found += [(i, x) for x in shared.value.overlaps(tokens)]
-                    found += [(i, (x, 1.0, 1.0, 1.0, 1.0)) for x in (shared.value.runs(tokens) if short else ())]
+                    found += [(i, (x, 1.0, 1.0, 1.0, 1.0, None)) for x in (shared.value.runs(tokens) if short else ())]
                 ids = batch.column(0).take(pa.array([i for i, _ in found], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([x[0] for _, x in found], pa.int64()), *(pa.array([x[k] for _, x in found], pa.float64()) for k in range(1, 5))], names)
+                yield pa.RecordBatch.from_arrays([ids, pa.array([x[0] for _, x in found], pa.int64()), *(pa.array([x[k] for _, x in found], pa.float64()) for k in range(1, 6))], names)
 
-        part = rows.mapInArrow(tidied(find), f"doc_id {kind}, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
+        part = rows.mapInArrow(tidied(find), f"doc_id {kind}, item_id long, score double, overlap double, question_overlap double, answer_overlap double, aligned double")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -359,7 +403,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short=True)
-    return out.select("doc_id", "item_id", *(F.round(c, 6).alias(c) for c in ("score", "overlap", "question_overlap", "answer_overlap")))
+    return out.select("doc_id", "item_id", *(F.round(c, 6).alias(c) for c in ("score", "overlap", "question_overlap", "answer_overlap", "aligned")))
 
 
 #: The same from the definitions: every window against every item that shares a word.
@@ -395,10 +439,21 @@ found AS (
   SELECT r, i, score, k, count(h.sh) / count(*) AS share FROM found JOIN need USING (i) LEFT JOIN have h USING (r, n, sh) GROUP BY ALL
 ), wide AS (
   SELECT r, i, score, max(share) FILTER (k = 0) AS a, max(share) FILTER (k = 1) AS b, max(share) FILTER (k = 2) AS c FROM shares GROUP BY ALL
+), rest AS (
+  SELECT r, i, l, nq FROM wide JOIN item USING (i) WHERE NOT (a >= 0.8 AND b >= 0.5 AND c >= 0.5) AND (a > 0 OR l < 10)
+), pairs AS (
+  SELECT w.r, w.i, w.l, w.nq, j, p - j AS d FROM (SELECT r, i, l, nq, unnest(t) AS term, generate_subscripts(t, 1) AS j FROM rest JOIN (SELECT i, t FROM item) USING (i)) w
+  JOIN (SELECT r, unnest(t) AS term, generate_subscripts(t, 1) AS p FROM doc JOIN (SELECT DISTINCT r FROM rest) USING (r)) x ON x.r = w.r AND x.term = w.term
+), shifts AS (SELECT r, i, d FROM pairs GROUP BY r, i, d HAVING count(*) >= 0.45 * any_value(l)),
+aligned AS (
+  SELECT r, i, max(n / l) AS aligned FROM (
+    SELECT r, i, any_value(l) AS l, any_value(nq) AS nq, count(DISTINCT j) AS n, count(DISTINCT j) FILTER (j <= nq) AS asked
+    FROM pairs JOIN shifts s USING (r, i) WHERE abs(pairs.d - s.d) <= 1 GROUP BY r, i, s.d
+  ) WHERE n >= least(0.9 * l, l - 1) AND asked >= 0.5 * nq AND n - asked >= 0.5 * (l - nq) GROUP BY r, i
 )
-SELECT doc_id, item_id, round(score, 6) AS score, round(a, 6) AS overlap, round(b, 6) AS question_overlap, round(c, 6) AS answer_overlap
-FROM wide JOIN doc USING (r) JOIN item USING (i) WHERE a >= 0.8 AND b >= 0.5 AND c >= 0.5
+SELECT doc_id, item_id, round(score, 6) AS score, round(a, 6) AS overlap, round(b, 6) AS question_overlap, round(c, 6) AS answer_overlap, round(aligned, 6) AS aligned
+FROM wide JOIN doc USING (r) JOIN item USING (i) LEFT JOIN aligned USING (r, i) WHERE aligned IS NOT NULL OR a >= 0.8 AND b >= 0.5 AND c >= 0.5
 UNION ALL
-SELECT doc_id, item_id, 1.0, 1.0, 1.0, 1.0
+SELECT doc_id, item_id, 1.0, 1.0, 1.0, 1.0, NULL
 FROM (SELECT item_id, array_to_string(t, ' ') AS run FROM tok WHERE len(t) BETWEEN 1 AND 4) JOIN doc ON contains(' ' || array_to_string(doc.t, ' ') || ' ', ' ' || run || ' ')
 """
