@@ -29,7 +29,8 @@ def luhn(s):
 
 
 def brute(match, key=KEY):
-    """The pseudonym of a card, phone or date by plain Python; None otherwise."""
+    """The pseudonym of a card, phone, date, social security number or address of plain
+    numbers by plain Python; other matches as they are."""
     if re.fullmatch(P.DATE, match):
         try:
             day = datetime.date.fromisoformat(match) if "-" in match else datetime.datetime.strptime(match, "%m/%d/%Y").date()
@@ -40,17 +41,34 @@ def brute(match, key=KEY):
         new = day + datetime.timedelta(days=x * 27 + y - within)
         return new.isoformat() if "-" in match else new.strftime("%m/%d/%Y")
     digits = re.sub(r"\D", "", match)
+    if re.fullmatch(P.SSN, match):
+        area, group, serial = map(int, match.split("-"))
+        if not (1 <= area <= 899 and area != 666 and group and serial):
+            return match
+        x, y = feistel((area - 1 - (area > 666)) * 99 + group - 1, serial - 1, 898 * 99, 9999, key + "ssn")
+        return f"{x // 99 + 1 + (x // 99 >= 665):03}-{x % 99 + 1:02}-{y + 1:04}"
+    if re.fullmatch(P.IPV4, match):
+        parts = match.split(".")
+        if any(int(n) > 255 or str(int(n)) != n for n in parts):
+            return match
+        a, b, c, d = map(int, parts)
+        x, y = feistel(a * 256 + b, c * 256 + d, 65536, 65536, key + "ip")
+        return f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
     if re.fullmatch(P.CARD, match) and luhn(digits) == 0:
         a = (len(digits) - 2) // 2
         b = len(digits) - 2 - a
         x, y = feistel(int(digits[1 : 1 + a]), int(digits[1 + a : 1 + a + b]), 10**a, 10**b, f"{key}card{len(digits)}")
         body = digits[0] + str(x).zfill(a) + str(y).zfill(b)
         new = body + str((10 - luhn(body + "0")) % 10)
-    elif re.fullmatch(P.PHONE, match) and digits[-10] > "1" and digits[-7] > "1":
-        n = ((int(digits[-10:-7]) - 200) * 800 + int(digits[-7:-4]) - 200) * 10000 + int(digits[-4:])
-        x, y = feistel(n // 80000, n % 80000, 80000, 80000, key + "phone")
-        n = x * 80000 + y
-        new = digits[:-10] + str(n // 8000000 + 200) + str(n // 10000 % 800 + 200) + str(n % 10000).zfill(4)
+    elif re.fullmatch(P.PHONE, match):
+        # area and exchange move within 200 to 999, or within 0 to 199
+        area, exchange, line = int(digits[-10:-7]), int(digits[-7:-4]), int(digits[-4:])
+        a0, areas = (200, 800) if area >= 200 else (0, 200)
+        e0, exchanges = (200, 800) if exchange >= 200 else (0, 200)
+        n, low = ((area - a0) * exchanges + exchange - e0) * 10000 + line, exchanges * 100
+        x, y = feistel(n // low, n % low, areas * 100, low, key + "phone")
+        n = x * low + y
+        new = digits[:-10] + f"{n // (exchanges * 10000) + a0:03}{n // 10000 % exchanges + e0:03}{n % 10000:04}"
     else:
         return match
     left = iter(new)
@@ -70,7 +88,7 @@ def test_matches_brute_force(spark):
         for _ in range(rng.randrange(5)):
             card = "".join(rng.choice("0123456789") for _ in range(rng.choice([12, 13, 15, 18])))
             card += str((10 - luhn(card + "0")) % 10)
-            parts += ["word é", rng.choice([card, " ".join(card[i : i + 4] for i in range(0, len(card), 4)), f"+1 ({rng.randrange(100, 1000)}) {rng.randrange(100, 1000)}-{rng.randrange(10000):04}", f"{rng.randrange(1700, 2400)}-{rng.randrange(14):02}-{rng.randrange(33):02}", f"{rng.randrange(1, 13):02}/{rng.randrange(1, 32):02}/{rng.randrange(1900, 2100)}", str(rng.randrange(10**15)), "4" * 30])]
+            parts += ["word é", rng.choice([card, " ".join(card[i : i + 4] for i in range(0, len(card), 4)), f"+1 ({rng.randrange(100, 1000)}) {rng.randrange(100, 1000)}-{rng.randrange(10000):04}", f"{rng.randrange(1700, 2400)}-{rng.randrange(14):02}-{rng.randrange(33):02}", f"{rng.randrange(1, 13):02}/{rng.randrange(1, 32):02}/{rng.randrange(1900, 2100)}", str(rng.randrange(10**15)), "4" * 30, f"{rng.randrange(1000):03}-{rng.randrange(100):02}-{rng.randrange(10000):04}", ".".join(str(rng.randrange(300)) for _ in range(4)), f"({rng.randrange(300):03}) {rng.randrange(300):03}-0000"])]
         texts.append(" ".join(parts) + ".")
     got = run(spark, texts)
     pattern = re.compile(P.PATTERN.replace(r"\p{L}\p{N}_", r"\w"))

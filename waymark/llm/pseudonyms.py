@@ -191,9 +191,9 @@ def pattern_of(value: Column) -> Column:
     return F.coalesce(F.when(value.rlike(CARD_AT), spaced), whole())
 
 
-def phone(value: Column, key: Column, plan_only: bool = False) -> Column:
+def phone(value: Column, key: Column) -> Column:
     """Area and exchange stay within 200 to 999, or below 200 where they are: such
-    numbers are none of the numbering plan, and stay as they are if plan_only."""
+    numbers are none of the numbering plan, but are written as if they were."""
     digits = F.substr(digits_of(value), F.lit(-10))
     area, exchange, line = (F.substr(digits, F.lit(a), F.lit(n)).cast("int") for a, n in ((1, 3), (4, 3), (7, 4)))
     (area_from, areas), (exchange_from, exchanges) = ((F.when(n >= 200, 200).otherwise(0), F.when(n >= 200, 800).otherwise(200)) for n in (area, exchange))
@@ -201,7 +201,7 @@ def phone(value: Column, key: Column, plan_only: bool = False) -> Column:
     low = exchanges * 100
     new = F.transform(F.array(feistel(_div(number, low), number % low, areas * 100, low, F.concat(key, F.lit("phone")))), lambda s: s["x"] * low + s["y"])
     text = F.transform(new, lambda n: F.concat(F.substr(digits_of(value), F.lit(1), F.length(digits_of(value)) - 10), padded(_div(n, exchanges * 10_000) + area_from, 3), padded(_div(n, 10_000) % exchanges + exchange_from, 3), padded(n % 10_000, 4)))
-    return F.when((area >= 200) & (exchange >= 200) if plan_only else F.lit(True), filled(value, text[0]))
+    return filled(value, text[0])
 
 
 def ssn(value: Column, key: Column) -> Column:
@@ -281,23 +281,22 @@ def kind_of(value: Column) -> Column:
     return out
 
 
-def pseudonym(value: Column, kind: Column, key: Column, plan_only: bool = False) -> Column:
+def pseudonym(value: Column, kind: Column, key: Column) -> Column:
     """The pseudonym of a match, null where it does not pass its kind's check."""
     out = None
-    for name, f in zip(KINDS, (email, lambda v, k: phone(v, k, plan_only), ssn, ip, date, iban, card)):
+    for name, f in zip(KINDS, (email, phone, ssn, ip, date, iban, card)):
         out = F.when(kind == name, f(value, key)) if out is None else out.when(kind == name, f(value, key))
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str, text: str = "text", into: str = "text", counts: str = "n_private", plan_only: bool = True) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", into: str = "text", counts: str = "n_private") -> DataFrame:
     """docs with the text's personal data replaced, in the column named into, and
     the number of values replaced of each kind, a map in the column named counts
     (kinds without any are left out). Columns of those names are replaced; all
     other columns and rows stay. A null text stays null. Ids play no part, so
     repeated and null ones are as they are. Values that fail their check stay,
     and so do texts without a value, empty ones too, to the byte; an empty table stays
-    empty, and texts of any length are taken whole. With plan_only, phones whose area
-    or exchange is below 200 stay, too.
+    empty, and texts of any length are taken whole.
     """
     key_column = F.lit(key)
     value = F.col(text)
@@ -312,7 +311,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", into: str = "tex
         return F.struct(match.alias("match"), kind_of(match).alias("kind"))
 
     def replaced(s: Column) -> Column:
-        return F.struct(s["match"].alias("match"), s["kind"].alias("kind"), pseudonym(s["match"], s["kind"], key_column, plan_only).alias("new"))
+        return F.struct(s["match"].alias("match"), s["kind"].alias("kind"), pseudonym(s["match"], s["kind"], key_column).alias("new"))
 
     found = F.transform(F.transform(matches, one), replaced)
     names = [c for c in docs.columns if c not in (into, counts)]
@@ -333,6 +332,6 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", into: str = "tex
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pseudonymise(docs, key="waymark", plan_only=False)
+    out = pseudonymise(docs, key="waymark")
     counts = [F.coalesce(F.try_element_at("n_private", F.lit(k)), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", "text", *counts)
