@@ -28,9 +28,9 @@ from waymark.llm.common import held_out, table, tidied, written
 SAMPLE_ROWS = 20_000
 #: A term of a lexicon occurs in so many toxic rows of the sample, and of the rows in which it occurs so many are toxic.
 MIN_SUPPORT, MIN_PRECISION = 5, 0.9
-#: Voters of a stronger correlation than this, given the label, are of one group, of so
-#: many voters at most; a joint vote is backed by so many rows of what independent voters would do.
-CORRELATED, GROUP, BACKING = 0.2, 4, 10.0
+#: Voters of a stronger correlation than this, given the label, are of one group; a joint
+#: vote is backed by so many rows of what independent voters would do.
+CORRELATED, BACKING = 0.2, 10.0
 #: Folds of the sample: voters of one are mined in the others.
 FOLDS = 5
 #: Terms of the linear classifier have so many posterior rows of the label they speak for,
@@ -125,12 +125,13 @@ def correlations(matrix: np.ndarray, posterior: np.ndarray) -> np.ndarray:
 
 
 def groups_of(shared: np.ndarray) -> list[list[int]]:
-    """Voters that correlate, the strongest pairs first, in groups of bounded size."""
+    """Voters that correlate, directly or by others, in groups of any size: only joint
+    votes that occur are counted."""
     group = [[k] for k in range(len(shared))]
     i, j = np.nonzero(np.triu(shared) > CORRELATED)
     for k in np.argsort(-shared[i, j], kind="stable").tolist():
         a, b = group[i[k]], group[j[k]]
-        if a is not b and len(a) + len(b) <= GROUP:
+        if a is not b:
             a += b
             for x in b:
                 group[x] = a
