@@ -110,3 +110,14 @@ def test_query_is_brute_force(spark):
     for r in found:
         ids = library.encode(texts[r.doc_id] or "")
         assert r.token_ids == ids and r.decoded_same == (library.decode(ids) == (texts[r.doc_id] or "")) and r.parity
+
+
+def test_ids_are_those_of_the_rebuilt_tokenizer(monkeypatch):
+    """The library is only held against them: with others from there, parity falls and the ids stay."""
+    own = pieces.Backend(pieces.default_model())
+    texts = ["the cat sat", "", "zwölf Boxkämpfer 執"]
+    before = own.encode(texts)
+    assert all(same for _, _, same in before)
+    monkeypatch.setattr(own, "library", type("Other", (), {"encode": lambda self, given, num_threads: [[5, 6, 7] for _ in given]})())
+    after = own.encode(texts)
+    assert [x[:2] for x in after] == [x[:2] for x in before] and not any(same for _, _, same in after)

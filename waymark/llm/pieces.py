@@ -4,8 +4,7 @@ The model file is read as a protobuf here, and its parts are rebuilt as a
 tokenizers pipeline: normaliser, metaspace marker, piece scores (unigram) or
 the merges that the scores imply (BPE), byte fallback. Batches of whole texts are
 encoded and decoded multithreaded. Each text's ids are held against those of the
-sentencepiece library itself; where a text differs, the library's ids are
-kept and `parity` is false.
+sentencepiece library itself; where a text differs, `parity` is false.
 """
 
 from __future__ import annotations
@@ -147,11 +146,12 @@ class Backend:
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], str, bool]]:
-        """(ids, their decoded text, parity) of each text."""
+        """(ids, their decoded text, parity) of each text: ids and text by the rebuilt
+        tokenizer, parity tells whether the library has the same ids."""
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         truth = self.library.encode(texts, num_threads=1)
         same = [a == b for a, b in zip(ids, truth)]
-        return list(zip(truth, self.tokenizer.decode_batch(truth, skip_special_tokens=False), same))
+        return list(zip(ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False), same))
 
 
 _loaded: dict[str, Backend] = {}
@@ -211,7 +211,7 @@ def encode_pieces(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays(
                     [
                         whole.column(0).slice(first, end - first),
-                        pa.array([len((x or "").encode()) for x in texts], pa.int64()),
+                        whole.column(2).slice(first, end - first),
                         pa.array(n),
                         pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids)),
                         pa.array([x[1] == (text or "") for x, text in zip(found, texts)]),
@@ -220,7 +220,8 @@ def encode_pieces(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text
                     ["doc_id", "n_bytes", "n_tokens", "token_ids", "decoded_same", "parity"],
                 )
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, schema)
+    n_bytes = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), n_bytes.alias("n_bytes")).mapInArrow(encode, schema)
 
 
 def default_model() -> str:
