@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from waymark.functions.geo import LAT_KM, LON_KM, crosses, segment_km
+from waymark.operators import edgeindex
+from waymark.operators.edgeindex import EdgeIndex, edge_index
 
 #: Degrees of a square of the grid on which points and boxes meet.
 GRID = 5.0
@@ -51,9 +53,20 @@ def near_boxes(points: DataFrame, features: DataFrame, pad_lat: Column, pad_lon:
     return asked.join(placed, ["gx", "gy"]).where(held)
 
 
-def containing(points: DataFrame, features: DataFrame) -> DataFrame:
+def indexed(features: DataFrame | EdgeIndex) -> EdgeIndex:
+    """The edges of features on squares; give the index itself to ask it more than once."""
+    return edge_index(features) if isinstance(features, DataFrame) else features
+
+
+def containing(points: DataFrame, features: DataFrame | EdgeIndex) -> DataFrame:
     """(point_id, feature_id, name): of the features that hold a point (in the
     outline and in no hole), the first. Points in none are left out."""
+    return edgeindex.containing(points, indexed(features))
+
+
+def containing_by_rings(points: DataFrame, features: DataFrame) -> DataFrame:
+    """The same from the definition, by all edges of every feature whose box holds a
+    point: for tests and small maps."""
     near = near_boxes(points, features, F.lit(0.0), F.lit(0.0))
     lat, lon = F.col("lat"), F.col("lon")
     holes = F.slice("rings", 2, F.greatest(F.size("rings") - 1, F.lit(0)))
@@ -61,10 +74,15 @@ def containing(points: DataFrame, features: DataFrame) -> DataFrame:
     return inside.groupBy("point_id").agg(F.min(F.struct("feature_id", "name")).alias("f")).select("point_id", "f.*")
 
 
-def nearest_coast(points: DataFrame, features: DataFrame, max_km: float = 50.0, device: bool = False) -> DataFrame:
+def nearest_coast(points: DataFrame, features: DataFrame | EdgeIndex, max_km: float = 50.0, device: bool = False) -> DataFrame:
     """(point_id, feature_id, name, km): the feature whose rings come closest, below
     max_km; of equals the first. device: only outlines count, both paddings are
     km / 111, and a degree of latitude is 110.57 km."""
+    return edgeindex.nearest_coast(points, indexed(features), max_km, device)
+
+
+def nearest_coast_by_rings(points: DataFrame, features: DataFrame, max_km: float = 50.0, device: bool = False) -> DataFrame:
+    """The same from the definition, as containing_by_rings()."""
     lat, lon = F.col("lat"), F.col("lon")
     pad_lat = F.lit(max_km / (111.0 if device else LAT_KM))
     pad_lon = pad_lat if device else max_km / F.greatest(LON_KM * F.cos(F.radians("lat")), F.lit(1.0))
@@ -76,9 +94,10 @@ def nearest_coast(points: DataFrame, features: DataFrame, max_km: float = 50.0,
     return best.groupBy("point_id").agg(F.min(F.struct("km", "feature_id", "name")).alias("f")).select("point_id", "f.feature_id", "f.name", "f.km")
 
 
-def country_at(points: DataFrame, features: DataFrame, max_km: float = 50.0, device: bool = False) -> DataFrame:
+def country_at(points: DataFrame, features: DataFrame | EdgeIndex, max_km: float = 50.0, device: bool = False) -> DataFrame:
     """(point_id, name, km) for every point: the country that holds it (0 km), else
     the nearest one, else null."""
+    features = indexed(features)
     held = containing(points, features).select("point_id", F.col("name").alias("held"))
     missed = points.join(held, "point_id", "left_anti")
     snapped = nearest_coast(missed, features, max_km, device).select("point_id", F.col("name").alias("snapped"), "km")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.vector import dot, doubles, l2_normalise
+from waymark.operators.edgeindex import EdgeIndex, edge_index
 from waymark.operators.gate import gate, posterior
 from waymark.operators.index import PlaceIndex, assign_cells, hubness, quantised, write_index
 from waymark.operators.rerank import answers, features, reranked
@@ -177,6 +178,12 @@ def features_of_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("feature_id", "name", "rings", *(c.alias(n) for n, c in side.items()))
 
 
+def nation_index(spark: SparkSession, sf_dir: str) -> EdgeIndex:
+    """The map's edges on squares, written once for a session."""
+    path = once_path(spark, ("nations", sf_dir), lambda path: edge_index(features_of_nations(spark, sf_dir)).write(path), [f"{sf_dir}/nation.parquet"])
+    return EdgeIndex.read(spark.read.parquet(path))
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(k.alias("point_id"), ((k * 37) % 1500 / F.lit(10.0) - 75.0).alias("lat"), ((k * 101) % 3400 / F.lit(10.0) - 170.0).alias("lon"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.functions.vector import dequantised_dot, dot
-from waymark.operators import evaluate, fit, gate, index, rerank, search, series, worldmap
+from waymark.operators import evaluate, fit, gate, index, rerank, search, series, simplify, worldmap
 from waymark.plans import fixture as X
 from waymark.plans.fixture import RECIPE, table
 from waymark.recipe import CONFIDENCE_FEATURES, RERANK_FEATURES
@@ -34,6 +34,12 @@ def quantise_rows(s: SparkSession, d: str) -> DataFrame:
     return out.select("row", "space", F.round("scale", 9).alias("scale"), total.alias("total"), checksum.alias("checksum"))
 
 
+def simplified_borders(s: SparkSession, d: str) -> DataFrame:
+    """The map with a tolerance of two and a half degrees: points and area of each ring."""
+    rings = simplify.simplified(X.features_of_nations(s, d), 2.5, square=5.0).select("feature_id", F.posexplode("rings").alias("ring", "points"))
+    return rounded(rings.select("feature_id", "ring", F.size("points").alias("n"), worldmap.ring_area(F.col("points")).alias("area")))
+
+
 def flat_index(s: SparkSession, d: str) -> DataFrame:
     """The index, written as flat files and read from them: where each row is, and sums of what it holds."""
     p = X.places(s, d)
@@ -364,9 +370,10 @@ def queries() -> dict:
         "confidence": lambda s, d: rounded(X.final_rows(s, d)[2].select("qid", "agree10", "agree25", "agree100", "top_sim", "margin", "entropy", "log_candidates", "confidence")),
         "spread_top12": lambda s, d: rounded(rerank.spread_degrees(X.final_rows(s, d)[0])),
         "error_report": error_report,
-        "point_in_polygon": lambda s, d: worldmap.containing(X.points(s, d), X.features_of_nations(s, d)),
-        "nearest_coast_snap": lambda s, d: rounded(worldmap.nearest_coast(X.points(s, d).join(worldmap.containing(X.points(s, d), X.features_of_nations(s, d)), "point_id", "left_anti"), X.features_of_nations(s, d))),
-        "country_at": lambda s, d: rounded(worldmap.country_at(X.points(s, d), X.features_of_nations(s, d))),
+        "simplified_borders": simplified_borders,
+        "point_in_polygon": lambda s, d: worldmap.containing(X.points(s, d), X.nation_index(s, d)),
+        "nearest_coast_snap": lambda s, d: rounded(worldmap.nearest_coast(X.points(s, d).join(worldmap.containing(X.points(s, d), X.nation_index(s, d)), "point_id", "left_anti"), X.features_of_nations(s, d))),
+        "country_at": lambda s, d: rounded(worldmap.country_at(X.points(s, d), X.nation_index(s, d))),
         "mercator_roundtrip": on_points(lambda: geo.mercator_y(F.col("lat") * 1.3).alias("y"), lambda: geo.mercator_lat(geo.mercator_y(F.col("lat") * 1.3)).alias("lat")),
         "format_latlon": on_points(lambda: geo.format_lat_lon(F.col("lat"), F.col("lon")).alias("text")),
         "format_km": format_km,

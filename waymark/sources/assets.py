@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from waymark.operators.ranks import ranked
+
 MANIFEST = "version int, tag string, base_url string, total_bytes long, files array<struct<path string, bytes long, sha256 string>>"
 
 
@@ -70,13 +72,13 @@ def shard_number(name: Column) -> Column:
 
 def numbered(rows: DataFrame, name: str, at: str) -> DataFrame:
     """rows with shard and row: their place when shards are read in the order of
-    their numbers. The rows of a shard are counted by themselves; a shard adds
-    the sizes of those before it."""
+    their numbers. The rows of a shard are counted by ranges of it, so that no task
+    holds a shard; a shard adds the sizes of those before it."""
     sharded = rows.withColumn("shard", shard_number(F.col(name)))
     sizes = sharded.groupBy("shard").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = sharded.join(sizes.select("shard", before.alias("before")), "shard")
-    return placed.withColumn("row", F.col("before") + F.row_number().over(W.partitionBy("shard").orderBy(at)) - 1).drop("before")
+    placed = ranked(sharded.where("shard is not null"), ["shard"], [F.asc(at)], into="within").join(sizes.select("shard", before.alias("before")), "shard")
+    return placed.withColumn("row", F.col("before") + F.col("within")).drop("before", "within")
 
 
 def image_number(path: Column) -> Column:
