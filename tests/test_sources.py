@@ -111,6 +111,45 @@ def test_smoothing(spark):
     assert got.m == (4.0 * 0.75 + 8.0 * 0.25) * 0.75 and got.w == [30 * 1000 / 600]
 
 
+def in_turn(values, keep=0.75):
+    out, mean = [], None
+    for x in values:
+        mean = x if not mean or x is None else mean * keep + x * (1 - keep)
+        out.append(mean)
+    return out
+
+
+def test_smoothing_of_a_long_series_is_spread(spark):
+    n = 1_000_000
+    rows = spark.range(n, numPartitions=4).select(F.col("id").alias("t"), F.when(F.col("id") < 600_000, 0.0).otherwise(F.col("id") * 7919 % 1009 / 10.0).alias("v"))
+    got = series.smoothed_rows(rows, [], ["t"], "v")
+    spread = [p for p, in got.select(F.spark_partition_id()).distinct().collect()]
+    found = got.orderBy("t").toPandas()
+    want = in_turn([0.0 if i < 600_000 else i * 7919 % 1009 / 10 for i in range(n)])
+    assert len(spread) > 1 and np.allclose(found.smoothed, want, rtol=1e-12, atol=0)
+
+
+def test_smoothing_of_many_series(spark):
+    """Nulls start a series anew, null keys are a key, zeros wait for the first value, series of any length, equal values; clashing names."""
+    rng = np.random.default_rng(3)
+    data = []
+    for k in [None, "", "a", "b", "c", "long"]:
+        for j in (None, 0, 1):
+            for i in range(400 if k == "long" else int(rng.integers(0, 9))):
+                x = rng.choice([None, 0.0, float(rng.integers(0, 50))], p=[0.05, 0.4, 0.55])
+                data.append((k, j, i, x, "x"))
+    rows = spark.createDataFrame(data, "k string, j int, t int, v double, tail string").repartition(3)
+    got = {(r.k, r.j, r.t): r.smoothed for r in series.smoothed_rows(rows, ["k", "j"], ["t"], "v").collect()}
+    assert len(got) == len(data)
+    for key in {d[:2] for d in data}:
+        own = sorted((d[2], d[3]) for d in data if d[:2] == key)
+        for (t, _), want in zip(own, in_turn([x for _, x in own])):
+            have = got[(*key, t)]
+            assert (have is None) == (want is None) and (want is None or np.isclose(have, want, rtol=1e-12, atol=0)), (key, t)
+    empty = series.smoothed_rows(rows.where("t < 0"), ["k"], ["t"], "v")
+    assert empty.columns == ["k", "j", "t", "v", "tail", "smoothed"] and empty.count() == 0
+
+
 def test_stream_answers_as_a_batch(spark, tmp_path):
     q, p = X.queries(spark, SF), X.places(spark, SF)
     logits = X.logits(spark, SF).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "logit"))), lambda x: x["logit"]).alias("logits"))

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from waymark.functions.geo import game_score
 from waymark.operators.ranks import medians, ranked
 from waymark.scratch import written
 
-#: Bounds of the calibration bins and of the three bands, fixed values; slices of a probability.
+#: Bounds of the calibration bins and of the three bands, fixed values.
 BINS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.01]
-SLICES = 4096
 BANDS = [("high", 0.75, 1.01), ("medium", 0.45, 0.75), ("low", 0.0, 0.45)]
 
 
@@ -42,16 +40,12 @@ def brier_auc(rows: DataFrame) -> DataFrame:
     pairs of a hit and a miss in which the hit has the strictly larger p.
 
     The pairs are counted by ranks: p is counted up first, so the misses below
-    each distinct p are a running sum. It runs within slices of p, to which the
-    sums of the slices before are added, so no task orders all values."""
+    each distinct p are a running sum, which runs by ranges of p: many answers
+    near 0 or 1 are several ranges. Rows without a p are in no pair."""
     y = F.col("y").cast("double")
     base = rows.agg(F.avg(y).alias("rate"), F.count("*").alias("n"), F.sum(y).alias("hits"), F.avg(F.pow(F.col("p") - y, 2.0)).alias("brier"))
-    by_p = rows.groupBy("p").agg(F.sum(y).alias("hits_here"), F.sum(1 - y).alias("misses_here")).withColumn("slice", F.floor(F.col("p") * SLICES))
-    sums = by_p.groupBy("slice").agg(F.sum("misses_here").alias("all_here"))
-    earlier = F.coalesce(F.sum("all_here").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    within = F.coalesce(F.sum("misses_here").over(W.partitionBy("slice").orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    placed = by_p.withColumn("within", within).join(sums.select("slice", earlier.alias("earlier")), "slice")
-    won = placed.agg(F.sum(F.col("hits_here") * (F.col("within") + F.col("earlier"))).alias("won"))
+    by_p = rows.where("p is not null").groupBy("p").agg(F.sum(y).alias("hits_here"), F.sum(1 - y).alias("misses_here"))
+    won = ranked(by_p, [], [F.asc("p")], "misses_here", "below").agg(F.sum(F.col("hits_here") * F.col("below")).alias("won"))
     one = base.withColumn("k", F.lit(1)).join(won.withColumn("k", F.lit(1)), "k")
     return one.select("n", "brier", (F.col("rate") * (1 - F.col("rate"))).alias("base_brier"), F.try_divide("won", F.col("hits") * (F.col("n") - F.col("hits"))).alias("auc"))
 

@@ -103,6 +103,11 @@ CTES |= descent("rr", "train", NAMES, 400, 0.5, 0.0)
 CTES["sure"] = "SELECT won.*, km, (km <= 25)::INT AS y, (qid // 10 % 5)::INT AS fold FROM won JOIN near USING (qid, rid)"
 CTES |= descent("cf", "sure", [c[0] for c in CONFIDENCE], 900, 0.35, 1e-4)
 CTES["feats"] = "SELECT DISTINCT feature_id, k, name, layer, n, pts FROM (SELECT feature_id, feature_id // 10 AS k, name, 'l' || (feature_id // 10 % 3) AS layer, count(*) OVER (PARTITION BY feature_id) AS n, pts FROM ring)"
+CTES["newer"] = "SELECT name, rank, CASE WHEN name LIKE '%2' THEN pop_max + 1 ELSE pop_max END AS pop_max FROM ranked WHERE name NOT LIKE '%1'"
+CTES["shapes"] = "SELECT feature_id // 10 AS k, 'l' || (feature_id // 10 % 3) AS layer, feature_id // 10 // 3 * 2 + feature_id % 10 AS num, name, list(pts ORDER BY ring) AS rings, [min(list_min(list_transform(pts, lambda p: p.x))), min(list_min(list_transform(pts, lambda p: p.y))), max(list_max(list_transform(pts, lambda p: p.x))), max(list_max(list_transform(pts, lambda p: p.y)))] AS box FROM ring GROUP BY feature_id, name"
+CTES["old_map"] = "SELECT * FROM shapes UNION ALL SELECT * REPLACE ('old' AS layer) FROM shapes WHERE k = 1"
+CTES["new_map"] = "SELECT * REPLACE (CASE k WHEN 3 THEN 'X' ELSE name END AS name, CASE k WHEN 7 THEN [box[1], box[2], box[3] + 1, box[4]] ELSE box END AS box, CASE k WHEN 9 THEN list_transform(rings, lambda r: list_reverse(r)) ELSE rings END AS rings) FROM shapes WHERE layer <> 'l2' OR k <> 2 UNION ALL SELECT * REPLACE ('new' AS layer) FROM shapes WHERE k = 0"
+CTES["differing"] = "SELECT layer, CASE WHEN w.n IS NULL THEN 'layer removed' WHEN o.n IS NULL THEN 'layer added' WHEN o.n <> w.n THEN 'layer differs' END AS what FROM (SELECT layer, count(*) AS n FROM old_map GROUP BY layer) o FULL JOIN (SELECT layer, count(*) AS n FROM new_map GROUP BY layer) w USING (layer)"
 #: Expressions that are read in every step of a recursion.
 KEPT = {"rr_of", "cf_of"}
 
@@ -180,7 +185,7 @@ SELECTS = {
     "place_flags": "SELECT name, ((CASE WHEN adm0cap = 1 OR starts_with(coalesce(featurecla, ''), 'Admin-0 capital') THEN 1 ELSE 0 END) + (CASE WHEN starts_with(coalesce(featurecla, ''), 'Admin-1') THEN 2 ELSE 0 END) + (CASE WHEN megacity = 1 THEN 4 ELSE 0 END) + (CASE WHEN worldcity = 1 THEN 8 ELSE 0 END))::INT AS flags, rank, CASE WHEN labelrank IS NULL THEN 255 ELSE least(greatest(labelrank, 0), 255) END AS label_rank FROM ranked",
     "polygon_area_filter": f"SELECT country, part, {r('area')} FROM (SELECT name AS country, feature_id AS part, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area FROM edge WHERE ring = 0 GROUP BY ALL) QUALIFY area >= 600 OR row_number() OVER (PARTITION BY country ORDER BY area DESC, part) = 1",
     "feature_boxes": f"SELECT feature_id, {r('min(x1) - 2e-4', 'min_lon')}, {r('max(x1) + 2e-4', 'max_lon')}, {r('min(y1) - 2e-4', 'min_lat')}, {r('max(y1) + 2e-4', 'max_lat')} FROM edge GROUP BY ALL",
-    "map_difference": "SELECT name, CASE WHEN name LIKE '%1' THEN 'removed' ELSE 'changed' END AS what FROM ranked WHERE name LIKE '%1' OR (name LIKE '%2' AND pop_max IS NOT NULL)",
+    "map_difference": "SELECT coalesce(o.name, n.name) AS name, CASE WHEN n.name IS NULL THEN 'removed' WHEN o.name IS NULL THEN 'added' ELSE 'changed' END AS what FROM ranked o FULL JOIN newer n USING (name) WHERE o.name IS NULL OR n.name IS NULL OR (o.rank, o.pop_max) IS DISTINCT FROM (n.rank, n.pop_max)",
     "homonym_lookup": "SELECT asked, coalesce(e.name, b.name) AS name FROM (SELECT CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE s_name[1:5] || '?' END AS asked FROM supplier) LEFT JOIN (SELECT name FROM ranked QUALIFY row_number() OVER (PARTITION BY name ORDER BY rank, coalesce(pop_max, 0) DESC) = 1) e ON e.name = asked LEFT JOIN (SELECT name, name[1:5] AS begin FROM ranked QUALIFY row_number() OVER (PARTITION BY name[1:5] ORDER BY rank, coalesce(pop_max, 0) DESC, name) = 1) b ON b.begin = asked[1:5]",
     "coordinate_quantise": "SELECT point_id, least(greatest(round_even(lat * 1e6, 0), -180e6), 180e6)::INT AS lat_q, least(greatest(round_even((lon * 1.1) * 1e6, 0), -180e6), 180e6)::INT AS lon_q FROM pt",
     "wrap_longitude": f"SELECT point_id, {r('CASE WHEN x BETWEEN -180 AND 180 THEN x ELSE x - 360 * ceil((x - 180) / 360) END', 'lon')} FROM (SELECT point_id, lon * 7.3::DOUBLE AS x FROM pt)",
@@ -213,8 +218,8 @@ SELECTS = {
     "names_per_layer": "SELECT layer, count(*) AS n, count(DISTINCT name) AS names FROM (SELECT 'region' || n_regionkey AS layer, n_name[1:1] AS name FROM nation UNION ALL SELECT 'places', name FROM ranked) GROUP BY layer",
     "manifest_totals": "SELECT count(*) AS files, sum(bytes)::BIGINT AS bytes, count(*) FILTER (missing) AS files_left, coalesce(sum(bytes) FILTER (missing), 0)::BIGINT AS bytes_left FROM (SELECT bytes, NOT EXISTS (SELECT 1 FROM list l WHERE l.path = mani.path AND l.bytes = mani.bytes) AS missing FROM mani)",
     "head_rows": "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 32",
-    "geometry_difference": "SELECT 'l2' AS layer, NULL::BIGINT AS k, 'layer differs' AS what UNION ALL SELECT 'new', NULL, 'layer added' UNION ALL SELECT 'old', NULL, 'layer removed' UNION ALL SELECT DISTINCT layer, k // 3 * 2 + feature_id % 10, CASE k WHEN 3 THEN 'name or rings' WHEN 7 THEN 'box' ELSE 'coordinates' END FROM feats WHERE k IN (3, 7, 9) AND layer <> 'l2'",
-    "place_cut": "SELECT name, rank FROM ranked WHERE rank <= 8 AND name IS NOT NULL",
+    "geometry_difference": "SELECT layer, NULL::BIGINT AS k, what FROM differing WHERE what IS NOT NULL UNION ALL SELECT layer, coalesce(o.num, w.num), CASE WHEN (o.name, len(o.rings)) IS DISTINCT FROM (w.name, len(w.rings)) THEN 'name or rings' WHEN o.box IS DISTINCT FROM w.box THEN 'box' ELSE 'coordinates' END FROM old_map o FULL JOIN new_map w USING (layer, num) JOIN differing USING (layer) WHERE differing.what IS NULL AND (o.name, o.box, o.rings) IS DISTINCT FROM (w.name, w.box, w.rings)",
+    "place_cut": "SELECT name, rank, coalesce(pop_max, 0) AS pop_max, (k % 180)::DOUBLE AS lon, (k % 90)::DOUBLE AS lat FROM (SELECT *, regexp_extract(name, '[0-9]+$')::BIGINT AS k FROM ranked) WHERE rank <= 8 AND k % 19 <> 0 AND k % 23 <> 0",
     "unit_xyz": f"SELECT point_id, {r('cos(radians(lat)) * cos(radians(lon))', 'x')}, {r('cos(radians(lat)) * sin(radians(lon))', 'y')}, {r('sin(radians(lat))', 'z')} FROM pt",
     "usable_rings": "SELECT feature_id, count(*) FILTER (n >= 3)::INT AS rings FROM (SELECT feature_id, ring, CASE WHEN (feature_id / 10 + ring) % 4 < 1 THEN least(2, len(pts)) ELSE len(pts) END AS n FROM ring) GROUP BY feature_id HAVING min(n) FILTER (ring = 0) >= 3",
     "ring_repeats": f"SELECT feature_id, ring, len(pts)::INT AS n, {r('list_sum(list_transform(pts, lambda p: p.x + 2 * p.y))', 'total')} FROM ring",

@@ -14,7 +14,7 @@ from waymark.plans import fixture as X
 from waymark.plans.fixture import RECIPE, table
 from waymark.recipe import CONFIDENCE_FEATURES, RERANK_FEATURES
 from waymark.scratch import scratch_path, written
-from waymark.sources import assets, flatindex
+from waymark.sources import assets, flatindex, geojson
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -120,6 +120,17 @@ def place_flags(s: SparkSession, d: str) -> DataFrame:
     return settlements(s, d).select("name", flags.alias("flags"), "rank", worldmap.clamp_rank(F.col("labelrank"), worldmap.NO_LABEL_RANK, 255).alias("label_rank"))
 
 
+def place_cut(s: SparkSession, d: str) -> DataFrame:
+    """The places as features of a collection, and those of them that a map shows."""
+    k = F.regexp_extract("name", "([0-9]+)$", 1).cast("long")
+    named = F.when(k % 19 == 0, F.lit(None)).when(k % 19 == 1, "  ").otherwise(F.concat(F.lit(" "), F.col("name")))
+    properties = F.struct(named.alias("NAME"), F.when(k % 19 == 1, F.col("name")).alias("NAMEASCII"), F.col("scalerank").alias("SCALERANK"), F.col("pop_max").alias("POP_MAX"))
+    kind = F.when(k % 23 == 0, "LineString").otherwise("Point")
+    at = F.to_json(F.struct(kind.alias("type"), F.array(k % 180 / 1.0, k % 90 / 1.0).alias("coordinates")))
+    shown = geojson.settlements(X.settlements(s, d).select(F.to_json(properties).alias("properties"), kind.alias("type"), at.alias("geometry")), 8)
+    return rounded(shown.select("name", worldmap.clamp_rank(F.col("scalerank")).alias("rank"), "pop_max", "lon", "lat"))
+
+
 def polygon_area_filter(s: SparkSession, d: str) -> DataFrame:
     parts = X.features_of_nations(s, d).select(F.col("name").alias("country"), F.col("feature_id").alias("part"), F.col("rings")[0].alias("ring"))
     return rounded(worldmap.large_parts(parts, 600.0).select("country", "part", "area"))
@@ -326,9 +337,9 @@ def clean_names(s: SparkSession, d: str) -> DataFrame:
 
 def smoothed_speeds(s: SparkSession, d: str) -> DataFrame:
     """Each user's values of an hour in order of time, smoothed."""
-    rows = table(s, d, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("hour")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v"))
-    values = F.transform("v", lambda x: x["value"])
-    return rounded(rows.groupBy("user_id").agg(F.sum(series.smoothed(values)).alias("total"), F.count("*").alias("hours")))
+    rows = table(s, d, "events").select("user_id", F.date_trunc("hour", "ts").alias("hour"), "ts", "event_id", "value")
+    last = series.smoothed_rows(rows, ["user_id", "hour"], ["ts", "event_id"], "value").groupBy("user_id", "hour").agg(F.max_by("smoothed", F.struct("ts", "event_id")).alias("last"))
+    return rounded(last.groupBy("user_id").agg(F.sum("last").alias("total"), F.count("*").alias("hours")))
 
 
 def progress_texts(s: SparkSession, d: str) -> DataFrame:
@@ -418,7 +429,7 @@ def queries() -> dict:
         "manifest_totals": lambda s, d: assets.totals(manifest(s, d).select("path", "bytes"), listing(s, d)),
         "head_rows": lambda s, d: assets.head(table(s, d, "customer"), ["c_custkey"], 32).select("i", "c_custkey", "c_name"),
         "geometry_difference": geometry_difference,
-        "place_cut": lambda s, d: settlements(s, d).where((F.col("rank") <= 8) & F.col("name").isNotNull()).select("name", "rank"),
+        "place_cut": place_cut,
         "unit_xyz": on_points(lambda: geo.unit_xyz(F.col("lat"), F.col("lon"))[0].alias("x"), lambda: geo.unit_xyz(F.col("lat"), F.col("lon"))[1].alias("y"), lambda: geo.unit_xyz(F.col("lat"), F.col("lon"))[2].alias("z")),
         "usable_rings": usable_rings,
         "ring_repeats": ring_repeats,
