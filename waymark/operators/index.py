@@ -81,9 +81,8 @@ def quantised(rows: DataFrame, spaces: list[str]) -> DataFrame:
     return out
 
 
-def whitening(rows: DataFrame, column: str = "v", floor: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, matrix) of principal component whitening: eigenvectors of the
-    covariance over the roots of their eigenvalues. Each task adds up its own
+def covariance(rows: DataFrame, column: str = "v") -> tuple[np.ndarray, np.ndarray]:
+    """(mean, covariance) of the vectors, over all of them. Each task adds up its own
     moments, so what reaches the driver is of the size of the dimensions."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,19 +98,30 @@ def whitening(rows: DataFrame, column: str = "v", floor: float = 1e-6) -> tuple[
     for row in rows.select(column).mapInArrow(sums, "n long, total array<double>, square array<double>").toLocalIterator():
         own = np.array(row.total)
         n, total, square = n + row.n, total + own, square + np.array(row.square).reshape(len(own), -1)
+    if n == 0:
+        raise ValueError("no vectors to take a covariance of")
     mean = total / n
-    values, vectors = np.linalg.eigh(square / n - np.outer(mean, mean))
+    return mean, square / n - np.outer(mean, mean)
+
+
+def whitening(rows: DataFrame, column: str = "v", floor: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, matrix) of principal component whitening: eigenvectors of the
+    covariance over the roots of their eigenvalues."""
+    mean, square = covariance(rows, column)
+    values, vectors = np.linalg.eigh(square)
     return mean, vectors / np.sqrt(np.maximum(values, floor))
 
 
-def whitened(rows: DataFrame, mean: np.ndarray, matrix: np.ndarray, key: str = "row", column: str = "v", into: str = "cls_wh") -> DataFrame:
-    """(key, into): (v - mean) times the matrix, normalised."""
+def whitened(rows: DataFrame, mean: np.ndarray, matrix: np.ndarray, key: str = "row", column: str = "v", into: str = "cls_wh", unit: bool = True) -> DataFrame:
+    """(key, into): (v - mean) times the matrix, normalised unless unit is False; the squared
+    length of what is not normalised is v's squared distance from the mean by the covariance."""
     kind = rows.schema[key].dataType.simpleString()
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = (np.array(batch.column(1).to_pylist(), dtype=float).reshape(batch.num_rows, -1) - mean) @ matrix
-            v /= np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
+            if unit:
+                v /= np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v.tolist(), pa.list_(pa.float64()))], [key, into])
 
     return rows.select(key, column).mapInArrow(project, f"{key} {kind}, {into} array<double>")

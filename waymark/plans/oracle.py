@@ -108,6 +108,14 @@ CTES["shapes"] = "SELECT feature_id // 10 AS k, 'l' || (feature_id // 10 % 3) AS
 CTES["old_map"] = "SELECT * FROM shapes UNION ALL SELECT * REPLACE ('old' AS layer) FROM shapes WHERE k = 1"
 CTES["new_map"] = "SELECT * REPLACE (CASE k WHEN 3 THEN 'X' ELSE name END AS name, CASE k WHEN 7 THEN [box[1], box[2], box[3] + 1, box[4]] ELSE box END AS box, CASE k WHEN 9 THEN list_transform(rings, lambda r: list_reverse(r)) ELSE rings END AS rings) FROM shapes WHERE layer <> 'l2' OR k <> 2 UNION ALL SELECT * REPLACE ('new' AS layer) FROM shapes WHERE k = 0"
 CTES["differing"] = "SELECT layer, CASE WHEN w.n IS NULL THEN 'layer removed' WHEN o.n IS NULL THEN 'layer added' WHEN o.n <> w.n THEN 'layer differs' END AS what FROM (SELECT layer, count(*) AS n FROM old_map GROUP BY layer) o FULL JOIN (SELECT layer, count(*) AS n FROM new_map GROUP BY layer) w USING (layer)"
+CTES["pdim"] = "SELECT rid, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM pv"
+CTES["cov"] = "SELECT a.i, b.i AS j, covar_pop(a.x, b.x) AS c FROM pdim a JOIN pdim b USING (rid) GROUP BY ALL"
+CTES["wide"] = "SELECT i, list_concat(list(c ORDER BY j), list_transform(range(1, count(*) + 1), lambda j: (i = j)::INT::DOUBLE)) AS line FROM cov GROUP BY i"
+#: Elimination: a step divides line k + 1 by its own element and takes it off the others.
+CTES["elim"] = """SELECT 0 AS k, list(line ORDER BY i) AS m FROM wide
+  UNION ALL SELECT k + 1, list_transform(m, lambda line, i: CASE WHEN i = k + 1 THEN top ELSE list_transform(list_zip(line, top), lambda t: t[1] - line[k + 1] * t[2]) END)
+  FROM (SELECT k, m, list_transform(m[k + 1], lambda x: x / m[k + 1][k + 1]) AS top FROM elim WHERE k < len(m))"""
+CTES["inverse"] = "SELECT list_transform(m, lambda line: line[len(m) + 1:]) AS inv FROM elim WHERE k = len(m)"
 #: Expressions that are read in every step of a recursion.
 KEPT = {"rr_of", "cf_of"}
 
@@ -230,6 +238,8 @@ SELECTS = {
     "inner_points": f"SELECT feature_id, {r('(a + b) / 2', 'lon')}, {r('y', 'lat')} FROM (SELECT feature_id, y, i, xs[2 * i + 1] AS a, xs[2 * i + 2] AS b FROM (SELECT *, unnest(range(len(xs) // 2)) AS i FROM (SELECT feature_id, any_value(y) AS y, list_sort(list(x1 + (y - y1) * (x2 - x1) / (y2 - y1)) FILTER ((y1 > y) <> (y2 > y))) AS xs FROM (SELECT *, (min(y1) FILTER (ring = 0) OVER (PARTITION BY feature_id) + max(y1) FILTER (ring = 0) OVER (PARTITION BY feature_id)) / 2 AS y FROM edge) GROUP BY feature_id))) QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY b - a DESC, i) = 1",
     "progress_texts": f"SELECT page_id, format('Downloading — {{:.2f}} of {{:.2f}} GB', done_bytes / 1e9, total / 1e9) AS text, CASE WHEN v > 1e4 THEN format('{{:.0f}} MB/s', v / 1e6) END AS speed, {r('least(greatest(coalesce(done_bytes / nullif(total, 0), 0), 0), 1)', 'done')}, {r('least(greatest(1 - exp(-page_id / 100 / 3.4::DOUBLE), 0), 0.97)', 'progress')} FROM (SELECT page_id, strlen(html) * 90001 AS done_bytes, strlen(html) * 90001 + page_id * 1000003 AS total, (page_id * 97711 % 40000000)::DOUBLE AS v FROM pages)",
     "smoothed_speeds": f"SELECT user_id, {r('sum(list_reduce(v, lambda a, x: CASE WHEN a = 0 THEN x ELSE a * 0.75::DOUBLE + x * 0.25::DOUBLE END))', 'total')}, count(*) AS hours FROM (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id, date_trunc('hour', ts)) GROUP BY user_id",
+    "pca_covariance": "SELECT i, j, round(c, 9) + 0 AS covariance FROM cov",
+    "whitened_lengths": "SELECT rid AS row, round(list_dot_product(y, list_transform(inv, lambda line: list_dot_product(line, y))), 5) AS length FROM (SELECT rid, list_transform(list_zip(v, m), lambda t: t[1] - t[2]) AS y FROM pv, (SELECT list(a ORDER BY i) AS m FROM (SELECT i, avg(x) AS a FROM pdim GROUP BY i))) JOIN inverse ON true",
     "pca_moments": "SELECT i, round(avg(x), 6) + 0 AS mean, round(var_pop(x), 6) + 0 AS variance FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM pv) GROUP BY i",
 }
 

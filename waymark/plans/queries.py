@@ -218,8 +218,23 @@ def layer_names_removed(s: SparkSession, d: str) -> DataFrame:
 
 
 def pca_moments(s: SparkSession, d: str) -> DataFrame:
-    dims = X.place_vectors(s, d).select(F.posexplode("v").alias("i", "x"))
-    return rounded(dims.groupBy((F.col("i") + 1).cast("long").alias("i")).agg(F.avg("x").alias("mean"), F.var_pop("x").alias("variance")))
+    mean, square = index.covariance(X.place_vectors(s, d))
+    rows = [(i, float(m), float(v)) for i, (m, v) in enumerate(zip(mean, square.diagonal()), 1)]
+    return rounded(s.createDataFrame(rows, "i long, mean double, variance double"))
+
+
+def pca_covariance(s: SparkSession, d: str) -> DataFrame:
+    """The whole covariance that the whitening is made from."""
+    square = index.covariance(X.place_vectors(s, d))[1]
+    rows = [(i, j, float(x)) for i, row in enumerate(square, 1) for j, x in enumerate(row, 1)]
+    return rounded(s.createDataFrame(rows, "i long, j long, covariance double"), 9)
+
+
+def whitened_lengths(s: SparkSession, d: str) -> DataFrame:
+    """Squared lengths of the whitened places: the same for any choice of eigenvectors."""
+    rows = X.place_vectors(s, d)
+    v = F.col("cls_wh")
+    return index.whitened(rows, *index.whitening(rows), unit=False).select("row", F.round(dot(v, v), 5).alias("length"))
 
 
 def standardising(rows: DataFrame, names: list[str]) -> tuple[list[float], list[float]]:
@@ -419,6 +434,8 @@ def queries() -> dict:
         "layer_union": layer_union,
         "layer_names_removed": layer_names_removed,
         "pca_moments": pca_moments,
+        "pca_covariance": pca_covariance,
+        "whitened_lengths": whitened_lengths,
         "rerank_models": rerank_models,
         "lambda_grid": lambda_grid,
         "whitened_rows": whitened_rows,
