@@ -45,6 +45,60 @@ def test_map_damage():
     assert {x.split(" of ")[0] for x in mapfile.MapFile(bytes(worse)).problems()} == {"order", "rank index"}
 
 
+def test_map_problems_are_rows(spark, tmp_path):
+    data = mapfile.map_bytes(FEATURES, PLACES)
+    head = dict(zip(mapfile.HEADER, struct.unpack_from(f"<{len(mapfile.HEADER)}I", data)))
+
+    def changed(at, new):
+        worse = bytearray(data)
+        worse[at : at + len(new)] = new
+        return bytes(worse)
+
+    cases = {
+        "whole": (data, set()),
+        "long": (data + b"x", {("file size", None, None)}),
+        "late": (changed(head["place_at"] + 20, b"\x0e"), {("order", "towns", 1), *(("rank index", "towns", r) for r in range(1, 15))}),
+        "index": (changed(head["rank_at"] + 4 * 5, b"\x09"), {("rank index", "towns", 5)}),
+        "box": (changed(head["feature_at"] + 12, struct.pack("<f", 5.0)), {("box", "land", 0)}),
+        "ring": (changed(head["ring_at"] + 4, struct.pack("<I", 2)), {("points of rings", None, None), ("short ring", "land", 0)}),
+    }
+    for name, (content, want) in cases.items():
+        path = tmp_path / f"{name}.bin"
+        path.write_bytes(content)
+        got = {tuple(r) for r in mapfile.map_problems(spark, str(path)).collect()}
+        assert got == want, name
+        rules = lambda x: x.split(" of ")[0] if x != "points of rings" else x
+        assert {rules(x.split(" in ")[0]) for x in mapfile.MapFile(content).problems()} == {g[0] for g in got}
+    (tmp_path / "bad.bin").write_bytes(data[:-10])
+    with pytest.raises(ValueError):
+        list(mapfile.MapFile(data[:-10]).features()) + list(mapfile.MapFile(data[:-10]).places())
+
+
+def test_map_reads_what_is_asked(spark, tmp_path):
+    """Layers and ranks leave out ranges of records, whose bytes are not read; the rows are those of a filter on all."""
+    towns = [(layer, f"{layer} {i}", i / 100, -i / 200, 5 * i, "A", (i * 7) % 19, 0, 1) for layer in ("towns", "labels") for i in range(2000)]
+    data = mapfile.map_bytes(FEATURES, towns)
+    path = tmp_path / "w.bin"
+    path.write_bytes(data)
+    places = mapfile.map_table(spark, str(path), "places", records=100)
+    everything = [r for r in places.collect()]
+    assert len(everything) == 4000 and mapfile.MapFile(data).problems() == []
+    for where, keep in [("rank <= 3", lambda r: r["rank"] <= 3), ("rank < 3 AND layer = 'towns'", lambda r: r["rank"] < 3 and r.layer == "towns"), ("rank = 18", lambda r: r["rank"] == 18), ("rank >= 14 AND rank <= 16", lambda r: 14 <= r["rank"] <= 16), ("rank > 20", lambda r: False), ("rank < -1", lambda r: False), ("layer IN ('labels', 'x') AND rank = 0", lambda r: r.layer == "labels" and r["rank"] == 0), ("layer = 'towns' AND layer = 'labels'", lambda r: False)]:
+        assert sorted(places.where(where).collect()) == sorted(r for r in everything if keep(r)), where
+    assert places.where("layer = 'towns' AND rank < 2").rdd.getNumPartitions() == 3 and places.rdd.getNumPartitions() == 40
+    assert mapfile.map_table(spark, str(path)).where("layer = 'coast'").rdd.getNumPartitions() == 1
+    read = []
+
+    def ranged(at, n):
+        read.append(n)
+        return data[at : at + n]
+
+    world = mapfile.MapFile(ranged)
+    index = world.rank_index("towns")
+    assert len(list(world.places_at("towns", 0, index[2]))) == sum(r["rank"] < 2 and r.layer == "towns" for r in everything)
+    assert sum(read) < len(data) / 2.5
+
+
 def test_snap_distance_and_device_rules(spark):
     land = worldmap.boxes(spark.createDataFrame([(1, "A", [[{"lon": 0.0, "lat": 60.0}, {"lon": 1.0, "lat": 60.0}, {"lon": 1.0, "lat": 61.0}, {"lon": 0.0, "lat": 61.0}]])], "feature_id int, name string, rings array<array<struct<lon:double,lat:double>>>"), pad=0.0)
     km = float(111.32 * np.cos(np.radians(60.5)))
