@@ -26,6 +26,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 
 def game_score(km: Column) -> Column:
+    """The most points are a fixed value."""
     return 5000.0 * F.exp(-km / SCORE_KM)
 
 
@@ -95,12 +96,13 @@ def project(lat: Column, lon: Column, centre_lon: Column, centre_y: Column, ppu:
 
 
 def scale_bar_km(km_per_px: Column, target_px: float = 88.0) -> Column:
-    """The first step at least as long as the target, else the last."""
+    """The first step at least as long as the target (a fixed value), else the last."""
     steps = F.array(*map(F.lit, SCALE_STEPS_KM))
     return F.coalesce(F.get(F.filter(steps, lambda s: s / km_per_px >= target_px), 0), F.lit(SCALE_STEPS_KM[-1]))
 
 
 def scale_bar_px(km_per_px: Column) -> Column:
+    """The longest bar is a fixed value."""
     return F.least(scale_bar_km(km_per_px) / km_per_px, F.lit(220.0))
 
 
@@ -149,6 +151,7 @@ def place_rank_at(zoom: Column) -> Column:
 
 
 def time_left(bytes_left: Column, per_second: Column) -> Column:
+    """Seconds or minutes; the bounds and the words are fixed values."""
     seconds = (bytes_left / per_second).cast("int")
     text = F.when(seconds < 90, F.format_string("%ds left", seconds)).otherwise(F.format_string("%d min left", F.floor((seconds + 30) / 60).cast("int")))
     return F.when(per_second > 1e4, text)
@@ -160,6 +163,7 @@ def gigabytes(n: Column) -> Column:
 
 
 def progress_text(done: Column, total: Column) -> Column:
+    """The words are fixed values."""
     return F.concat(F.lit("Downloading — "), gigabytes(done), F.lit(" of "), gigabytes(total), F.lit(" GB"))
 
 

@@ -187,6 +187,15 @@ def inner_point(rings: Column) -> Column:
     return F.when(widest.isNotNull(), F.struct(widest["lon"].alias("lon"), lat.alias("lat")))
 
 
+def label_points(parts: DataFrame) -> DataFrame:
+    """(country, lon, lat): the inner point of each country's largest part, by the area of
+    its outline, the first of equals, of parts (country, part, rings). Parts whose outline has
+    no inside (null or empty rings too) are passed over; a country of none has no row."""
+    rows = parts.select("country", "part", inner_point(F.col("rings")).alias("p"), ring_area(F.col("rings")[0]).alias("area")).where("p is not null")
+    best = rows.groupBy("country").agg(F.max_by("p", F.struct("area", -F.col("part"))).alias("p"))
+    return best.select("country", "p.lon", "p.lat")
+
+
 def names_per_layer(rows: DataFrame) -> DataFrame:
     """(layer, n, names): features or places of each layer, and how many names they have."""
     return rows.groupBy("layer").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))

@@ -238,11 +238,15 @@ SELECTS = {
     "inner_points": f"SELECT feature_id, {r('(a + b) / 2', 'lon')}, {r('y', 'lat')} FROM (SELECT feature_id, y, i, xs[2 * i + 1] AS a, xs[2 * i + 2] AS b FROM (SELECT *, unnest(range(len(xs) // 2)) AS i FROM (SELECT feature_id, any_value(y) AS y, list_sort(list(x1 + (y - y1) * (x2 - x1) / (y2 - y1)) FILTER ((y1 > y) <> (y2 > y))) AS xs FROM (SELECT *, (min(y1) FILTER (ring = 0) OVER (PARTITION BY feature_id) + max(y1) FILTER (ring = 0) OVER (PARTITION BY feature_id)) / 2 AS y FROM edge) GROUP BY feature_id))) QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY b - a DESC, i) = 1",
     "progress_texts": f"SELECT page_id, format('Downloading — {{:.2f}} of {{:.2f}} GB', done_bytes / 1e9, total / 1e9) AS text, CASE WHEN v > 1e4 THEN format('{{:.0f}} MB/s', v / 1e6) END AS speed, {r('least(greatest(coalesce(done_bytes / nullif(total, 0), 0), 0), 1)', 'done')}, {r('least(greatest(1 - exp(-page_id / 100 / 3.4::DOUBLE), 0), 0.97)', 'progress')} FROM (SELECT page_id, strlen(html) * 90001 AS done_bytes, strlen(html) * 90001 + page_id * 1000003 AS total, (page_id * 97711 % 40000000)::DOUBLE AS v FROM pages)",
     "smoothed_speeds": f"SELECT user_id, {r('sum(list_reduce(v, lambda a, x: CASE WHEN a = 0 THEN x ELSE a * 0.75::DOUBLE + x * 0.25::DOUBLE END))', 'total')}, count(*) AS hours FROM (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id, date_trunc('hour', ts)) GROUP BY user_id",
+    "upright_pixels": "SELECT image, (max(x) + 1)::INT AS width, (max(y) + 1)::INT AS height, sum(value * (1 + 100 * x + y))::BIGINT AS total FROM (SELECT image, value, CASE WHEN o IN (1, 4) THEN x WHEN o IN (2, 3) THEN 7 - x WHEN o IN (5, 8) THEN y ELSE h - 1 - y END AS x, CASE WHEN o IN (1, 2) THEN y WHEN o IN (3, 4) THEN h - 1 - y WHEN o IN (5, 6) THEN x ELSE 7 - x END AS y FROM (SELECT image, i // 32 AS y, i % 16 // 2 AS x, max((n + 31) // 32) AS h, max(image % 8 + 1) AS o, floor(avg(floor(128 + 100 * e)) + 0.5)::INT AS value FROM (SELECT vec_id AS image, len(v) AS n, unnest(v) AS e, generate_subscripts(v, 1) - 1 AS i FROM emb) GROUP BY ALL)) GROUP BY image",
+    "image_sizes": "SELECT o_orderkey, step::INT AS step, CASE WHEN large > 512 THEN floor(a::FLOAT * (512::FLOAT / large::FLOAT) + 0.5::DOUBLE) ELSE a END::INT AS width, CASE WHEN large > 512 THEN floor(b::FLOAT * (512::FLOAT / large::FLOAT) + 0.5::DOUBLE) ELSE b END::INT AS height FROM (SELECT *, CASE WHEN turn THEN th ELSE tw END AS a, CASE WHEN turn THEN tw ELSE th END AS b, greatest(tw, th) AS large FROM (SELECT *, ceil(w / step)::INT AS tw, ceil(h / step)::INT AS th FROM (SELECT o_orderkey, o_orderkey * 37 % 6000 + 1 AS w, o_orderkey * 101 % 4500 + 1 AS h, o_orderkey % 8 + 1 IN (6, 8) AS turn, CASE WHEN greatest(w, h) // 512 >= 8 THEN 8 WHEN greatest(w, h) // 512 >= 4 THEN 4 WHEN greatest(w, h) // 512 >= 2 THEN 2 ELSE 1 END AS step FROM orders)))",
     "pca_covariance": "SELECT i, j, round(c, 9) + 0 AS covariance FROM cov",
     "whitened_lengths": "SELECT rid AS row, round(list_dot_product(y, list_transform(inv, lambda line: list_dot_product(line, y))), 5) AS length FROM (SELECT rid, list_transform(list_zip(v, m), lambda t: t[1] - t[2]) AS y FROM pv, (SELECT list(a ORDER BY i) AS m FROM (SELECT i, avg(x) AS a FROM pdim GROUP BY i))) JOIN inverse ON true",
     "pca_moments": "SELECT i, round(avg(x), 6) + 0 AS mean, round(var_pop(x), 6) + 0 AS variance FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM pv) GROUP BY i",
 }
 
+SELECTS["label_points"] = f"SELECT name AS country, lon, lat FROM ({SELECTS['inner_points']}) JOIN (SELECT name, feature_id FROM (SELECT name, feature_id, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area FROM edge WHERE ring = 0 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY name ORDER BY area DESC, feature_id) = 1) USING (feature_id)"
+
 
 def oracle_sql() -> dict[str, str]:
     return {name: with_ctes(text) for name, text in SELECTS.items()}

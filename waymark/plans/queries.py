@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.functions.vector import dequantised_dot, dot
-from waymark.operators import evaluate, fit, gate, index, rerank, search, series, simplify, worldmap
+from waymark.operators import evaluate, fit, gate, index, orient, rerank, search, series, simplify, worldmap
 from waymark.plans import fixture as X
 from waymark.plans.fixture import RECIPE, table
 from waymark.recipe import CONFIDENCE_FEATURES, RERANK_FEATURES
@@ -357,6 +357,29 @@ def smoothed_speeds(s: SparkSession, d: str) -> DataFrame:
     return rounded(last.groupBy("user_id").agg(F.sum("last").alias("total"), F.count("*").alias("hours")))
 
 
+def label_points(s: SparkSession, d: str) -> DataFrame:
+    """Where the nations' names are written."""
+    parts = X.features_of_nations(s, d).select(F.col("name").alias("country"), F.col("feature_id").alias("part"), "rings")
+    return rounded(worldmap.label_points(parts))
+
+
+def upright_pixels(s: SparkSession, d: str) -> DataFrame:
+    """The embeddings as images of sixteen columns in all orientations, made upright and small."""
+    rows = X.vectors(s, d).select(F.col("vec_id").alias("image"), "v")
+    pixels = rows.select("image", F.posexplode("v").alias("i", "x")).select("image", F.floor(F.col("i") / 16).cast("int").alias("y"), (F.col("i") % 16).alias("x"), F.lit(0).alias("c"), F.floor(128 + 100 * F.col("x")).cast("int").alias("value"))
+    sizes = rows.select("image", F.lit(16).alias("width"), F.ceil(F.size("v") / 16).cast("int").alias("height"), (F.col("image") % 8 + 1).cast("int").alias("orientation"))
+    done = orient.prepared(pixels, sizes, side=8, mirrors=True)
+    total = F.sum(F.col("value") * (1 + 100 * F.col("x") + F.col("y"))).cast("long")
+    return done.groupBy("image").agg((F.max("x") + 1).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"), total.alias("total"))
+
+
+def image_sizes(s: SparkSession, d: str) -> DataFrame:
+    """What becomes of images of sizes made from the orders."""
+    k = F.col("o_orderkey")
+    w, h, o = (k * 37 % 6000 + 1).cast("int"), (k * 101 % 4500 + 1).cast("int"), (k % 8 + 1).cast("int")
+    return table(s, d, "orders").select("o_orderkey", orient.thinning(w, h).alias("step"), orient.final_size(w, h, o).alias("to")).select("o_orderkey", "step", "to.width", "to.height")
+
+
 def progress_texts(s: SparkSession, d: str) -> DataFrame:
     done = F.octet_length("html").cast("long") * 90001
     total, speed = done + F.col("page_id") * 1000003, (F.col("page_id") * 97711 % 40000000).cast("double")
@@ -455,6 +478,9 @@ def queries() -> dict:
         "northing_limit": on_points(lambda: geo.northing_limit(F.col("point_id") % 12 / F.lit(1.0), F.lit(1080.0), F.lit(1920.0)).alias("limit")),
         "image_numbers": lambda s, d: table(s, d, "pages").select("page_id", assets.image_number(F.concat(F.when(F.col("page_id") % 4 == 0, "val-").otherwise("val_"), F.lpad((F.col("page_id") % 9000).cast("string"), 4, "0"), F.lit(".jpg"))).alias("i")),
         "inner_points": lambda s, d: rounded(X.features_of_nations(s, d).select("feature_id", worldmap.inner_point(F.col("rings")).alias("p")).select("feature_id", "p.lon", "p.lat")),
+        "label_points": label_points,
+        "upright_pixels": upright_pixels,
+        "image_sizes": image_sizes,
         "progress_texts": progress_texts,
         "smoothed_speeds": smoothed_speeds,
     }
