@@ -116,6 +116,8 @@ CTES["elim"] = """SELECT 0 AS k, list(line ORDER BY i) AS m FROM wide
   UNION ALL SELECT k + 1, list_transform(m, lambda line, i: CASE WHEN i = k + 1 THEN top ELSE list_transform(list_zip(line, top), lambda t: t[1] - line[k + 1] * t[2]) END)
   FROM (SELECT k, m, list_transform(m[k + 1], lambda x: x / m[k + 1][k + 1]) AS top FROM elim WHERE k < len(m))"""
 CTES["inverse"] = "SELECT list_transform(m, lambda line: line[len(m) + 1:]) AS inv FROM elim WHERE k = len(m)"
+CTES["pix"] = "SELECT image, i // 8 AS y, i % 8 AS x, least(greatest(floor(128 + 100 * e), 0), 255)::INT AS value FROM (SELECT vec_id AS image, unnest(v) AS e, generate_subscripts(v, 1) - 1 AS i FROM emb)"
+CTES["halves"] = "SELECT t, s, c / sum(c) OVER (PARTITION BY t) AS w FROM (SELECT t, s, CASE WHEN x < 1 THEN 1.5::DOUBLE * x ** 3 - 2.5::DOUBLE * x ** 2 + 1 WHEN x < 2 THEN -0.5::DOUBLE * (x ** 3 - 5 * x ** 2 + 8 * x - 4) ELSE 0 END AS c FROM (SELECT t, s, abs(s - 2 * t - 0.5::DOUBLE) / 2 AS x FROM range(4) a(t), range(8) b(s) WHERE s >= 2 * t - 3 AND s < 2 * t + 5))"
 #: Expressions that are read in every step of a recursion.
 KEPT = {"rr_of", "cf_of"}
 
@@ -240,6 +242,8 @@ SELECTS = {
     "smoothed_speeds": f"SELECT user_id, {r('sum(list_reduce(v, lambda a, x: CASE WHEN a = 0 THEN x ELSE a * 0.75::DOUBLE + x * 0.25::DOUBLE END))', 'total')}, count(*) AS hours FROM (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id, date_trunc('hour', ts)) GROUP BY user_id",
     "upright_pixels": "SELECT image, (max(x) + 1)::INT AS width, (max(y) + 1)::INT AS height, sum(value * (1 + 100 * x + y))::BIGINT AS total FROM (SELECT image, value, CASE WHEN o IN (1, 4) THEN x WHEN o IN (2, 3) THEN 7 - x WHEN o IN (5, 8) THEN y ELSE h - 1 - y END AS x, CASE WHEN o IN (1, 2) THEN y WHEN o IN (3, 4) THEN h - 1 - y WHEN o IN (5, 6) THEN x ELSE 7 - x END AS y FROM (SELECT image, i // 32 AS y, i % 16 // 2 AS x, max((n + 31) // 32) AS h, max(image % 8 + 1) AS o, floor(avg(floor(128 + 100 * e)) + 0.5)::INT AS value FROM (SELECT vec_id AS image, len(v) AS n, unnest(v) AS e, generate_subscripts(v, 1) - 1 AS i FROM emb) GROUP BY ALL)) GROUP BY image",
     "image_sizes": "SELECT o_orderkey, step::INT AS step, CASE WHEN large > 512 THEN floor(a::FLOAT * (512::FLOAT / large::FLOAT) + 0.5::DOUBLE) ELSE a END::INT AS width, CASE WHEN large > 512 THEN floor(b::FLOAT * (512::FLOAT / large::FLOAT) + 0.5::DOUBLE) ELSE b END::INT AS height FROM (SELECT *, CASE WHEN turn THEN th ELSE tw END AS a, CASE WHEN turn THEN tw ELSE th END AS b, greatest(tw, th) AS large FROM (SELECT *, ceil(w / step)::INT AS tw, ceil(h / step)::INT AS th FROM (SELECT o_orderkey, o_orderkey * 37 % 6000 + 1 AS w, o_orderkey * 101 % 4500 + 1 AS h, o_orderkey % 8 + 1 IN (6, 8) AS turn, CASE WHEN greatest(w, h) // 512 >= 8 THEN 8 WHEN greatest(w, h) // 512 >= 4 THEN 4 WHEN greatest(w, h) // 512 >= 2 THEN 2 ELSE 1 END AS step FROM orders)))",
+    "geojson_parts": f"SELECT name, (feature_id % 10)::INT AS part, count(*)::INT AS rings, sum(len(pts))::INT AS points, {r('sum(list_sum(list_transform(pts, lambda p: p.x + 2 * p.y)))', 'total')} FROM ring GROUP BY feature_id, name",
+    "resized_images": "SELECT image, sum(value * (1 + 4 * y + x))::BIGINT AS total, round(avg(((value / 255::DOUBLE - 0.485::DOUBLE) / 0.229::DOUBLE)::FLOAT::DOUBLE), 4) + 0 AS mean FROM (SELECT image, x, t AS y, least(greatest(floor(round(sum(w * value), 9) + 0.5::DOUBLE), 0), 255)::INT AS value FROM (SELECT image, y, t AS x, least(greatest(floor(round(sum(w * value), 9) + 0.5::DOUBLE), 0), 255)::INT AS value FROM pix JOIN halves ON s = x GROUP BY ALL) JOIN halves ON s = y GROUP BY ALL) GROUP BY image",
     "pca_covariance": "SELECT i, j, round(c, 9) + 0 AS covariance FROM cov",
     "whitened_lengths": "SELECT rid AS row, round(list_dot_product(y, list_transform(inv, lambda line: list_dot_product(line, y))), 5) AS length FROM (SELECT rid, list_transform(list_zip(v, m), lambda t: t[1] - t[2]) AS y FROM pv, (SELECT list(a ORDER BY i) AS m FROM (SELECT i, avg(x) AS a FROM pdim GROUP BY i))) JOIN inverse ON true",
     "pca_moments": "SELECT i, round(avg(x), 6) + 0 AS mean, round(var_pop(x), 6) + 0 AS variance FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM pv) GROUP BY i",
@@ -247,6 +251,10 @@ SELECTS = {
 
 SELECTS["label_points"] = f"SELECT name AS country, lon, lat FROM ({SELECTS['inner_points']}) JOIN (SELECT name, feature_id FROM (SELECT name, feature_id, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area FROM edge WHERE ring = 0 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY name ORDER BY area DESC, feature_id) = 1) USING (feature_id)"
 
+SELECTS["map_file"] = f"""SELECT 'land' AS layer, (row_number() OVER (ORDER BY feature_id) - 1)::INT AS k, name, sum(len(pts))::INT AS n, round(sum(list_sum(list_transform(pts, lambda p: p.x + 2 * p.y))), 4) + 0 AS total,
+    round((max(list_max(list_transform(pts, lambda p: p.x))) + 2e-4::DOUBLE)::FLOAT::DOUBLE - (min(list_min(list_transform(pts, lambda p: p.x))) - 2e-4::DOUBLE)::FLOAT::DOUBLE + 2 * ((max(list_max(list_transform(pts, lambda p: p.y))) + 2e-4::DOUBLE)::FLOAT::DOUBLE - (min(list_min(list_transform(pts, lambda p: p.y))) - 2e-4::DOUBLE)::FLOAT::DOUBLE), 4) + 0 AS box FROM ring GROUP BY feature_id, name
+  UNION ALL SELECT 'labels', (i - 1)::INT, country, rank, round(round_even(lon * 1e6, 0) / 1e6::DOUBLE + 2 * (round_even(lat * 1e6, 0) / 1e6::DOUBLE), 4) + 0, NULL FROM (SELECT *, row_number() OVER (ORDER BY rank, pop DESC, country) AS i FROM (SELECT country, lon, lat, (n_nationkey % 10)::INT AS rank, n_nationkey * 1000 AS pop FROM ({SELECTS['label_points']}) JOIN nation ON n_name = country)) WHERE rank <= 6"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {name: with_ctes(text) for name, text in SELECTS.items()}

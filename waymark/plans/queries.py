@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.functions.vector import dequantised_dot, dot
-from waymark.operators import evaluate, fit, gate, index, orient, rerank, search, series, simplify, worldmap
+from waymark.operators import evaluate, fit, gate, images, index, orient, rerank, search, series, simplify, worldmap
 from waymark.plans import fixture as X
 from waymark.plans.fixture import RECIPE, table
 from waymark.recipe import CONFIDENCE_FEATURES, RERANK_FEATURES
 from waymark.scratch import scratch_path, written
-from waymark.sources import assets, flatindex, geojson
+from waymark.sources import assets, flatindex, geojson, mapfile
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -380,6 +380,53 @@ def image_sizes(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "orders").select("o_orderkey", orient.thinning(w, h).alias("step"), orient.final_size(w, h, o).alias("to")).select("o_orderkey", "step", "to.width", "to.height")
 
 
+def geojson_parts(s: SparkSession, d: str) -> DataFrame:
+    """The nations as collections of polygons, one file for each region, read back part by part."""
+    path = scratch_path(s, "collections")
+    pairs = F.transform("rings", lambda r: F.transform(r, lambda p: F.array(p["lon"], p["lat"])))
+    nations = X.features_of_nations(s, d).select("name", F.struct("feature_id", pairs.alias("r")).alias("part")).groupBy("name").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    shape = lambda kind, rings: F.to_json(F.struct(F.lit(kind).alias("type"), rings.alias("coordinates")))
+    geometry = F.when(F.size("parts") > 1, shape("MultiPolygon", F.transform("parts", lambda p: p["r"]))).otherwise(shape("Polygon", F.col("parts")[0]["r"]))
+    feature = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct(F.col("name").alias("NAME"))), F.lit(',"geometry":'), geometry, F.lit("}"))
+    regions = table(s, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.concat_ws(",", F.collect_list(feature)), F.lit("]}"))
+    nations.join(regions, "name").groupBy("region").agg(text.alias("value")).write.partitionBy("region").text(path)
+    points = F.flatten("rings")
+    total = F.aggregate(points, F.lit(0.0), lambda a, p: a + p["lon"] + 2 * p["lat"])
+    back = geojson.parts(geojson.read_collection(s, path))
+    return rounded(back.select(F.get_json_object("properties", "$.NAME").alias("name"), "part", F.size("rings").alias("rings"), F.size(points).alias("points"), total.alias("total")))
+
+
+def map_file(s: SparkSession, d: str) -> DataFrame:
+    """The nations and their names' places as one binary map, read back: boxes and points of
+    the outlines, places up to a rank. No rule of the format is broken, or its name is a row."""
+    path = scratch_path(s, "world") + ".bin"
+    land = X.features_of_nations(s, d).select(F.lit("land").alias("layer"), F.lit("polygon").alias("kind"), "feature_id", "name", "rings")
+    k = F.col("n_nationkey")
+    at = label_points(s, d).join(table(s, d, "nation"), F.col("country") == F.col("n_name"))
+    names = at.select(F.lit("labels").alias("layer"), F.col("n_name").alias("name"), "lon", "lat", (k * 1000).cast("long").alias("pop_max"), "country", (k % 10).cast("int").alias("rank"), F.lit(0).alias("flags"), F.lit(1).alias("label_rank"))
+    mapfile.write_map(land, names, path)
+    points = F.flatten("rings")
+    total = F.aggregate(points, F.lit(0.0), lambda a, p: a + p["lon"] + 2 * p["lat"])
+    features = mapfile.map_table(s, path).select("layer", F.col("feature_id").alias("k"), "name", F.size(points).alias("n"), total.alias("total"), (F.col("max_lon") - F.col("min_lon") + 2 * (F.col("max_lat") - F.col("min_lat"))).alias("box"))
+    none = F.lit(None).cast("double")
+    places = mapfile.map_table(s, path, "places").where("rank <= 6").select("layer", F.col("place_id").alias("k"), "name", "rank", (F.col("lon") + 2 * F.col("lat")).alias("total"), none.alias("box"))
+    wrong = mapfile.map_problems(s, path).select("layer", F.col("feature").alias("k"), F.col("rule").alias("name"), F.lit(0).alias("n"), none.alias("total"), none.alias("box"))
+    return rounded(features.union(places).union(wrong), 4)
+
+
+def resized_images(s: SparkSession, d: str) -> DataFrame:
+    """The embeddings as images of eight by eight pixels, made half as large."""
+    value = F.least(F.greatest(F.floor(128 + 100 * F.col("x")), F.lit(0)), F.lit(255)).cast("int")
+    pixels = X.vectors(s, d).select(F.col("vec_id").alias("image"), F.posexplode("v").alias("i", "x")).select("image", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), F.lit(0).alias("c"), value.alias("value"))
+    small = images.resized(pixels, 8, 8, 4)
+    order = 1 + 4 * F.col("y") + F.col("x")
+    sums = small.groupBy("image").agg(F.sum(F.col("value") * order).cast("long").alias("total"))
+    tensor = images.tensors(images.normalised(small))
+    mean = F.aggregate("tensor", F.lit(0.0), lambda a, x: a + x) / F.size("tensor")
+    return sums.join(tensor.select("image", F.round(mean, 4).alias("mean")), "image")
+
+
 def progress_texts(s: SparkSession, d: str) -> DataFrame:
     done = F.octet_length("html").cast("long") * 90001
     total, speed = done + F.col("page_id") * 1000003, (F.col("page_id") * 97711 % 40000000).cast("double")
@@ -479,6 +526,9 @@ def queries() -> dict:
         "image_numbers": lambda s, d: table(s, d, "pages").select("page_id", assets.image_number(F.concat(F.when(F.col("page_id") % 4 == 0, "val-").otherwise("val_"), F.lpad((F.col("page_id") % 9000).cast("string"), 4, "0"), F.lit(".jpg"))).alias("i")),
         "inner_points": lambda s, d: rounded(X.features_of_nations(s, d).select("feature_id", worldmap.inner_point(F.col("rings")).alias("p")).select("feature_id", "p.lon", "p.lat")),
         "label_points": label_points,
+        "geojson_parts": geojson_parts,
+        "map_file": map_file,
+        "resized_images": resized_images,
         "upright_pixels": upright_pixels,
         "image_sizes": image_sizes,
         "progress_texts": progress_texts,
