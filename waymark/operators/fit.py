@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,9 @@ def gradient_descent(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float
     return w, b
 
 
-#: Numbers (rows times features) that one task fits; with more, each step is a sum over partitions.
-ONE_TASK_VALUES = 1 << 24
+#: Numbers (rows times features) that one task fits; with more, each step is a sum over partitions
+#: of some PART_VALUES (16 MB), kept as blocks of BLOCK_ROWS rows.
+ONE_TASK_VALUES, PART_VALUES, BLOCK_ROWS = 1 << 24, 1 << 21, 4096
 
 
 def fit(rows: DataFrame, names: list[str], mean: list[float], sd: list[float], steps: int = 400, rate: float = 0.5, l2: float = 0.0) -> DataFrame:
@@ -62,37 +64,51 @@ def fit(rows: DataFrame, names: list[str], mean: list[float], sd: list[float], s
 
 
 def _by_partitions(given: DataFrame, folds: list, n: int, steps: int, rate: float, l2: float) -> tuple[np.ndarray, np.ndarray]:
-    """All folds at once: a step adds up the gradients of every partition, those of a
-    fold's fit over the rows of the other folds; what comes back is one number for each weight."""
-    w, b = np.zeros((len(folds), n)), np.zeros(len(folds))
-    own = np.array(folds)
+    """All folds at once: a step adds up the gradients of every partition, those of a fold's fit
+    over the rows of the other folds; what comes back is one number for each weight. Rows are packed
+    into blocks of numbers once, so that a step reads them as they are."""
+    own, size = np.array(folds), n + 3
     counts = {r[0]: r[1] for r in given.groupBy("fold").count().collect()}
     total = np.array([sum(c for f, c in counts.items() if f != x) for x in folds], dtype=float)
-
-    for _ in range(steps):
-        shared = given.sparkSession.sparkContext.broadcast((w, b))
-
-        def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            weights, bias = shared.value
-            out = np.zeros((len(own), n + 1))
-            for batch in batches:
-                x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
-                error = 1.0 / (1.0 + np.exp(-(x @ weights.T + bias))) - batch.column(1).to_numpy()[:, None]
-                error *= own[None, :] != batch.column(0).to_numpy()[:, None]
-                out[:, :n] += error.T @ x
-                out[:, n] += error.sum(axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array([out.ravel().tolist()], pa.list_(pa.float64()))], ["g"])
-
-        parts = given.select("fold", "y", "x").mapInArrow(sums, "g array<double>")
-        found = parts.select(F.posexplode("g").alias("i", "g")).groupBy("i").agg(F.sum("g").alias("g")).collect()
-        gradient = np.zeros(len(own) * (n + 1))
-        for r in found:
-            gradient[r.i] = r.g
-        gradient = gradient.reshape(len(own), n + 1) / total[:, None]
-        w = w - rate * (gradient[:, :n] + l2 * w)
-        b = b - rate * gradient[:, n]
-        shared.unpersist()
-    return w, b
+    parts = max(sum(counts.values()) * size // PART_VALUES + 1, given.sparkSession.sparkContext.defaultParallelism)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                x = part.column(2).flatten().to_numpy().reshape(part.num_rows, n)
+                block = np.column_stack([part.column(0).to_numpy(), part.column(1).to_numpy(), x, np.ones(part.num_rows)])
+                yield pa.RecordBatch.from_arrays([pa.array([block.tobytes()], pa.binary())], ["block"])
+
+    packed = given.select("fold", "y", "x").repartition(parts).mapInArrow(pack, "block binary").persist(StorageLevel.MEMORY_AND_DISK)
+    w = np.zeros((len(folds), n + 1))  # the bias is the last
+    decay = np.append(np.full(n, l2), 0.0)
+    try:
+        for _ in range(steps):
+            shared = given.sparkSession.sparkContext.broadcast(w)
+
+            def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+                out = np.zeros((len(own), n + 1))
+                for batch in batches:
+                    for value in batch.column(0):
+                        block = np.frombuffer(value.as_buffer(), dtype=np.float64).reshape(-1, size)
+                        error = block[:, 2:] @ shared.value.T
+                        np.negative(error, out=error)
+                        np.exp(error, out=error)
+                        error += 1.0
+                        np.reciprocal(error, out=error)
+                        error -= block[:, 1, None]
+                        error *= own[None, :] != block[:, 0, None]
+                        out += error.T @ block[:, 2:]
+                yield pa.RecordBatch.from_arrays([pa.array([out.ravel().tolist()], pa.list_(pa.float64()))], ["g"])
+
+            found = packed.mapInArrow(sums, "g array<double>").toArrow().column("g").combine_chunks()
+            gradient = found.flatten().to_numpy().reshape(-1, len(own), n + 1).sum(axis=0) / total[:, None]
+            w = w - rate * (gradient + decay * w)
+            shared.unpersist()
+    finally:
+        packed.unpersist()
+    return w[:, :n], w[:, n]
 
 
 def out_of_fold(rows: DataFrame, models: DataFrame, names: list[str], mean: list[float], sd: list[float]) -> DataFrame:
