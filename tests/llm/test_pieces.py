@@ -121,3 +121,29 @@ def test_ids_are_those_of_the_rebuilt_tokenizer(monkeypatch):
     monkeypatch.setattr(own, "library", type("Other", (), {"encode": lambda self, given, num_threads: [[5, 6, 7] for _ in given]})())
     after = own.encode(texts)
     assert [x[:2] for x in after] == [x[:2] for x in before] and not any(same for _, _, same in after)
+
+
+def test_steps_around_the_batches_are_those_of_the_tokenizer(tmp_path):
+    """Markers and spaces of whole texts are replaced outside the tokenizers library, with the same results."""
+    odd = [" ", "  ", "▁", "▁ x", " ▁x ▁▁ y ", "a▁b", "the cat ", "\u2581\u0000 the", "執 the"]
+    rules = dict(pieces._fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()))[3]
+    charsmap = dict(pieces._fields(rules))[2]
+    files = [open(pieces.default_model(), "rb").read()]
+    files += [model_file(kind, **given) for kind in ("unigram", "bpe") for given in ({}, {"squeeze": False}, {"squeeze": False, "byte_fallback": True}, {"squeeze": False, "charsmap": charsmap})]
+    for i, data in enumerate(files):
+        (tmp_path / str(i)).write_bytes(data)
+        model = pieces.parse_model(data)
+        own, whole = pieces.Backend(str(tmp_path / str(i))), pieces.build_tokenizer(model)
+        assert (own.tokenizer.normalizer is None) == (not model.squeeze_spaces and not model.charsmap)
+        for text, (ids, decoded, _) in zip(odd + TEXTS, own.encode(odd + TEXTS)):
+            assert ids == whole.encode(text, add_special_tokens=False).ids, text
+            assert decoded == whole.decode(ids, skip_special_tokens=False), text
+
+
+def test_words_are_merged_in_groups():
+    """A cut for each word costs more than its merges; a text without cuts, a heap that grows with it."""
+    cut = pieces.build_tokenizer(pieces.parse_model(open(pieces.default_model(), "rb").read())).pre_tokenizer
+    text = "▁the▁▁cat▁" + "▁word" * 1000 + "▁▁"
+    parts = [x for x, _ in cut.pre_tokenize_str(text)]
+    assert "".join(parts) == text and len(parts) == -(-1002 // pieces.WORDS) + 1
+    assert all(x.startswith("▁") and x.strip("▁") for x in parts[:-1]) and parts[-1] == "▁▁"

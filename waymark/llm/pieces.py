@@ -3,8 +3,10 @@
 The model file is read as a protobuf here, and its parts are rebuilt as a
 tokenizers pipeline: normaliser, metaspace marker, piece scores (unigram) or
 the merges that the scores imply (BPE), byte fallback. Batches of whole texts are
-encoded and decoded multithreaded. Each text's ids are held against those of the
-sentencepiece library itself; where a text differs, `parity` is false.
+encoded and decoded multithreaded; steps that only replace spaces by markers, or
+markers by spaces, are done by str.replace around them. Each text's ids are held
+against those of the sentencepiece library itself; where a text differs, `parity`
+is false.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Rows, and characters, that are encoded at a time, and threads of one encoding
 #: batch. A longer text is a batch of its own.
 BATCH_ROWS, BATCH_CHARS, THREADS = 256, 1 << 20, 2
+#: Words, at most, that a BPE model merges at a time.
+WORDS = 64
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -120,8 +124,10 @@ def build_tokenizer(model: PieceModel):  # noqa: ANN201
         vocab = {p: i for i, (p, _, _) in enumerate(model.pieces)}
         tokenizer = Tokenizer(models.BPE(vocab, implied_merges(model), unk_token=model.pieces[model.unk_id][0], fuse_unk=True, byte_fallback=model.byte_fallback))
         if not any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind == NORMAL):
-            # no merge crosses the start of a word, so words are encoded apart
-            tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "removed", invert=True)
+            # no merge crosses the start of a word, so a text is cut there. Each cut has its
+            # cost, and so has the heap of a long text
+            words = Regex(f"(?:{MARK}*[^{MARK}]+){{1,{WORDS}}}|{MARK}+")
+            tokenizer.pre_tokenizer = pre_tokenizers.Split(words, "removed", invert=True)
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.squeeze_spaces:
         steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
@@ -133,25 +139,44 @@ def build_tokenizer(model: PieceModel):  # noqa: ANN201
 
 
 class Backend:
-    """A model's tokenizer, and the library to hold it against."""
+    """A model's tokenizer, and the library to hold it against. What the tokenizer's
+    first normaliser and last decoder steps replace is replaced in whole texts here:
+    the tokenizers library would carry an offset of every byte through each step."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         import sentencepiece
+        from tokenizers import decoders
 
         with open(path, "rb") as file:
             data = file.read()
-        self.tokenizer = build_tokenizer(parse_model(data))
+        model = parse_model(data)
+        self.tokenizer = build_tokenizer(model)
+        self.marks = not model.charsmap and not model.squeeze_spaces
+        if self.marks:  # with other steps before them, markers are left to the normaliser
+            self.tokenizer.normalizer = None
+        self.tokenizer.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse()])
+        self.prefix = MARK if model.dummy_prefix else ""
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
 
+    def marked(self, text: str) -> str:
+        """A text as the tokenizer takes it."""
+        return (self.prefix + text).replace(" ", MARK) if self.marks and text else text
+
+    def spaced(self, decoded: str) -> str:
+        """A text as the model decodes it, of the joined pieces."""
+        text = decoded.replace(MARK, " ")
+        return text.removeprefix(" ") if self.prefix else text
+
     def encode(self, texts: list[str]) -> list[tuple[list[int], str, bool]]:
         """(ids, their decoded text, parity) of each text: ids and text by the rebuilt
         tokenizer, parity tells whether the library has the same ids."""
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast([self.marked(x) for x in texts], add_special_tokens=False)]
         truth = self.library.encode(texts, num_threads=1)
         same = [a == b for a, b in zip(ids, truth)]
-        return list(zip(ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False), same))
+        decoded = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        return [(a, self.spaced(b), c) for a, b, c in zip(ids, decoded, same)]
 
 
 _loaded: dict[str, Backend] = {}
