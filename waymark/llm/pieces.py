@@ -122,10 +122,10 @@ def build_tokenizer(model: PieceModel):  # noqa: ANN201
         tokenizer = Tokenizer(models.Unigram([(p, s) for p, s, _ in model.pieces], model.unk_id, model.byte_fallback))
     else:
         vocab = {p: i for i, (p, _, _) in enumerate(model.pieces)}
-        tokenizer = Tokenizer(models.BPE(vocab, implied_merges(model), unk_token=model.pieces[model.unk_id][0], fuse_unk=True, byte_fallback=model.byte_fallback))
+        tokenizer = Tokenizer(models.BPE(vocab, implied_merges(model), cache_capacity=0, unk_token=model.pieces[model.unk_id][0], fuse_unk=True, byte_fallback=model.byte_fallback))
         if not any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind == NORMAL):
             # no merge crosses the start of a word, so a text is cut there. Each cut has its
-            # cost, and so has the heap of a long text
+            # cost, and so has the heap of a long text. Groups of words hardly recur: no cache
             words = Regex(f"(?:{MARK}*[^{MARK}]+){{1,{WORDS}}}|{MARK}+")
             tokenizer.pre_tokenizer = pre_tokenizers.Split(words, "removed", invert=True)
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
