@@ -48,6 +48,10 @@ CTES = {
     "hub": f"SELECT rid, sum(w * csls) AS h FROM csls JOIN {BLEND} USING (space) GROUP BY rid",
     "scored": "SELECT qid, rid, d - h + 0.05::DOUBLE * ln(greatest(p, 1e-12)) AS s FROM part JOIN hub USING (rid)",
     "topk": "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, rid) - 1 AS rank FROM scored QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, rid) <= 100",
+    "csls_all": "SELECT rid, space, avg(d) AS csls FROM (SELECT a.id AS rid, a.space, list_dot_product(a.f, b.f) AS d FROM sp a JOIN sp b ON a.space = b.space AND a.kind = 'p' AND b.kind = 'p' WHERE a.space IN ('geo5c', 'geo10c', 'geo25c') QUALIFY row_number() OVER (PARTITION BY a.id, a.space ORDER BY list_dot_product(a.f, b.f) DESC) <= 10) GROUP BY ALL",
+    "hub_all": f"SELECT rid, sum(w * csls) AS h FROM csls_all JOIN {BLEND} USING (space) GROUP BY rid",
+    "scored_all": "SELECT qid, rid, d - h + 0.05::DOUBLE * ln(greatest(p, 1e-12)) AS s FROM part JOIN hub_all USING (rid)",
+    "topk_all": "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, rid) - 1 AS rank FROM scored_all QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, rid) <= 100",
     "coords": f"SELECT rid, cell, {coordinates('cell', 'rid')} FROM cellmap",
     "wts": "SELECT *, e / (sum(e) OVER (PARTITION BY qid) + 1e-12) AS w FROM (SELECT *, exp((s - max(s) OVER (PARTITION BY qid)) / 0.05) AS e FROM topk)",
     "tops": f"SELECT t.*, c.lat, c.lon, list_dot_product(q.f, k.code) * k.scale AS raw, {unit('k.code', '({n} + 1e-9)')} AS u FROM wts t JOIN coords c USING (rid) JOIN code k ON k.rid = t.rid AND k.space = 'cls' JOIN sp q ON q.kind = 'q' AND q.id = t.qid AND q.space = 'cls'",
@@ -168,7 +172,7 @@ SELECTS = {
     "prior_term": f"SELECT qid, cell, {r('0.05::DOUBLE * ln(greatest(p, 1e-12))', 'prior')} FROM gated",
     "blend_score": f"SELECT qid, rid AS \"row\", {r('s')} FROM scored",
     "topk_candidates": f"SELECT qid, rid AS \"row\", rank, {r('s')} FROM topk",
-    "topk_20": f"SELECT qid, rid AS \"row\", rank, {r('s')} FROM topk WHERE rank < 20",
+    "topk_20": f"SELECT qid, rid AS \"row\", rank, {r('s')} FROM topk_all WHERE rank < 20",
     "nearest_places_by_haversine": f"SELECT qid, rid AS \"row\", {r('km')} FROM (SELECT t.qid, c.rid, {hav('t.', 'c.')} AS km FROM truth t, coords c) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY km, rid) <= 5",
     "pair_affinity": f"SELECT qid, rid AS \"row\", count(*) FILTER (cc > 0.5) AS alike, {r('sum(CASE WHEN cc > 0.5 THEN cc ELSE 0 END)', 'affinity')}, {r('max(km)', 'furthest')} FROM pairs GROUP BY ALL",
     "consensus_weights": f"SELECT qid, rid AS \"row\", {r('w')} FROM wts",
