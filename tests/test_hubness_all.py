@@ -8,7 +8,6 @@ import pytest
 
 from waymark.operators import index
 from waymark.plans import oracle, queries
-from waymark.plans.queries import topk_20
 
 ROWS, DIM = 5800, 64
 
@@ -31,11 +30,19 @@ def by_sql(folder, name):
 
 def test_topk_20_is_its_sql_beyond_the_sample(spark, folder):
     want = by_sql(folder, "topk_20")
-    got = {(r.qid, r["rank"]): (r.row, r.s) for r in topk_20(spark, folder).collect()}
+    got = {(r.qid, r["rank"]): (r.row, r.s) for r in queries.queries()["topk_20"](spark, folder).collect()}
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
     assert "LIMIT" not in oracle.oracle_sql()["topk_20"]
 
 
+def test_topk_candidates_begin_with_the_twenty(spark, folder):
+    names = ["qid", "rank", "row", "s"]
+    twenty = sorted(map(tuple, queries.queries()["topk_20"](spark, folder).select(names).collect()))
+    found = queries.queries()["topk_candidates"](spark, folder).select(names)
+    assert sorted(map(tuple, found.where("rank < 20").collect())) == twenty and found.where("rank = 99").count() > 0
+    assert "LIMIT" not in oracle.oracle_sql()["topk_candidates"]
+
+
 @pytest.mark.parametrize("block, group", [(4096, 16), (7, 2), (300, 1)])
 def test_hubness_of_all_rows(spark, monkeypatch, block, group):
     monkeypatch.setattr(index, "HUB_BLOCK", block)

@@ -171,7 +171,7 @@ SELECTS = {
     "csls_topk_mean": f"SELECT rid AS \"row\", space, {r('csls')} FROM csls",
     "prior_term": f"SELECT qid, cell, {r('0.05::DOUBLE * ln(greatest(p, 1e-12))', 'prior')} FROM gated",
     "blend_score": f"SELECT qid, rid AS \"row\", {r('s')} FROM scored",
-    "topk_candidates": f"SELECT qid, rid AS \"row\", rank, {r('s')} FROM topk",
+    "topk_candidates": f"SELECT qid, rid AS \"row\", rank, {r('s')} FROM topk_all",
     "topk_20": f"SELECT qid, rid AS \"row\", rank, {r('s')} FROM topk_all WHERE rank < 20",
     "nearest_places_by_haversine": f"SELECT qid, rid AS \"row\", {r('km')} FROM (SELECT t.qid, c.rid, {hav('t.', 'c.')} AS km FROM truth t, coords c) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY km, rid) <= 5",
     "pair_affinity": f"SELECT qid, rid AS \"row\", count(*) FILTER (cc > 0.5) AS alike, {r('sum(CASE WHEN cc > 0.5 THEN cc ELSE 0 END)', 'affinity')}, {r('max(km)', 'furthest')} FROM pairs GROUP BY ALL",
