@@ -28,3 +28,7 @@ def check(spark, monkeypatch, spaces, more):
 
 def test_dequant_dot_sends_each_query_of_a_cell_once(spark, monkeypatch):
     check(spark, monkeypatch, ["cls"], [])
+
+
+def test_blend_score_sends_each_query_of_a_cell_once(spark, monkeypatch):
+    check(spark, monkeypatch, search.shared_spaces(X.RECIPE, X.queries(spark, SF), X.places(spark, SF)), ["csls"])
